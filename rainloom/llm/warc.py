@@ -5,7 +5,7 @@ digest that they refer to. Records come back as header + payload by a join on th
 hashed again before it is used. Of the records with one payload the one with the smallest id is a response, the others
 revisit it; payloads below `revisit_from` bytes are all responses.
 
-Cases: a null html is an empty payload, a null url an empty target; repeated rows of one id give records of their own and the digest still has one
+Cases: a null id is the smallest id, and null again in reports; a null html is an empty payload, a null url an empty target; repeated rows of one id give records of their own and the digest still has one
 payload; an empty table gives an empty archive; other columns are not looked at.
 """
 
@@ -20,6 +20,8 @@ from rainloom.llm.common import shared_dir
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
+#: Stands for a null id, so that such records join like others.
+NO_ID = -(1 << 63)
 
 
 def base32_of_hex(hexed: Column, chars: int = 40) -> Column:
@@ -34,7 +36,7 @@ def base32_of_hex(hexed: Column, chars: int = 40) -> Column:
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_from: int = 0, date: str = "2020-01-01T00:00:00Z") -> None:
     """Write path/headers (a row per record: record_id, header, sha256) and path/payloads (a row per digest: sha256, payload)."""
     payload = F.encode(F.coalesce(payload_col, F.lit("")), "UTF-8")
-    x = pages.select(F.col(id_col).cast("long").alias("record_id"), F.coalesce(url_col, F.lit("")).alias("url"), payload.alias("payload"))
+    x = pages.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("record_id"), F.coalesce(url_col, F.lit("")).alias("url"), payload.alias("payload"))
     marks = x.select("record_id", "url", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("sha256"), F.sha1("payload").alias("sha1"))
     first = marks.groupBy("sha256").agg(F.min("record_id").alias("first_id"))  # a row per digest, summed before the shuffle
     joined = marks.join(first, "sha256")
@@ -54,10 +56,10 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     ]
     header = F.encode(F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2)), "UTF-8")
     joined.select("record_id", header.alias("header"), "sha256").write.option("compression", "zstd").parquet(f"{path}/headers")
-    # The payloads of repeated ids are equal only if their digests are: both are matched, and one row a digest is kept.
-    first = first.withColumnsRenamed({"sha256": "digest"})
-    keep = x.withColumn("sha256", F.sha2("payload", 256)).join(first, (F.col("record_id") == F.col("first_id")) & (F.col("sha256") == F.col("digest")))
-    keep.select("sha256", "payload").dropDuplicates(["sha256"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # One shuffle of the payloads: rows that repeat an id and a payload meet where they are joined.
+    first = first.withColumnRenamed("first_id", "record_id")
+    keep = x.withColumn("sha256", F.sha2("payload", 256)).select("record_id", "sha256", "payload").join(first, ["record_id", "sha256"])
+    keep.dropDuplicates(["record_id", "sha256"]).select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -85,11 +87,11 @@ def archive_report(pages: DataFrame, path: str | None = None, **names) -> DataFr
     digest = field(F.col("h"), "WARC-Payload-Digest")
     sound = F.col("verified") & (digest == F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha1"))))
     return x.select(
-        F.col("record_id").alias("page_id"),
+        F.nullif("record_id", F.lit(NO_ID)).alias("page_id"),
         F.col("n").alias("payload_bytes"),
         F.when(sound, F.substring(digest, 6, 32)).otherwise(F.raise_error(F.lit("a payload doesn't match its digest"))).alias("payload_digest"),
         field(F.col("h"), "WARC-Type").alias("record_type"),
-        F.regexp_extract(field(F.col("h"), "WARC-Refers-To"), r"page:(-?\d+)", 1).cast("long").alias("refers_to"),
+        F.nullif(F.regexp_extract(field(F.col("h"), "WARC-Refers-To"), r"page:(-?\d+)", 1).cast("long"), F.lit(NO_ID)).alias("refers_to"),
     )
 
 
