@@ -78,12 +78,11 @@ def _chunks(text: str, chunk: int, overlap: int) -> Iterator[tuple[int, int, str
 
 def _candidates(piece: str, start: int, enc, lo: int, hi: int) -> list[tuple[int, int, str]]:
     """(position in the text, index of the token that starts there, ids around it) of the stable positions of piece[lo:hi]."""
-    begins = {s: i for i, (s, _) in reversed(list(enumerate(enc.offsets)))}
-    out = []
+    out, ids = [], enc.ids
     for m in STABLE.finditer(piece, max(0, lo), hi):
-        i = begins.get(m.start(), -1)
-        if 2 <= i <= len(enc.ids) - 3:
-            out.append((start + m.start(), i, " ".join(map(str, enc.ids[i - 2 : i + 2]))))
+        i = enc.char_to_token(m.start())
+        if i is not None and 2 <= i <= len(ids) - 3 and enc.token_to_chars(i)[0] == m.start() and enc.token_to_chars(i - 1)[1] <= m.start():
+            out.append((start + m.start(), i, " ".join(map(str, ids[i - 2 : i + 2]))))
     return out
 
 
@@ -117,7 +116,7 @@ def _spliced(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     return total.join(cut_off, "key", "left").select("key", F.when(F.coalesce("junctions", none) == F.col("chunks") - 1, F.col("n") - F.coalesce("twice", none)).alias("n_tokens"))
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, chunk: int = 16384, overlap: int = 256) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, chunk: int = 65536, overlap: int = 512) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit). chunk and overlap count characters."""
     if not 0 < overlap <= chunk:
         raise ValueError("overlap must be positive and at most the chunk")
