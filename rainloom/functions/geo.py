@@ -16,7 +16,7 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     """Great-circle distance; the longitude difference wraps, and rounding can't push the sine beyond 1."""
     dlat, dlon = F.radians(lat2 - lat1), F.radians(wrap180(lon2 - lon1))
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    return 2 * EARTH_KM * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))  # not least(), which skips nulls
 
 
 def bearing_deg(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

@@ -167,31 +167,41 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, m: int, percent: int) -> DataFr
     return two.where(near).where(agree("x", "y") >= least).select("a", "b")
 
 
-def _crossing(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) between components: members (id, comp) of buckets with several components, by their rarest shingles."""
+def _crossing(members: DataFrame, sets: DataFrame, percent: int, rare: int = 32) -> DataFrame:
+    """Candidate pairs (a, b) between components: members (id, comp) of buckets with several components, by their rarest shingles.
+
+    Linked sets share a shingle of their prefixes, the rarest few of each. If a shared one is held by at most `rare` members, the pair comes up
+    there, among as many. Else both prefixes reach into frequent shingles and share no rare one, so the sets have no more in common than the
+    fewer of their frequent shingles: of a large group of copies only those with hardly a change of their own are left, and these
+    mostly are of one component already."""
     s = percent / 100
     x = members.join(sets, "id").select("id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("tok"))
     held = x.groupBy("tok").agg(F.count("*").alias("df"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tok", "df")
-    # `shared` shingles of a set occur in other components at all; a link across needs that many
+    # only shingles that other components hold too can be shared with one of them
     x = stash(x.join(held, "tok"), "shared-shingles")
-    shared = F.count("*").over(W.partitionBy("id"))
-    rarest = F.row_number().over(W.partitionBy("id").orderBy("df", "tok"))
-    x = x.withColumns({"shared": shared, "place": rarest}).where(100 * F.col("shared") >= percent * F.col("n"))
+    own = W.partitionBy("id")
+    x = x.withColumns({"shared": F.count("*").over(own), "frequent": F.count_if(F.col("df") > rare).over(own), "place": F.row_number().over(own.orderBy("df", "tok"))})
     # the prefix of a set counts its unshared shingles first, which are the rarest of all
-    kept = x.where(F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - F.ceil(F.lit(s) * F.col("n") - 1e-9) + 1).select("tok", "id", "comp", "n", "shared")
-    kept = stash(kept, "rare-shingles")
-    sizes = kept.groupBy("tok", "comp").agg(F.count("*").alias("c"), F.min("n").alias("least"))
+    prefix = F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - F.ceil(F.lit(s) * F.col("n") - 1e-9) + 1
+    x = stash(x.where(100 * F.col("shared") >= percent * F.col("n")).where(prefix), "rare-shingles")
+    pairs = _meeting(x.where(F.col("df") <= rare), "shared", percent).unionByName(_meeting(x.where(F.col("df") > rare), "frequent", percent))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _meeting(x: DataFrame, most: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that hold one shingle, if sizes and `most`, the most that each can share, allow a link.
+    Members of a shingle's largest component meet only those outside it."""
+    sizes = x.groupBy("tok", "comp").agg(F.count("*").alias("c"), F.min("n").alias("least"))
     groups = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.min("least").alias("least"), F.count("*").alias("comps")).where("comps > 1")
-    smallest = F.greatest("least", F.ceil(F.lit(s) * F.col("n") - 1e-9))
-    reach = percent * (F.col("n") + smallest) <= (100 + percent) * F.col("shared")
-    here = kept.join(groups, "tok").where(reach)  # even the smallest partner must be within reach
-    outer = here.where("comp <> main").select("tok", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("shared").alias("sa"))
-    inner = here.select("tok", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("shared").alias("sb"), "main")
+    smallest = F.greatest("least", F.ceil(F.lit(percent / 100) * F.col("n") - 1e-9))
+    reach = percent * (F.col("n") + smallest) <= (100 + percent) * F.col(most)
+    here = x.join(groups, "tok").where(reach)  # even the smallest partner must be within reach
+    outer = here.where("comp <> main").select(F.col("tok").alias("t"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col(most).alias("sa"))
+    inner = here.select("tok", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col(most).alias("sb"), "main")
     once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
     enough = percent * (F.col("na") + F.col("nb")) <= (100 + percent) * F.least("sa", "sb")
-    cond = (outer["tok"] == inner["tok"]) & (F.col("ca") != F.col("cb")) & once & enough & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = outer.join(inner, cond).select("a", "b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return outer.join(inner, (F.col("t") == F.col("tok")) & (F.col("ca") != F.col("cb")) & once & enough & near).select("a", "b")
 
 
 def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = 8) -> DataFrame:

@@ -184,9 +184,9 @@ def field_errors(df: DataFrame, by: Sequence[str], predicted: str, truth: str) -
     """rmse, mae, bias and Pearson correlation (null for constant fields) over the cells that have both."""
     x = df.where(F.col(predicted).isNotNull() & F.col(truth).isNotNull())
     d = F.col(predicted) - F.col(truth)
-    # corr of a constant field is null or noise: ask for spread on both sides
+    # corr() of a constant field divides by zero: ask for spread on both sides
     spread = (F.stddev_pop(predicted) > 1e-12) & (F.stddev_pop(truth) > 1e-12)
-    return x.groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias"), F.when(spread, F.corr(predicted, truth)).alias("corr"))
+    return x.groupBy(*by).agg(F.count("*").alias("n"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias"), F.when(spread, F.covar_pop(predicted, truth) / (F.stddev_pop(predicted) * F.stddev_pop(truth))).alias("corr"))
 
 
 def contingency(df: DataFrame, by: Sequence[str], predicted: Column, observed: Column, eps: float = 1e-12) -> DataFrame:

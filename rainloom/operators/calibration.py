@@ -35,7 +35,7 @@ def scale_tail(cells: DataFrame, targets: DataFrame, key: str, value: str, lo: f
     x, v = cells.join(t, key), F.col(value)
     between = lambda a, b, fa, fb: fa + (fb - fa) * F.coalesce(safe_ratio(v - F.col(a), F.col(b) - F.col(a)), F.lit(1.0))
     scale = F.when(v <= F.col("a0"), 1.0).when(v <= F.col("a1"), between("a0", "a1", F.lit(1.0), F.col("f1"))).when(v <= F.col("a2"), between("a1", "a2", F.col("f1"), F.col("f2"))).otherwise(between("a2", "a3", F.col("f2"), F.col("f3")))
-    return x.withColumn(value, F.least(v * scale, F.coalesce("cap", F.lit(float("inf"))))).select(*cells.columns)
+    return x.withColumn(value, F.when(v.isNotNull(), F.least(v * scale, F.coalesce("cap", F.lit(float("inf")))))).select(*cells.columns)
 
 
 def match_area(cells: DataFrame, targets: DataFrame, key: str, value: str, area: Column, want: str, threshold: float = 10.0, tolerance: float = 0.25, most: float = 0.05, tie: Sequence[str] = ()) -> DataFrame:

@@ -34,8 +34,7 @@ def nearest_in_series(left: DataFrame, right: DataFrame, by: Sequence[str], x: s
     row = F.struct(F.col(x).alias("x"), *[F.col(c) for c in carry])
     both = right.select(*by, x, row.alias("__t"), F.lit(0).alias("__p")).unionByName(left.select(*by, x, *kept, F.lit(1).alias("__p")), allowMissingColumns=True)
     back = Window.partitionBy(*by).orderBy(x, "__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(*by).orderBy(F.col(x).desc(), F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Right rows of one x: the first of them in either direction is another, so take the least on both sides.
+    ahead = Window.partitionBy(*by).orderBy(F.col(x).desc(), "__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumns({"__a": F.last("__t", ignorenulls=True).over(back), "__c": F.last("__t", ignorenulls=True).over(ahead)}).where("__p = 1")
     da, dc = F.col(x) - F.col("__a.x"), F.col("__c.x") - F.col(x)
     near = F.when(F.col("__c").isNull() | (da <= dc), F.col("__a")).otherwise(F.col("__c"))

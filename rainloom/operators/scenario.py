@@ -26,8 +26,10 @@ def intensify(df: DataFrame, wind: str, pressure: str, factor: float, cap: float
     """Wind times factor up to the cap; pressure follows along a line of the given (negative) slope, not below the floor."""
     if slope >= 0:
         raise ValueError("pressure must fall as wind rises")
-    new = F.least(F.col(wind) * factor, F.greatest(F.lit(cap), F.col(wind)))
-    return df.withColumns({wind: new, pressure: F.greatest(F.col(pressure) + slope * (new - F.col(wind)), F.least(F.lit(floor), F.col(pressure)))})
+    w, p = F.col(wind), F.col(pressure)
+    new = F.when(w.isNotNull(), F.least(w * factor, F.greatest(F.lit(cap), w)))  # least() and greatest() skip nulls
+    fallen = p + slope * F.coalesce(new - w, F.lit(0.0))
+    return df.withColumns({wind: new, pressure: F.when(p.isNotNull(), F.greatest(fallen, F.least(F.lit(floor), p)))})
 
 
 def shift_west(df: DataFrame, km: float, lon: str = "lon", lat: str = "lat") -> DataFrame:

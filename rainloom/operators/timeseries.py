@@ -140,7 +140,7 @@ def at_times(points: DataFrame, track: DataFrame, by: Sequence[str], x: str, val
     w = Window.partitionBy(*by).orderBy(x, "__p")
     both = a.unionByName(b, allowMissingColumns=True)
     both = both.withColumn("__a", F.last("__t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    behind = Window.partitionBy(*by).orderBy(F.col(x).desc(), F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = Window.partitionBy(*by).orderBy(F.col(x).desc(), "__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.withColumn("__b", F.last("__t", ignorenulls=True).over(behind)).where("__p = 1")
     share = (F.col(x) - F.col("__a.x")) / F.nullif(F.col("__b.x") - F.col("__a.x"), F.lit(0))
     mid = lambda v: F.coalesce(F.col(f"__a.{v}") + (F.col(f"__b.{v}") - F.col(f"__a.{v}")) * share, F.col(f"__a.{v}"), F.col(f"__b.{v}"))

@@ -107,7 +107,8 @@ def placed(df):
 def hav(a, b, c, d):
     """SQL of the great-circle distance."""
     dlon = f"(((({c} - {a} + 180) % 360) + 360) % 360 - 180)"
-    return f"2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians({d} - {b}) / 2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({dlon}) / 2), 2))))"
+    q = f"(pow(sin(radians({d} - {b}) / 2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({dlon}) / 2), 2))"
+    return f"2 * 6371.0 * asin(CASE WHEN {q} > 1 THEN 1.0 ELSE sqrt({q}) END)"
 
 
 @query(f"""

@@ -2,14 +2,14 @@
 
 import math
 import re
-import zlib
+import struct
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rainloom.llm import mixing, quality, urls
-from rainloom.llm.common import words
 from rainloom.llm.queries import op1_quality_rules, op5_mixing, op8_url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -31,8 +31,8 @@ def base(text):
 
 def test_base_columns(spark, sf_dir):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()} | {10**6 + i: t for i, t in enumerate(ODD)}
-    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("w", words(F.col("text")))
-    for r in df.select("doc_id", *[c.alias(k) for k, c in quality.base_columns(F.col("w"), F.col("text")).items()]).collect():
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
+    for r in quality.hashed(df).select("doc_id", *[c.alias(k) for k, c in quality.base_columns().items()]).collect():
         assert tuple(r)[1:] == base(rows[r.doc_id]), rows[r.doc_id]
 
 
@@ -41,11 +41,12 @@ def test_scores(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = sorted(r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect())
     fits = {r.doc_id: r.fit for r in spark.createDataFrame([(i,) for i in good], "doc_id long").select("doc_id", (F.xxhash64("doc_id", F.lit("fit")) % 2 == 0).alias("fit")).collect()}
-    half = 1 << 15
-
     def grams(text):
-        h = [zlib.crc32(w.encode()) for w in WORD.findall(text)]
-        return [x % half for x in h] + [half + (a * 31 + b) % half for a, b in zip(h, h[1:], strict=False)]
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        hash64 = lambda data, seed: xxhash.xxh64_intdigest(data, seed=seed)
+        h = [hash64(w.encode(), 42) for w in WORD.findall(text)]
+        two = [hash64(struct.pack("<Q", b), hash64(struct.pack("<Q", a), 42)) for a, b in zip(h, h[1:], strict=False)]
+        return [signed(x) % (1 << 16) for x in h + two]
 
     raw, target = Counter(), Counter()
     for i, t in docs.items():
