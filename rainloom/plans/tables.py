@@ -323,7 +323,7 @@ SWEEP = [(k, cap, float(p)) for k, cap, p in ((10, 2, 0.5), (10, 3, 1.0), (20, 3
 WITH cfg(k, cap, p) AS (VALUES """ + ", ".join(map(str, SWEEP)) + """), """ + EDGES.split("WITH ")[1].split(",\nc AS")[0] + """,
 c AS (SELECT cfg.k, cfg.cap, cfg.p, p.target_id, p.history_id, p.d, (row_number() OVER (PARTITION BY cfg.k, cfg.cap, cfg.p, target_id, g ORDER BY d, history_id) > cfg.cap)::INT AS over FROM p, cfg),
 r AS (SELECT *, row_number() OVER (PARTITION BY k, cap, p, target_id ORDER BY over, d, history_id) AS r FROM c)
-SELECT k::BIGINT AS k, cap::BIGINT AS cap, round(p, 6) + 0.0 AS p, round(avg(d * p), 6) + 0.0 AS mean_distance, count(*) AS n FROM r WHERE r <= k GROUP BY ALL
+SELECT k::BIGINT AS k, cap::BIGINT AS cap, round(p::DOUBLE, 6) + 0.0 AS p, round(avg(d * p::DOUBLE), 6) + 0.0 AS mean_distance, count(*) AS n FROM r WHERE r <= k GROUP BY ALL
 """)
 def setting_sweep(spark, sf_dir):
     """All settings in one plan: each edge of the pool is looked at under each setting."""
