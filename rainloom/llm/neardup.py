@@ -184,24 +184,29 @@ def _crossing(members: DataFrame, sets: DataFrame, percent: int, rare: int = 32)
     # the prefix of a set counts its unshared shingles first, which are the rarest of all
     prefix = F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - F.ceil(F.lit(s) * F.col("n") - 1e-9) + 1
     x = stash(x.where(100 * F.col("shared") >= percent * F.col("n")).where(prefix), "rare-shingles")
-    pairs = _meeting(x.where(F.col("df") <= rare), "shared", percent).unionByName(_meeting(x.where(F.col("df") > rare), "frequent", percent))
+    pairs = _meeting(x.where(F.col("df") <= rare), "shared", percent, 0).unionByName(_meeting(x.where(F.col("df") > rare), "frequent", percent, 64))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _meeting(x: DataFrame, most: str, percent: int) -> DataFrame:
+def _meeting(x: DataFrame, most: str, percent: int, back: int) -> DataFrame:
     """Pairs (a, b) of different components that hold one shingle, if sizes and `most`, the most that each can share, allow a link.
-    Members of a shingle's largest component meet only those outside it."""
+    Members of a shingle's largest component meet only those outside it. A pair comes up at its first shared shingle, and again only where none
+    of the `back` shingles before is shared, so that a group of near copies doesn't give each of its pairs many times."""
     sizes = x.groupBy("tok", "comp").agg(F.count("*").alias("c"), F.min("n").alias("least"))
     groups = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.min("least").alias("least"), F.count("*").alias("comps")).where("comps > 1")
     smallest = F.greatest("least", F.ceil(F.lit(percent / 100) * F.col("n") - 1e-9))
     reach = percent * (F.col("n") + smallest) <= (100 + percent) * F.col(most)
     here = x.join(groups, "tok").where(reach)  # even the smallest partner must be within reach
-    outer = here.where("comp <> main").select(F.col("tok").alias("t"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col(most).alias("sa"))
-    inner = here.select("tok", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col(most).alias("sb"), "main")
+    # Rows that `reach` drops belong to no pair that sizes allow, so a pair that they do allow has both rows at its first shared shingle.
+    before = F.collect_list("tok").over(W.partitionBy("id").orderBy("df", "tok").rowsBetween(-back, -1)) if back else F.array().cast("array<bigint>")
+    here = here.withColumn("before", before)
+    outer = here.where("comp <> main").select(F.col("tok").alias("t"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col(most).alias("sa"), F.col("before").alias("ba"))
+    inner = here.select("tok", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col(most).alias("sb"), "main", F.col("before").alias("bb"))
     once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
     enough = percent * (F.col("na") + F.col("nb")) <= (100 + percent) * F.least("sa", "sb")
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return outer.join(inner, (F.col("t") == F.col("tok")) & (F.col("ca") != F.col("cb")) & once & enough & near).select("a", "b")
+    first = ~F.arrays_overlap("ba", "bb")
+    return outer.join(inner, (F.col("t") == F.col("tok")) & (F.col("ca") != F.col("cb")) & once & enough & near & first).select("a", "b")
 
 
 def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = 8) -> DataFrame:
