@@ -35,7 +35,17 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: the lineage is cut, and a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/rainloom/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that nothing reads any more: what was made of them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

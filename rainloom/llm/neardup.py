@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from rainloom.llm.common import stash
+from rainloom.llm.common import discard, stash
 
 U = np.uint64
 
@@ -140,7 +140,9 @@ def components(links: DataFrame) -> DataFrame:
         small = stash(small, "edges")
         if small.count() == edges.count() and small.join(edges, ["u", "v"], "left_anti").isEmpty():
             break
+        discard(edges, large)
         edges = small
+    discard(edges, large)
     roots = small.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
 
@@ -168,7 +170,7 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, m: int, percent: int) -> DataFr
 
 
 def _crossing(members: DataFrame, sets: DataFrame, percent: int, rare: int = 32) -> DataFrame:
-    """Candidate pairs (a, b) between components: members (id, comp) of buckets with several components, by their rarest shingles.
+    """A stashed table of candidate pairs (a, b) between components: members (id, comp) of buckets with several components, by their rarest shingles.
 
     Linked sets share a shingle of their prefixes, the rarest few of each. If a shared one is held by at most `rare` members, the pair comes up
     there, among as many. Else both prefixes reach into frequent shingles and share no rare one, so the sets have no more in common than the
@@ -178,14 +180,17 @@ def _crossing(members: DataFrame, sets: DataFrame, percent: int, rare: int = 32)
     x = members.join(sets, "id").select("id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("tok"))
     held = x.groupBy("tok").agg(F.count("*").alias("df"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tok", "df")
     # only shingles that other components hold too can be shared with one of them
-    x = stash(x.join(held, "tok"), "shared-shingles")
+    every = stash(x.join(held, "tok"), "shared-shingles")
     own = W.partitionBy("id")
-    x = x.withColumns({"shared": F.count("*").over(own), "frequent": F.count_if(F.col("df") > rare).over(own), "place": F.row_number().over(own.orderBy("df", "tok"))})
+    x = every.withColumns({"shared": F.count("*").over(own), "frequent": F.count_if(F.col("df") > rare).over(own), "place": F.row_number().over(own.orderBy("df", "tok"))})
     # the prefix of a set counts its unshared shingles first, which are the rarest of all
     prefix = F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - F.ceil(F.lit(s) * F.col("n") - 1e-9) + 1
     x = stash(x.where(100 * F.col("shared") >= percent * F.col("n")).where(prefix), "rare-shingles")
+    discard(every)
     pairs = _meeting(x.where(F.col("df") <= rare), "shared", percent, 0).unionByName(_meeting(x.where(F.col("df") > rare), "frequent", percent, 64))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    discard(x)
+    return pairs
 
 
 def _meeting(x: DataFrame, most: str, percent: int, back: int) -> DataFrame:
@@ -220,9 +225,10 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = stash(buckets.join(shared, "bucket"), "buckets")
-    weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
-    members = stash(members.join(weight, "id").select("id", "bucket", "weight"), "buckets")
+    sized = stash(buckets.join(shared, "bucket"), "buckets")
+    weight = sized.groupBy("id").agg(F.sum("size").alias("weight"))
+    members = stash(sized.join(weight, "id").select("id", "bucket", "weight"), "buckets")
+    discard(sized)
     leaders = members.groupBy("bucket").agg(F.max(F.struct("weight", "id")).alias("l")).select("bucket", F.col("l.id").alias("b"))
     pairs = members.join(leaders, "bucket").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
     near = stash(_agreeing(pairs, reps, m, percent), "pairs")
@@ -231,14 +237,17 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = reps.join(members.select("id").distinct(), "id", "left_semi").select(F.col("class_id").alias("doc_id"))
     sets = stash(_sets(texts.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
     links = stash(_verified(near, sets, percent), "links")
+    discard(near)
     roots = components(links)
 
     comp = F.coalesce("root", "id")
     placed = members.join(roots, "id", "left").select("id", "bucket", comp.alias("comp"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
     open_ = stash(placed.join(mixed, "bucket", "left_semi").select("id", "comp").distinct(), "open")
-    more = stash(_verified(_agreeing(_crossing(open_, sets, percent), reps, m, percent), sets, percent), "links")
-    links = stash(links.unionByName(more).distinct(), "links")
+    crossing = _crossing(open_, sets, percent)
+    more = stash(_verified(_agreeing(crossing, reps, m, percent), sets, percent), "links")
+    first, links = links, stash(links.unionByName(more).distinct(), "links")
+    discard(crossing, open_, members, sets, more, first)
     roots = components(links)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
