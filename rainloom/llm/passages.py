@@ -1,11 +1,13 @@
-"""Repeated passages: hashing of paragraph-like units.
+"""Repeated passages: hashing of all windows of words.
 
-Passages that documents share need not be lines of their own, so units are finer than lines: at every boundary (the start of the text or of a
-line, behind a full stop, question or exclamation mark, before a capitalised word) a unit begins, and it ends at the first boundary at least `unit`
-words further on, or after 8 times as many words. What stands before a passage doesn't change the units within. Units are normalised (ASCII and
-Unicode lower case, single spaces) and hashed, digests are grouped over all documents, and the occurrence with the smallest id, then the
-smallest offset, is kept. Of the others, overlapping and adjacent ones are joined, and stretches of at least `least` words are removed,
-with their offsets in the original text.
+Passages that documents share begin and end anywhere, so a unit begins at every word and is the next `unit` words: no word is outside the units, and
+what stands around a passage doesn't change the units within. Words are normalised (Unicode lower case) and hashed, digests are grouped over all
+documents, and the occurrence with the smallest id, then the smallest offset, is kept. Of the others, overlapping and adjacent ones are joined, and
+stretches of at least `least` words are removed, with their offsets in the original text. So every run of `least` words or more that stands in a
+document with a smaller id, or before in the same text, is removed to its last word.
+
+There are nearly as many units as words, so they travel packed: each row of the shuffles holds the units of one of BUCKETS ranges of digests (then of documents).
+A digest that a text repeats is sent once for the text.
 
 Cases: null, empty and short texts have no units; texts of rows that repeat an id aren't compared with each other; an empty table
 gives an empty result; other columns are not looked at, and kept by `remove_repeats`.
@@ -14,89 +16,234 @@ gives an empty result; other columns are not looked at, and kept by `remove_repe
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\S+")
-STOP = re.compile(r"[.!?]\W*$")
+#: Ranges of digests (by their highest 11 bits; the DIGEST lowest bytes travel) and of documents.
+BUCKETS = 2048
+DIGEST = 6
+DOC_BUCKETS = 512
+#: Units (hits) that a task holds before it sends them on.
+HELD = 1 << 20
+PACKED = "bucket int, kind int, n int, inner binary, outer binary"
+
+
+class _Hashes(dict):
+    """64-bit hashes of words, each computed once while it stays in."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return out
+
+
+_hashes = _Hashes()
+
+
+def digests(text: str | None, unit: int) -> np.ndarray:
+    """The digest of the `unit` words from each word on: a sum of the words' hashes, each times an odd number that its place gives."""
+    words = (text or "").lower().split()
+    n = len(words) - unit + 1
+    if n < 1:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    out = np.zeros(n, np.uint64)
+    for j in range(unit):
+        out += h[j : j + n] * np.uint64(xxhash.xxh3_64_intdigest(b"place %d" % j) | 1)
+    out ^= out >> np.uint64(29)
+    return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def units(text: str | None, unit: int) -> list[tuple[int, int, int, int, int]]:
     """(digest, first word, behind the last word, start, end) of every unit; words by number, start and end as character offsets."""
     spans = [m.span() for m in TOKEN.finditer(text or "")]
-    n = len(spans)
-    if n < unit:
-        return []
-    raw = [text[a:b] for a, b in spans]
-    low = [w.lower().encode("utf-8", "surrogatepass") for w in raw]
-    edges = [0]
-    for i in range(1, n):
-        w = raw[i]
-        if w[0].isupper() or raw[i - 1][-1] in ".!?" or (not raw[i - 1][-1].isalnum() and STOP.search(raw[i - 1])) or "\n" in text[spans[i - 1][1] : spans[i][0]]:
-            edges.append(i)
-    edges.append(n)
-    out, j = [], 0
-    for b in edges[:-1]:
-        while edges[j] < b + unit:
-            j += 1
-            if j == len(edges):
-                return out
-        e = min(edges[j], b + 8 * unit)
-        digest = xxhash.xxh3_64_intdigest(b" ".join(low[b:e]))
-        out.append((digest - (1 << 63), b, e, spans[b][0], spans[e - 1][1]))
-    return out
+    return [(d, b, b + unit, spans[b][0], spans[b + unit - 1][1]) for b, d in enumerate(digests(text, unit).tolist())]
+
+
+def _part(text: str) -> int:
+    return xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 31)
+
+
+def _planes(*columns: np.ndarray) -> bytes:
+    """Columns byte by byte: the lowest bytes of all rows, then the next ones."""
+    return b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+
+
+def _column(data: bytes, at: int, n: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at * n).reshape(size, n).T).view(kind).ravel()
+
+
+def _packed(bucket: np.ndarray, kind: int, doc: np.ndarray, part: np.ndarray, pos: np.ndarray, value: np.ndarray) -> pd.DataFrame:
+    """One row per bucket: its documents (the first, then differences) and positions, ascending, parts and values. Digests (unsigned values) and their parts don't compress and stay apart."""
+    order = np.lexsort((pos, doc, bucket))
+    bucket, doc, part, pos, value = bucket[order], doc[order], part[order], pos[order], value[order]
+    at = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else [0]
+    step = np.diff(doc, prepend=0)
+    rows = []
+    for a, b in zip(at, at[1:], strict=False):
+        step[a] = doc[a]
+        c = slice(a, b)
+        if value.dtype == np.uint64:
+            inner, outer = _planes(step[c], pos[c]), _planes(part[c], value[c])[: (b - a) * (4 + DIGEST)]
+        else:
+            inner, outer = _planes(step[c], pos[c], part[c], value[c]), b""
+        rows.append((int(bucket[a]), kind, b - a, zlib.compress(inner, 1), outer))
+    return pd.DataFrame(rows, columns=["bucket", "kind", "n", "inner", "outer"])
+
+
+def _unpacked(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """doc, part, pos and value (int64) of packed rows."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64))]
+    for r in rows:
+        inner, outer, n = zlib.decompress(r.inner), r.outer, r.n
+        doc, pos = np.cumsum(_column(inner, 0, n, "<i8")), _column(inner, 8, n, "<i4")
+        if outer:
+            out.append((doc, _column(outer, 0, n, "<i4"), pos, _column(outer + bytes((8 - DIGEST) * n), 4, n, "<i8")))
+        else:
+            out.append((doc, _column(inner, 12, n, "<i4"), pos, _column(inner, 16, n, "<i8")))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
+    """The rows of each bucket, of batches sorted by bucket."""
+    rows: list = []
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            if rows and rows[0].bucket != r.bucket:
+                yield rows
+                rows = []
+            rows.append(r)
+    if rows:
+        yield rows
+
+
+def _doc_bucket(doc: np.ndarray) -> np.ndarray:
+    return ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % DOC_BUCKETS
+
+
+def _stretches(doc: int, part: int, pos: np.ndarray, first: np.ndarray, unit: int, least: int) -> list[tuple]:
+    """Stretches of one text as (doc, part, first word, behind the last word, first_doc_id), from its repeated units in order of position."""
+    new = np.flatnonzero(np.diff(pos) > unit) + 1
+    begin, end = np.concatenate([[0], new]), np.concatenate([new, [len(pos)]]) - 1
+    b, e = pos[begin], pos[end] + unit
+    return [(doc, part, int(b[k]), int(e[k]), int(first[begin[k]])) for k in np.flatnonzero(e - b >= least)]
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 8, least: int = 40) -> DataFrame:
     """One row per removed stretch: doc_id, part (hash of the text, for rows that repeat an id), start, end, n_words, first_doc_id (which keeps the first unit's first occurrence)."""
     x = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null and text is not null")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Units by range of digests (kind 0, first in their text), and those that a text repeats by document (kind 1, with the place of the first)."""
+        held, n = [], 0
+
+        def sent() -> Iterator[pd.DataFrame]:
+            doc, part, size = (np.array([h[k] for h in held], np.int64) for k in range(3))
+            doc, part = np.repeat(doc, size), np.repeat(part, size).astype(np.int32)
+            pos, digest, ref = (np.concatenate([h[k] for h in held]) for k in (3, 4, 5))
+            once = ref < 0
+            yield _packed((digest[once] // np.uint64((1 << 64) // BUCKETS)).astype(np.int64), 0, doc[once], part[once], pos[once], digest[once])
+            if not once.all():
+                again = ~once
+                yield _packed(_doc_bucket(doc[again]), 1, doc[again], part[again], pos[again], ref[again].astype(np.int64))
+
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                rows, some = [], batch.iloc[at : at + 256]
-                for i, text in zip(some["doc_id"], some["text"], strict=True):
-                    seen: set[int] = set()
-                    part = xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 31)
-                    for digest, b, e, start, end in units(text, unit):
-                        rows.append((i, part, digest, digest in seen, b << 16 | (e - b), start << 24 | min(end - start, (1 << 24) - 1)))
-                        seen.add(digest)
-                yield pd.DataFrame(rows, columns=["doc_id", "part", "digest", "again", "words", "chars"])
-
-    # Word and character positions are packed in pairs: the table is large, and mostly of units that come once.
-    found = x.mapInPandas(run, "doc_id long, part int, digest long, again boolean, words long, chars long")
-    shared = found.where("not again").groupBy("digest").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last")).where("first_doc_id < last").select("digest", "first_doc_id")
-    across = found.join(shared, "digest").where("doc_id <> first_doc_id or again").select("doc_id", "part", "words", "chars", "first_doc_id")
-    within = found.where("again").select("doc_id", "part", "words", "chars", F.col("doc_id").alias("first_doc_id"))
-    # A unit repeated within its text is in both, or only in the second; the first occurrence elsewhere, if any, is the smaller id.
-    hits = across.unionByName(within)
+            for i, text in zip(batch["doc_id"], batch["text"], strict=True):
+                d = digests(text, unit)
+                if not len(d):
+                    continue
+                _, first, back = np.unique(d, return_index=True, return_inverse=True)
+                at = np.arange(len(d))
+                ref = np.where(first[back] == at, -1, first[back]).astype(np.int32)
+                held.append((i, _part(text), len(d), at.astype(np.int32), d, ref))
+                n += len(d)
+                if n >= HELD:
+                    yield from sent()
+                    held, n = [], 0
+        if held:
+            yield from sent()
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each range of digests, the units that have an occurrence in a smaller id, by document, with that id (kind 0)."""
+        held, n = [], 0
+
+        def sent() -> pd.DataFrame:
+            doc, part, pos, first = (np.concatenate([h[k] for h in held]) for k in range(4))
+            return _packed(_doc_bucket(doc), 0, doc, part, pos, first)
+
+        for rows in _by_bucket(batches):
+            if again := [r for r in rows if r.kind == 1]:
+                yield pd.DataFrame(again, columns=["bucket", "kind", "n", "inner", "outer"])
+            doc, part, pos, digest = _unpacked([r for r in rows if r.kind == 0])
+            if not len(doc):
+                continue
+            order = np.lexsort((doc, digest))
+            start = np.flatnonzero(np.diff(digest[order], prepend=~digest[order[0]]))
+            first = np.repeat(doc[order[start]], np.diff(start, append=len(order)))
+            hit = first != doc[order]
+            held.append((doc[order[hit]], part[order[hit]], pos[order[hit]], first[hit]))
+            n += int(hit.sum())
+            if n >= HELD:
+                yield sent()
+                held, n = [], 0
+        if n:
+            yield sent()
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _by_bucket(batches):
+            across, within = (_unpacked([r for r in rows if r.kind == k]) for k in (0, 1))
+            doc, part, pos = (np.concatenate([across[k], within[k]]) for k in range(3))
+            # A unit repeated within its text has the first occurrence that the text's first unit of that kind has.
+            ref = np.concatenate([across[2], within[3].astype(np.int32)])
+            value = np.concatenate([across[3], within[0]])
+            own = np.concatenate([np.zeros(len(across[0]), bool), np.ones(len(within[0]), bool)])
+            order = np.lexsort((own, ref, part, doc))
+            d, p, r = doc[order], part[order], ref[order]
+            head = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 0) | (np.diff(p) != 0) | (np.diff(r) != 0)]))
+            first = np.empty(len(order), np.int64)
+            first[order] = np.repeat(value[order[head]], np.diff(head, append=len(order)))
+            order = np.lexsort((pos, part, doc))
+            d, p, at, first = doc[order], part[order], pos[order], first[order]
+            edge = [0, *(np.flatnonzero((np.diff(d) != 0) | (np.diff(p) != 0)) + 1).tolist(), len(d)]
+            out = [s for a, b in zip(edge, edge[1:], strict=False) for s in _stretches(int(d[a]), int(p[a]), at[a:b], first[a:b], unit, least)]
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "part", "b", "e", "first_doc_id"])
+
+    def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Where the words of each text lie: lengths of the gaps before them and of the words, much smaller than the text."""
         for batch in batches:
             rows = []
-            for i, part, hit in zip(batch["doc_id"], batch["part"], batch["hits"], strict=True):
-                run_ = None
-                for words, chars, first in sorted((int(h["words"]), int(h["chars"]), int(h["first_doc_id"])) for h in hit):
-                    b, e, s = words >> 16, (words >> 16) + (words & 0xFFFF), chars >> 24
-                    t = s + (chars & 0xFFFFFF)
-                    if run_ and b <= run_[1]:
-                        run_[1], run_[3] = max(run_[1], e), max(run_[3], t)
-                        continue
-                    if run_:
-                        rows.append((i, part, *run_))
-                    run_ = [b, e, s, t, first]
-                if run_:
-                    rows.append((i, part, *run_))
-            out = pd.DataFrame(rows, columns=["doc_id", "part", "b", "e", "start", "end", "first_doc_id"])
-            out["n_words"] = out["e"] - out["b"]
-            yield out[out["n_words"] >= least][["doc_id", "part", "start", "end", "n_words", "first_doc_id"]]
-
-    grouped = hits.groupBy("doc_id", "part").agg(F.collect_list(F.struct("words", "chars", "first_doc_id")).alias("hits"))  # units of one text
-    return grouped.mapInPandas(merged, "doc_id long, part int, start long, end long, n_words long, first_doc_id long")
+            for i, text in zip(batch["doc_id"], batch["text"], strict=True):
+                ends = np.fromiter((e for m in TOKEN.finditer(text) for e in m.span()), np.int32)
+                if len(ends) >= 2 * least:
+                    rows.append((i, _part(text), zlib.compress(_planes(np.diff(ends, prepend=np.int32(0))), 1)))
+            yield pd.DataFrame(rows, columns=["doc_id", "part", "ends"])
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Word numbers as character offsets."""
+        for batch in batches:
+            rows = []
+            for i, part, data, cuts in zip(batch["doc_id"], batch["part"], batch["ends"], batch["cuts"], strict=True):
+                data = zlib.decompress(data)
+                ends = np.cumsum(_column(data, 0, len(data) // 4, "<i4"))
+                rows += [(i, part, int(ends[2 * c["b"]]), int(ends[2 * c["e"] - 1]), c["e"] - c["b"], c["first_doc_id"]) for c in cuts]
+            yield pd.DataFrame(rows, columns=["doc_id", "part", "start", "end", "n_words", "first_doc_id"])
+
+    sorted_by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    hits = sorted_by_bucket(x.mapInPandas(cut, PACKED)).mapInPandas(met, PACKED)
+    found = sorted_by_bucket(hits).mapInPandas(merged, "doc_id long, part int, b int, e int, first_doc_id long")
+    cuts = found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("b", "e", "first_doc_id")).alias("cuts"))  # of one text
+    texts = x.mapInPandas(lengths, "doc_id long, part int, ends binary").join(cuts, ["doc_id", "part"])
+    return texts.mapInPandas(placed, "doc_id long, part int, start long, end long, n_words long, first_doc_id long").distinct()
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:

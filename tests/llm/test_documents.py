@@ -134,6 +134,33 @@ def test_passages(spark):
     assert passages.repeats(docs(spark, [])).collect() == []
 
 
+def test_passages_anywhere(spark):
+    """Every run of 51 words that an earlier document holds lies in removed stretches, also without sentences, capitals or line starts; nothing else goes."""
+    rng = random.Random(11)
+    shared = prose(rng, 51)
+    rows = [(i, " ".join(prose(rng, 90 + i) + [w.upper() if i == 2 else w for w in shared] + prose(rng, 70 - i))) for i in range(6)]
+    rows += [(9, " ".join(prose(rng, 100) + rows[0][1].split()[40:60])), (10, "。".join(prose(rng, 300)) + " " + " ".join(shared[:39]))]
+    twice = prose(rng, 45)
+    rows.append((11, " ".join(twice + prose(rng, 30) + twice + shared)))
+    cut = {}
+    for r in passages.repeats(docs(spark, rows)).collect():
+        cut.setdefault(r.doc_id, []).append((r.start, r.end, r.n_words, r.first_doc_id))
+    seen, want = set(), {}
+    for i, t in rows:
+        w = t.lower().split()
+        runs = [tuple(w[k : k + 51]) for k in range(len(w) - 50)]
+        want[i] = {k + j for k, run in enumerate(runs) if run in seen for j in range(51)}
+        seen |= set(runs)
+    for i, t in rows:
+        spans = [m.span() for m in re.finditer(r"\S+", t)]
+        gone = {k for k, (a, b) in enumerate(spans) if any(s <= a and b <= e for s, e, *_ in cut.get(i, []))}
+        assert want[i] <= gone
+        if i < 11:
+            assert want[i] == gone
+    assert [(n, first) for *_, n, first in cut[11]] == [(96, 11)]
+    assert cut.keys() == {1, 2, 3, 4, 5, 11}
+
+
 def test_passages_brute(spark, sf_dir):
     """Every removed unit occurs earlier, and every other unit of the table is the first of its kind or in no long enough stretch."""
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
