@@ -1,6 +1,7 @@
 """Quality rules, URL filter and mixing against brute force, and odd input."""
 
 import math
+import random
 import re
 import struct
 from collections import Counter, defaultdict
@@ -67,6 +68,23 @@ def test_scores(spark, sf_dir):
     assert sum(x.kept for x in clean) >= 0.97 * len(clean)
 
 
+def test_toxic_documents_go(spark):
+    """A few insults in long prose: nearly all documents with them go, labelled or not, and nearly all clean ones stay."""
+    rng = random.Random(5)
+    insults = [f"slur{i}" for i in range(8)]
+    rows = []
+    for i in range(600):
+        w = [rng.choice("bcdfgh") + str(rng.randrange(900)) for _ in range(150)]
+        for at in rng.sample(range(150), 3) if i % 6 == 0 else ():
+            w[at] = rng.choice(insults)
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.judge_quality(docs, labels).where("kept").collect()}
+    assert sum(i % 6 == 0 for i in kept) <= 5
+    assert sum(i % 6 > 0 for i in kept) >= 485
+
+
 def test_quality_odd(spark):
     rows = [(i, t, "k") for i, t in enumerate(ODD)] + [(3, "one", "k"), (None, "null id", "k"), (3, "another text of id three", "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, bucket string")
