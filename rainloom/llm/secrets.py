@@ -5,6 +5,9 @@ or gzip data inside base64) are decoded into further layers, each of which is sc
 stretches in turn, until no new layer comes up. Layers seen before are not scanned again, so cycles end. Every position of a layer
 keeps the span of the original text from which it was decoded; findings are reported as spans of the original.
 
+Escapes are decoded in place over the whole layer, so what stands around them stays; those that aren't UTF-8 stay as they are. Base64 wrapped over
+lines is joined. Compressed data is inflated to its end and scanned piece by piece; bytes that aren't text are scanned as far as they are.
+
 Cases: a null text counts as empty; an empty text has no spans; repeated rows give equal results; other columns
 of the input are not looked at.
 """
@@ -13,10 +16,12 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,11 +32,15 @@ ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-URL_RUN = re.compile(r"[^\s\"'<>]*%[0-9A-Fa-f]{2}[^\s\"'<>]*")
 URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_RUN = re.compile(r"[^\s\"'<>]*\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\"'<>]*")
 UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: Characters of inflated text scanned at a time, and those looked at again with the next piece at least.
+PIECE, OVERLAP = 1 << 20, 1 << 12
+#: Compressed data within compressed data is followed this far.
+DEEPEST = 100
 
 #: A layer: its text, and for each of its characters where the original stretch begins and ends.
 Layer = tuple[str, list[int], list[int]]
@@ -47,106 +56,165 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
-def _spliced(text: str, run: re.Match, pattern: re.Pattern, decode) -> Layer | None:
-    """The run with each match of pattern decoded; None if one can't be. Characters between keep their own positions."""
-    out, starts, ends, at = [], [], [], run.start()
-    for m in pattern.finditer(text, run.start(), run.end()):
-        if (new := decode(m)) is None:
-            return None
-        out += [text[at : m.start()], new]
-        starts += [*range(at, m.start()), *[m.start()] * len(new)]
-        ends += [*range(at + 1, m.start() + 1), *[m.end()] * len(new)]
-        at = m.end()
-    out.append(text[at : run.end()])
-    return "".join(out), starts + [*range(at, run.end())], ends + [*range(at + 1, run.end() + 1)]
-
-
-def _url(m: re.Match) -> str | None:
-    try:
-        return bytes.fromhex(m[0].replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
-
-
-def _unicode(m: re.Match) -> str:
-    return chr(int(m[1] or m[2], 16))
-
-
-def _text(data: bytes) -> str | None:
-    """data as text if it looks like text: valid UTF-8 without control characters other than white space."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c >= " " or c in "\t\n\r" for c in text) else None
-
-
-def _inflate(data: bytes, most: int) -> tuple[bytes, bool] | None:
-    """What zlib or gzip data holds, and whether it went on beyond `most` bytes."""
-    if data[:2] != b"\x1f\x8b" and not (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
-        return None
-    try:
-        z = zlib.decompressobj(47)
-        return z.decompress(data, most), bool(z.unconsumed_tail)
-    except zlib.error:
-        return None
-
-
-def _base64(run: re.Match, most: int) -> tuple[Layer, bool] | None:
-    code = run[0].rstrip("=").replace("-", "+").replace("_", "/")
-    if len(code) % 4 == 1:
+def _spliced(text: str, pattern: re.Pattern, decode) -> Layer | None:
+    """The text with each match of pattern decoded; None if none can be. Characters between keep their own positions."""
+    out, starts, ends, at = [], [], [], 0
+    for m in pattern.finditer(text):
+        for a, b, new in decode(m):
+            out += [text[at:a], new]
+            starts += [*range(at, a), *[a] * len(new)]
+            ends += [*range(at + 1, a + 1), *[b] * len(new)]
+            at = b
+    if not out:
         return None
+    out.append(text[at:])
+    return "".join(out), starts + [*range(at, len(text))], ends + [*range(at + 1, len(text) + 1)]
+
+
+def _url(m: re.Match) -> list[tuple[int, int, str]]:
+    """The stretches of a run of escapes that are UTF-8, decoded."""
+    data, at, out = bytes.fromhex(m[0].replace("%", "")), 0, []
+    while at < len(data):
+        try:
+            end, skip = len(data), 0
+            new = data[at:].decode()
+        except UnicodeDecodeError as x:
+            end, skip = at + x.start, x.end - x.start
+            new = data[at:end].decode()
+        if new:
+            out.append((m.start() + 3 * at, m.start() + 3 * end, new))
+        at = end + skip
+    return out
+
+
+def _unicode(m: re.Match) -> list[tuple[int, int, str]]:
+    return [(*m.span(), chr(int(m[1] or m[2], 16)))]
+
+
+def _compressed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0)
+
+
+def _decompressed(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What zlib or gzip data holds, all members of it, up to its end or to the first fault."""
+    z = zlib.decompressobj(47)
+    for data in chunks:
+        while data:
+            try:
+                out = z.decompress(data, 1 << 16)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            data = z.unconsumed_tail
+            if z.eof:
+                if not _compressed(z.unused_data):
+                    return
+                data, z = z.unused_data, zlib.decompressobj(47)
+    while out := z.decompress(z.unconsumed_tail, 1 << 16):
+        yield out
+
+
+def _inflated(chunks: Iterator[bytes], depth: int = 0) -> tuple[Iterator[bytes], int]:
+    """The chunks, inflated as often as they are compressed data, and how often."""
+    first = next(chunks, b"")
+    while len(first) < 3 and (more := next(chunks, None)) is not None:
+        first += more
+    if _compressed(first) and depth < DEEPEST:
+        inner = _decompressed(chain([first], chunks))
+        head = next(inner, None)
+        if head is not None and not first.startswith(head):  # data that inflate to themselves end here
+            return _inflated(chain([head], inner), depth + 1)
+        return iter([first]), depth
+    return chain([first], chunks), depth
+
+
+def _pieces(chunks: Iterator[bytes], most: int) -> Iterator[tuple[str, bool]]:
+    """The text of the chunks piece by piece, and whether more than `most` characters have come. A piece begins again with the end of the one before: the
+    OVERLAP last characters at least, and all of a run that may be encoded, unless the run is longer than `most`."""
+    decoder, text, total, size = codecs.getincrementaldecoder("utf-8")("replace"), "", 0, min(PIECE, max(most, 4 * OVERLAP))
+    kept = 0
+    for chunk in chunks:
+        new = decoder.decode(chunk)
+        text, total = text + new, total + len(new)
+        if len(text) - kept >= size:
+            yield text, total > most
+            cut = len(text)
+            while cut and len(text) - cut < most and (text[cut - 1].isalnum() or text[cut - 1] in "+/_=-%\\\r\n"):
+                cut -= 1
+            if len(text) - cut >= most:
+                cut = len(text)
+            text = text[max(0, min(cut, len(text) - OVERLAP)) :]
+            kept = len(text)
+    text += decoder.decode(b"", True)
+    if len(text) > kept or total:
+        yield text, total > most
+
+
+def _base64(code: str, at: list[int] | range, most: int) -> Iterator[tuple[Layer, bool]]:
+    """The layers that base64 holds; at: the position of each of its characters."""
+    code = code.rstrip("=").replace("-", "+").replace("_", "/")
+    code = code[: len(code) - (len(code) % 4 == 1)]  # a last character that is no byte
     try:
         data = base64.b64decode(code + "=" * (-len(code) % 4), validate=True)
     except binascii.Error:
-        return None
-    a, b = run.span()
-    inflated, partial, deep = data, False, False
-    while (got := _inflate(inflated, most)) is not None and got[0] != inflated:  # compressed data may hold compressed data
-        inflated, partial, deep = got[0], partial or got[1], True
-    if (text := _text(inflated)) is None:
-        return None
-    if deep or not text.isascii():
-        return (text, [a] * len(text), [b] * len(text)), partial
-    return (text, [a + i // 3 * 4 for i in range(len(text))], [min(b, a + i // 3 * 4 + 4) for i in range(len(text))]), False
+        return
+    chunks, depth = _inflated(iter([data]))
+    a, b = at[0], at[-1] + 1
+    if depth:
+        for text, partial in _pieces(chunks, most):
+            yield (text, [a] * len(text), [b] * len(text)), partial
+        return
+    text = data.decode(errors="replace")
+    if text.isascii():
+        yield (text, [at[i // 3 * 4] for i in range(len(text))], [at[min(len(at) - 1, i // 3 * 4 + 3)] + 1 for i in range(len(text))]), False
+    elif text:
+        yield (text, [a] * len(text), [b] * len(text)), False
 
 
 def layers(text: str, most: int) -> Iterator[tuple[Layer, bool]]:
     """What the encoded stretches of one text hold."""
-    if "%" in text:
-        for run in URL_RUN.finditer(text):
-            if layer := _spliced(text, run, URL_BYTES, _url):
-                yield layer, False
-    if "\\" in text:
-        for run in UNICODE_RUN.finditer(text):
-            if layer := _spliced(text, run, UNICODE_ESCAPE, _unicode):
-                yield layer, False
+    if "%" in text and (layer := _spliced(text, URL_BYTES, _url)):
+        yield layer, False
+    if "\\" in text and (layer := _spliced(text, UNICODE_ESCAPE, _unicode)):
+        yield layer, False
     for run in BASE64_RUN.finditer(text):
-        if layer := _base64(run, most):
-            yield layer
+        yield from _base64(run[0], range(*run.span()), most)
+    for run in WRAPPED.finditer(text) if "\n" in text else ():
+        lines = [m.span() for m in LINE.finditer(text, *run.span())]
+        for k in range(len(lines) - 1):
+            # Wrapped lines are equally long; where the length changes, another stretch may begin.
+            if k == 0 or lines[k][1] - lines[k][0] != lines[k - 1][1] - lines[k - 1][0]:
+                yield from _base64("".join(text[a:b] for a, b in lines[k:]), [i for a, b in lines[k:] for i in range(a, b)], most)
 
 
 def find(text: str | None, most: int = 1 << 24) -> tuple[list, list]:
-    """(spans of the text itself, all spans) in order. A compressed stretch that inflates beyond `most` bytes is scanned
-    that far and reported whole as a span of kind `partial`: nothing is passed over in silence."""
+    """(spans of the text itself, all spans) in order. A compressed stretch that inflates beyond `most` characters is scanned to its end in
+    pieces, and reported whole as a span of kind `partial` too."""
     text = text or ""
     base = scan(text)
-    spans, seen, work = set(base), {text}, [(text, None, None)]
+    digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    spans, seen, work = set(base), {digest(text)}, [(layers(text, most), None, None)]
     while work:
-        above, starts, ends = work.pop()
-        for (inner, s, e), partial in layers(above, most):
-            if starts is not None:  # from positions in the layer above to positions in the original
-                s, e = [starts[i] for i in s], [ends[i - 1] for i in e]
-            if partial:
-                spans.add(("partial", s[0], e[-1]))
-            if inner in seen:
-                continue
-            seen.add(inner)
-            for kind, a, b in scan(inner):
-                span = (kind, s[a], max(e[a:b]))
-                if not any(k == kind and x <= span[1] and span[2] <= y for k, x, y in spans):
-                    spans.add(span)
-            work.append((inner, s, e))
+        above, starts, ends = work[-1]
+        if (got := next(above, None)) is None:
+            work.pop()
+            continue
+        (inner, s, e), partial = got
+        if not inner:
+            continue
+        if starts is not None:  # from positions in the layer above to positions in the original
+            s, e = [starts[i] for i in s], [ends[i - 1] for i in e]
+        if partial:
+            spans.add(("partial", s[0], e[-1]))
+        if (key := digest(inner)) in seen:
+            continue
+        seen.add(key)
+        for kind, a, b in scan(inner):
+            span = (kind, s[a], max(e[a:b]))
+            if not any(k == kind and x <= span[1] and span[2] <= y for k, x, y in spans):
+                spans.add(span)
+        work.append((layers(inner, most), s, e))
     order = {k: i for i, k in enumerate((*KINDS, "partial"))}
     key = lambda x: (x[1], order[x[0]], x[2])
     return sorted(base, key=key), sorted(spans, key=key)

@@ -76,6 +76,30 @@ def test_secret_bomb_and_cycle():
     assert secrets.find("%25" * 30)[1] == []
 
 
+def test_secret_escapes_keep_what_is_around():
+    for text in ('"password": "\\u0068unter2xyz"', "password = %68unter2xyz", "q=%E9&token%3Dabcdef123", "see %E9%74oken = abcdef123"):
+        spans = secrets.find(text)[1]
+        assert [k for k, *_ in spans] == ["assign"] and spans[0][2] >= len(text) - 1, text
+
+
+@pytest.mark.parametrize("pack", [lambda b: b, lambda b: gzip.compress(b, mtime=0)])
+def test_secret_wrapped_base64(pack):
+    code = base64.b64encode(pack(b"".join(b"%d," % (i * 7919) for i in range(300)) + SECRET.encode() + b" end")).decode()
+    for end in ("\n", "\r\n"):
+        text = "see\n" + end.join(code[i : i + 76] for i in range(0, len(code), 76)) + "\nAfter"
+        assert {"assign", "access"} <= {k for k, *_ in secrets.find(text)[1]}
+
+
+def test_secret_inflated_to_the_end():
+    for filler in (b"a " * 40_000, "é ".encode() * 30_000, b"a\x00 " * 30_000, b"\xff " * 40_000):
+        for shift in range(3):
+            code = base64.b64encode(gzip.compress(b"." * shift + filler + SECRET.encode() + b" " + filler[:2000], mtime=0)).decode()
+            spans = secrets.find(code, most=1000)[1]
+            assert {k for k, *_ in spans} == {"assign", "access", "partial"}
+    plain = base64.b64encode(b"\x00" + SECRET.encode()).decode()
+    assert {k for k, *_ in secrets.find(plain)[1]} == {"assign", "access"}
+
+
 def test_secret_query(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in op10_secret_scan(spark, sf_dir).collect():
