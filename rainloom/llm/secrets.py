@@ -5,8 +5,11 @@ or gzip data inside base64) are decoded into further layers, each of which is sc
 stretches in turn, until no new layer comes up. Layers seen before are not scanned again, so cycles end. Every position of a layer
 keeps the span of the original text from which it was decoded; findings are reported as spans of the original.
 
-Escapes are decoded in place over the whole layer, so what stands around them stays; those that aren't UTF-8 stay as they are. Base64 wrapped over
-lines is joined. Compressed data is inflated to its end and scanned piece by piece; bytes that aren't text are scanned as far as they are.
+Escapes are decoded in place over the whole layer, so what stands around them stays; those that aren't UTF-8 stay as they are. Escapes of an escape's own first
+character (%252525…) are unwrapped in one step. Base64 wrapped over lines of one length is joined. Compressed data is inflated to its end and scanned piece by
+piece, so that a worker holds a piece and not the whole; bytes that aren't text are scanned as far as they are.
+
+Work is in proportion to the text: every pattern begins at the head of a run or looks back at one, and a layer is smaller than the one it comes from.
 
 Cases: a null text counts as empty; an empty text has no spans; repeated rows give equal results; other columns
 of the input are not looked at.
@@ -20,11 +23,14 @@ import codecs
 import hashlib
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
 
@@ -32,10 +38,14 @@ ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-WRAPPED = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]+)+={0,2}")
+URL_BYTES = re.compile(r"(?:%(?:25)*+[0-9A-Fa-f]{2})++")
+URL_BYTE = re.compile(r"%(?:25)*+([0-9A-Fa-f]{2})")
+#: Well-formed UTF-8.
+UTF8 = re.compile(rb"(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})++")
+UNICODE_ESCAPE = re.compile(r"\\(?:u005[Cc]|x5[Cc])*+(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
+#: Two lines or more that base64 may be wrapped over.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: Characters of inflated text scanned at a time, and those looked at again with the next piece at least.
 PIECE, OVERLAP = 1 << 20, 1 << 12
@@ -43,7 +53,7 @@ PIECE, OVERLAP = 1 << 20, 1 << 12
 DEEPEST = 100
 
 #: A layer: its text, and for each of its characters where the original stretch begins and ends.
-Layer = tuple[str, list[int], list[int]]
+Layer = tuple[str, np.ndarray, np.ndarray]
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -59,32 +69,30 @@ def scan(text: str) -> list[tuple[str, int, int]]:
 def _spliced(text: str, pattern: re.Pattern, decode) -> Layer | None:
     """The text with each match of pattern decoded; None if none can be. Characters between keep their own positions."""
     out, starts, ends, at = [], [], [], 0
+
+    def plain(a: int, b: int) -> None:
+        out.append(text[a:b])
+        starts.append(np.arange(a, b))
+        ends.append(np.arange(a + 1, b + 1))
+
     for m in pattern.finditer(text):
         for a, b, new in decode(m):
-            out += [text[at:a], new]
-            starts += [*range(at, a), *[a] * len(new)]
-            ends += [*range(at + 1, a + 1), *[b] * len(new)]
+            plain(at, a)
+            out.append(new)
+            starts.append(np.full(len(new), a))
+            ends.append(np.full(len(new), b))
             at = b
     if not out:
         return None
-    out.append(text[at:])
-    return "".join(out), starts + [*range(at, len(text))], ends + [*range(at + 1, len(text) + 1)]
+    plain(at, len(text))
+    return "".join(out), np.concatenate(starts), np.concatenate(ends)
 
 
 def _url(m: re.Match) -> list[tuple[int, int, str]]:
     """The stretches of a run of escapes that are UTF-8, decoded."""
-    data, at, out = bytes.fromhex(m[0].replace("%", "")), 0, []
-    while at < len(data):
-        try:
-            end, skip = len(data), 0
-            new = data[at:].decode()
-        except UnicodeDecodeError as x:
-            end, skip = at + x.start, x.end - x.start
-            new = data[at:end].decode()
-        if new:
-            out.append((m.start() + 3 * at, m.start() + 3 * end, new))
-        at = end + skip
-    return out
+    places = [(x.start(), x.end(), int(x[1], 16)) for x in URL_BYTE.finditer(m.string, *m.span())]
+    data = bytes(x for _, _, x in places)
+    return [(places[x.start()][0], places[x.end() - 1][1], x[0].decode()) for x in UTF8.finditer(data)]
 
 
 def _unicode(m: re.Match) -> list[tuple[int, int, str]]:
@@ -151,7 +159,7 @@ def _pieces(chunks: Iterator[bytes], most: int) -> Iterator[tuple[str, bool]]:
         yield text, total > most
 
 
-def _base64(code: str, at: list[int] | range, most: int) -> Iterator[tuple[Layer, bool]]:
+def _base64(code: str, at: np.ndarray, most: int) -> Iterator[tuple[Layer, bool]]:
     """The layers that base64 holds; at: the position of each of its characters."""
     code = code.rstrip("=").replace("-", "+").replace("_", "/")
     code = code[: len(code) - (len(code) % 4 == 1)]  # a last character that is no byte
@@ -160,16 +168,36 @@ def _base64(code: str, at: list[int] | range, most: int) -> Iterator[tuple[Layer
     except binascii.Error:
         return
     chunks, depth = _inflated(iter([data]))
-    a, b = at[0], at[-1] + 1
+    a, b = int(at[0]), int(at[-1]) + 1
+    whole = lambda text: (text, np.full(len(text), a), np.full(len(text), b))
     if depth:
         for text, partial in _pieces(chunks, most):
-            yield (text, [a] * len(text), [b] * len(text)), partial
+            yield whole(text), partial
         return
     text = data.decode(errors="replace")
     if text.isascii():
-        yield (text, [at[i // 3 * 4] for i in range(len(text))], [at[min(len(at) - 1, i // 3 * 4 + 3)] + 1 for i in range(len(text))]), False
+        four = np.arange(len(text)) // 3 * 4
+        yield (text, at[four], at[np.minimum(len(at) - 1, four + 3)] + 1), False
     elif text:
-        yield (text, [a] * len(text), [b] * len(text)), False
+        yield whole(text), False
+
+
+def _wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Stretches of lines that base64 may be wrapped over: lines of one length, and a last one that isn't longer. Each line is in two stretches at most."""
+    for run in WRAPPED.finditer(text):
+        lines = [m.span() for m in LINE.finditer(text, *run.span())]
+        size = [b - a for a, b in lines]
+        k = 0
+        while k < len(lines) - 1:
+            end = k + 1
+            while end < len(lines) and size[end] == size[k]:
+                end += 1
+            last = end
+            if last < len(lines) and size[last] < size[k]:
+                last += 1
+            if last - k > 1:
+                yield lines[k:last]
+            k = end
 
 
 def layers(text: str, most: int) -> Iterator[tuple[Layer, bool]]:
@@ -179,22 +207,45 @@ def layers(text: str, most: int) -> Iterator[tuple[Layer, bool]]:
     if "\\" in text and (layer := _spliced(text, UNICODE_ESCAPE, _unicode)):
         yield layer, False
     for run in BASE64_RUN.finditer(text):
-        yield from _base64(run[0], range(*run.span()), most)
-    for run in WRAPPED.finditer(text) if "\n" in text else ():
-        lines = [m.span() for m in LINE.finditer(text, *run.span())]
-        for k in range(len(lines) - 1):
-            # Wrapped lines are equally long; where the length changes, another stretch may begin.
-            if k == 0 or lines[k][1] - lines[k][0] != lines[k - 1][1] - lines[k - 1][0]:
-                yield from _base64("".join(text[a:b] for a, b in lines[k:]), [i for a, b in lines[k:] for i in range(a, b)], most)
+        yield from _base64(run[0], np.arange(*run.span()), most)
+    for lines in _wrapped(text) if "\n" in text else ():
+        yield from _base64("".join(text[a:b] for a, b in lines), np.concatenate([np.arange(a, b) for a, b in lines]), most)
+
+
+class _Spans:
+    """Spans by kind. One that lies within another of its kind, come before, isn't added."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]) -> None:
+        self.all, self.widest = set(), {}
+        for span in spans:
+            self.all.add(span)
+            self._widen(*span)
+
+    def _widen(self, kind: str, a: int, b: int) -> None:
+        """Of each kind, those within no other, in order: their starts and ends rise together."""
+        starts, ends = self.widest.setdefault(kind, ([], []))
+        lo, hi = bisect_left(starts, a), bisect_right(ends, b)
+        if not self.holds(kind, a, b):
+            starts[lo : max(lo, hi)], ends[lo : max(lo, hi)] = [a], [b]
+
+    def holds(self, kind: str, a: int, b: int) -> bool:
+        starts, ends = self.widest.get(kind, ([], []))
+        at = bisect_right(starts, a) - 1
+        return at >= 0 and ends[at] >= b
+
+    def add(self, kind: str, a: int, b: int) -> None:
+        if not self.holds(kind, a, b):
+            self.all.add((kind, a, b))
+            self._widen(kind, a, b)
 
 
 def find(text: str | None, most: int = 1 << 24) -> tuple[list, list]:
     """(spans of the text itself, all spans) in order. A compressed stretch that inflates beyond `most` characters is scanned to its end in
-    pieces, and reported whole as a span of kind `partial` too."""
+    pieces as well, and reported whole as a span of kind `partial` too."""
     text = text or ""
     base = scan(text)
     digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    spans, seen, work = set(base), {digest(text)}, [(layers(text, most), None, None)]
+    spans, seen, work = _Spans(base), {digest(text)}, [(layers(text, most), None, None)]
     while work:
         above, starts, ends = work[-1]
         if (got := next(above, None)) is None:
@@ -204,20 +255,18 @@ def find(text: str | None, most: int = 1 << 24) -> tuple[list, list]:
         if not inner:
             continue
         if starts is not None:  # from positions in the layer above to positions in the original
-            s, e = [starts[i] for i in s], [ends[i - 1] for i in e]
+            s, e = starts[s], ends[e - 1]
         if partial:
-            spans.add(("partial", s[0], e[-1]))
+            spans.all.add(("partial", int(s[0]), int(e[-1])))
         if (key := digest(inner)) in seen:
             continue
         seen.add(key)
         for kind, a, b in scan(inner):
-            span = (kind, s[a], max(e[a:b]))
-            if not any(k == kind and x <= span[1] and span[2] <= y for k, x, y in spans):
-                spans.add(span)
+            spans.add(kind, int(s[a]), int(e[a:b].max()))
         work.append((layers(inner, most), s, e))
     order = {k: i for i, k in enumerate((*KINDS, "partial"))}
     key = lambda x: (x[1], order[x[0]], x[2])
-    return sorted(base, key=key), sorted(spans, key=key)
+    return sorted(base, key=key), sorted(spans.all, key=key)
 
 
 def _joined(spans: list) -> str:
@@ -233,6 +282,8 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for i, text in zip(x["id"], x["text"], strict=True):
                 base, spans = find(text, most)
                 rows.append((i, *(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]).astype({"doc_id": x["id"].dtype})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    # Ids travel as strings: a null among whole numbers would make them doubles in pandas.
+    x = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].alias("text"))
+    return x.mapInPandas(run, "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumn("doc_id", F.col("doc_id").cast("long"))
