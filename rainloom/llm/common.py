@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators between words: space and the five ASCII controls from tab to carriage return.
@@ -22,21 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
+    """The folder that all executors share (spark.checkpoint.dir). A temporary one is taken only where that is unset and the master is local, as in tests: the
+    executors of a cluster wouldn't see it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="rainloom-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: the lineage is cut, and a lost executor costs no recomputation."""
+def stash(df: DataFrame, label: str, **facts: Column) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: the lineage is cut, and a lost executor costs no recomputation. facts:
+    aggregates taken while writing, found in the result's `facts`."""
     path = f"{shared_dir(df.sparkSession)}/rainloom/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    seen = Observation()
+    watched = df.observe(seen, *[c.alias(k) for k, c in facts.items()]) if facts else df
+    watched.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stashed_at = path
+    out.stashed_at, out.facts = path, seen.get if facts else {}
     return out
 
 

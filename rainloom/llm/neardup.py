@@ -16,7 +16,8 @@
 With the default bands a pair at the threshold shares no bucket with probability below 1e-7; pairs above it more rarely still.
 
 Cases: texts that are null or without words have the empty set and are linked with nothing, not even each other; a text of fewer words than a
-shingle is one shingle; rows that repeat an id are judged by their own texts; an empty table gives an
+shingle is one shingle; rows that repeat an id are judged by their own texts; a null id is linked as any other, but class and component ids are the smallest
+ids that aren't null (null only if all are), so a row without an id is kept only where its whole component has none; an empty table gives an
 empty result; other columns are not looked at.
 """
 
@@ -36,6 +37,8 @@ from pyspark.sql import Window as W
 from rainloom.llm.common import discard, stash
 
 U = np.uint64
+#: Stands for a null id where rows are joined.
+NO_ID = -(1 << 63)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,32 +63,59 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(x)
 
 
-def superminhash(x: np.ndarray, m: int, block: int = 4096) -> np.ndarray:
-    """The SuperMinHash signature (m doubles) of a non-empty set of 64-bit hashes."""
-    h = np.full(m, np.inf)
-    for at in range(0, len(x), block):
-        part = x[at : at + block]
-        n, rows = len(part), np.arange(min(block, len(part)))
-        perm = None
-        for j in range(m):
-            if j > h.max():  # no value of this level or above can be smaller
-                break
-            bits = _mix(part + U((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            r = (bits >> U(11)).astype(np.float64) * 2.0**-53
-            k = j + (_mix(bits) % U(m - j)).astype(np.int64)
-            if perm is None and j == 0:
-                slots = first = k  # the identity with one swap: no table yet
-            else:
-                if perm is None:
-                    perm = np.tile(np.arange(m, dtype=np.int32), (n, 1))
-                    perm[rows, first], perm[:, 0] = 0, first
-                slots = perm[rows, k].copy()
-                perm[rows, k] = perm[:, j]
-                perm[:, j] = slots
-            np.minimum.at(h, slots, r + j)
+def _levels(x: np.ndarray, of: np.ndarray, h: np.ndarray) -> None:
+    """Put the elements x, which belong to the sets of rows `of`, into the signatures h (a row a set), level by level."""
+    m, flat, at = h.shape[1], h.reshape(-1), np.arange(len(x))
+    perm, first = None, None
+    for j in range(m):
+        if j < 4 or not j % 4:  # a level too many changes nothing
+            live = np.flatnonzero(h.max(axis=1)[of] >= j)  # else no value of this level or above can be smaller
+            if not len(live):
+                return
+            if len(live) < len(at):
+                x, of, at = x[live], of[live], at[live]
+        bits = _mix(x + U((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        k = j + (_mix(bits) % U(m - j)).astype(np.int64)
+        if j == 0:
+            slots = first = k  # the identity with one swap: no table yet
+        else:
+            if perm is None:
+                perm = np.tile(np.arange(m, dtype=np.int16 if m < 1 << 15 else np.int32), len(first))
+                perm[np.arange(len(first)) * m + first] = 0
+            spot = at * m + k
+            slots = perm[spot]
+            perm[spot] = perm[at * m + j]  # place j isn't looked at again
+        np.minimum.at(flat, of * m + slots, (bits >> U(11)).astype(np.float64) * 2.0**-53 + j)
+
+
+def superminhashes(sets: list[np.ndarray], m: int, block: int = 4096) -> np.ndarray:
+    """The SuperMinHash signatures (m doubles each) of non-empty sets of 64-bit hashes: small sets together, large ones block by block."""
+    h = np.full((len(sets), m), np.inf)
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))  # sets of about one size need about as many levels
+    rows: list[int] = []
+    held = 0
+    for i in order:
+        if rows and held + len(sets[i]) > block // 2:
+            _together(sets, rows, h)
+            rows, held = [], 0
+        if len(sets[i]) > block // 2:
+            for at in range(0, len(sets[i]), block):
+                part = sets[i][at : at + block]
+                _levels(part, np.zeros(len(part), np.int64), h[i : i + 1])
+        else:
+            rows.append(i)
+            held += len(sets[i])
+    if rows:
+        _together(sets, rows, h)
     return h
 
 
+def _together(sets: list[np.ndarray], rows: list[int], h: np.ndarray) -> None:
+    own = np.full((len(rows), h.shape[1]), np.inf)
+    _levels(np.concatenate([sets[i] for i in rows]), np.repeat(np.arange(len(rows)), [len(sets[i]) for i in rows]), own)
+    h[rows] = own
+
+
 def bands_for(similarity: float, rows: int, miss: float = 1e-7) -> int:
     """How many bands of so many rows leave a pair at the similarity without a common bucket with probability below miss."""
     return math.ceil(math.log(miss) / math.log(1 - similarity**rows))
@@ -97,21 +127,24 @@ def _sketches(docs: DataFrame, size: int, rows: int, bands: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 512):
-                x, out = batch.iloc[at : at + 512], []
-                for i, text_key, text in zip(x["doc_id"], x["text_key"], x["text"], strict=True):
-                    s = shingles(text, size)
-                    if not len(s):
-                        out.append((i, text_key, 0, None, None, None))
-                        continue
-                    h = superminhash(s, m)
-                    bits = h.view(U)
-                    acc = np.arange(1, bands + 1, dtype=U)
-                    for c in range(rows):
-                        acc = _mix(acc * U(0x9E3779B97F4A7C15) + bits[c::rows])
-                    out.append((i, text_key, len(s), xxhash.xxh3_128_digest(s.tobytes()), acc.view(np.int64), (_mix(bits) & U(255)).astype(np.uint8).tobytes()))
-                yield pd.DataFrame(out, columns=["doc_id", "text_key", "n", "key", "bands", "sketch"])
-
-    return docs.mapInPandas(run, "doc_id long, text_key long, n long, key binary, bands array<long>, sketch binary")
+                x = batch.iloc[at : at + 512]
+                sets = [shingles(t, size) for t in x["text"]]
+                some = [k for k, s in enumerate(sets) if len(s)]
+                h = superminhashes([sets[k] for k in some], m)
+                bits = h.view(U)
+                acc = np.tile(np.arange(1, bands + 1, dtype=U), (len(some), 1))
+                for c in range(rows):
+                    acc = _mix(acc * U(0x9E3779B97F4A7C15) + bits[:, c::rows])
+                low = (_mix(bits) & U(255)).astype(np.uint8)
+                keys, groups, sketch = [None] * len(x), [None] * len(x), [None] * len(x)
+                for row, k in enumerate(some):
+                    keys[k], groups[k], sketch[k] = xxhash.xxh3_128_digest(sets[k].tobytes()), acc[row].view(np.int64), low[row].tobytes()
+                yield pd.DataFrame({"doc_id": x["doc_id"], "text_key": x["text_key"], "n": [len(s) for s in sets], "key": keys, "bands": groups, "sketch": sketch})
+
+    # A null id must not turn the others into doubles, which hold whole numbers up to 2**53 only.
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text_key", "text")
+    out = texts.mapInPandas(run, "doc_id string, text_key long, n long, key binary, bands array<long>, sketch binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _sets(texts: DataFrame, size: int) -> DataFrame:
@@ -127,23 +160,26 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, root) for every id in links (a, b): the smallest id of its connected component. Large-star and small-star steps alternate until nothing moves."""
-    edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    """(id, root) for every id in links (a, b): the smallest id of its connected component. Large-star and small-star steps alternate until nothing moves,
+    told by the number of edges and two checksums over them that each round's own job brings along."""
+    u, v = F.col("u"), F.col("v")
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    edges.stashed_at, before = None, None
+    marks = {"n": F.count(F.lit(1)), "one": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), "two": F.bit_xor(F.xxhash64("v", F.lit("two"), "u"))}
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stash(large, "edges")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(lowest, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = stash(small, "edges")
-        if small.count() == edges.count() and small.join(edges, ["u", "v"], "left_anti").isEmpty():
-            break
-        discard(edges, large)
+        both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"))
+        large = both.where("v > u").join(least, "u").select(v.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = joined.select(v.alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = stash(small, "edges", **marks)
+        if edges.stashed_at:
+            discard(edges)
         edges = small
-    discard(edges, large)
-    roots = small.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        if small.facts == before:
+            break
+        before = small.facts
+    roots = edges.select(u.alias("id"), v.alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
 
 
@@ -169,59 +205,62 @@ def _agreeing(pairs: DataFrame, reps: DataFrame, m: int, percent: int) -> DataFr
     return two.where(near).where(agree("x", "y") >= least).select("a", "b")
 
 
-def _crossing(members: DataFrame, sets: DataFrame, percent: int, rare: int = 32) -> DataFrame:
-    """A stashed table of candidate pairs (a, b) between components: members (id, comp) of buckets with several components, by their rarest shingles.
+def _crossing(members: DataFrame, sets: DataFrame, percent: int, rare: int = 32, back: int = 64) -> DataFrame:
+    """Candidate pairs (a, b) between components: members (id, comp) of buckets with several components, by their rarest shingles.
 
     Linked sets share a shingle of their prefixes, the rarest few of each. If a shared one is held by at most `rare` members, the pair comes up
     there, among as many. Else both prefixes reach into frequent shingles and share no rare one, so the sets have no more in common than the
-    fewer of their frequent shingles: of a large group of copies only those with hardly a change of their own are left, and these
-    mostly are of one component already."""
+    fewer of their frequent shingles (`most`): of a large group of copies only those with hardly a change of their own are left, and these
+    mostly are of one component already.
+
+    Members of a shingle's largest component meet only those outside it, and only where sizes and `most` allow a link. A pair comes up at its first
+    shared shingle, and again only where none of the `back` shingles before is shared, so that a group of near copies doesn't give each of its pairs many times.
+
+    What joins on a shingle is read from tables, so that adaptive execution can split a frequent one over tasks."""
     s = percent / 100
+    least_of = lambda n: F.ceil(F.lit(s) * n - 1e-9)
     x = members.join(sets, "id").select("id", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("tok"))
     held = x.groupBy("tok").agg(F.count("*").alias("df"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("tok", "df")
-    # only shingles that other components hold too can be shared with one of them
-    every = stash(x.join(held, "tok"), "shared-shingles")
     own = W.partitionBy("id")
-    x = every.withColumns({"shared": F.count("*").over(own), "frequent": F.count_if(F.col("df") > rare).over(own), "place": F.row_number().over(own.orderBy("df", "tok"))})
+    # only shingles that other components hold too can be shared with one of them
+    x = x.join(held, "tok").withColumns({"shared": F.count("*").over(own), "frequent": F.count_if(F.col("df") > rare).over(own), "place": F.row_number().over(own.orderBy("df", "tok"))})
     # the prefix of a set counts its unshared shingles first, which are the rarest of all
-    prefix = F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - F.ceil(F.lit(s) * F.col("n") - 1e-9) + 1
-    x = stash(x.where(100 * F.col("shared") >= percent * F.col("n")).where(prefix), "rare-shingles")
-    discard(every)
-    pairs = _meeting(x.where(F.col("df") <= rare), "shared", percent, 0).unionByName(_meeting(x.where(F.col("df") > rare), "frequent", percent, 64))
-    pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    discard(x)
-    return pairs
+    prefix = F.col("place") + F.col("n") - F.col("shared") <= F.col("n") - least_of(F.col("n")) + 1
+    most = F.when(F.col("df") <= rare, F.col("shared")).otherwise(F.col("frequent"))
+    x = stash(x.where(100 * F.col("shared") >= percent * F.col("n")).where(prefix).select("id", "comp", "n", "tok", "df", most.alias("most")), "rare-shingles")
 
-
-def _meeting(x: DataFrame, most: str, percent: int, back: int) -> DataFrame:
-    """Pairs (a, b) of different components that hold one shingle, if sizes and `most`, the most that each can share, allow a link.
-    Members of a shingle's largest component meet only those outside it. A pair comes up at its first shared shingle, and again only where none
-    of the `back` shingles before is shared, so that a group of near copies doesn't give each of its pairs many times."""
     sizes = x.groupBy("tok", "comp").agg(F.count("*").alias("c"), F.min("n").alias("least"))
     groups = sizes.groupBy("tok").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.min("least").alias("least"), F.count("*").alias("comps")).where("comps > 1")
-    smallest = F.greatest("least", F.ceil(F.lit(percent / 100) * F.col("n") - 1e-9))
-    reach = percent * (F.col("n") + smallest) <= (100 + percent) * F.col(most)
+    groups = stash(groups.select("tok", "main", "least"), "shingle-groups")
+    smallest = F.greatest("least", least_of(F.col("n")))
+    reach = percent * (F.col("n") + smallest) <= (100 + percent) * F.col("most")
     here = x.join(groups, "tok").where(reach)  # even the smallest partner must be within reach
     # Rows that `reach` drops belong to no pair that sizes allow, so a pair that they do allow has both rows at its first shared shingle.
-    before = F.collect_list("tok").over(W.partitionBy("id").orderBy("df", "tok").rowsBetween(-back, -1)) if back else F.array().cast("array<bigint>")
-    here = here.withColumn("before", before)
-    outer = here.where("comp <> main").select(F.col("tok").alias("t"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col(most).alias("sa"), F.col("before").alias("ba"))
-    inner = here.select("tok", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col(most).alias("sb"), "main", F.col("before").alias("bb"))
+    before = F.collect_list("tok").over(own.orderBy("df", "tok").rowsBetween(-back, -1))
+    here = stash(here.withColumn("before", before), "shingle-members")
+    discard(x, groups)
+    outer = here.where("comp <> main").select(F.col("tok").alias("t"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("most").alias("sa"), F.col("before").alias("ba"))
+    inner = here.select("tok", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("sb"), "main", F.col("before").alias("bb"))
     once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
     enough = percent * (F.col("na") + F.col("nb")) <= (100 + percent) * F.least("sa", "sb")
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     first = ~F.arrays_overlap("ba", "bb")
-    return outer.join(inner, (F.col("t") == F.col("tok")) & (F.col("ca") != F.col("cb")) & once & enough & near & first).select("a", "b")
+    pairs = outer.join(inner, (F.col("t") == F.col("tok")) & (F.col("ca") != F.col("cb")) & once & enough & near & first)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs.made_of = here
+    return pairs
 
 
 def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = 8) -> DataFrame:
     """One row per document: doc_id, text_key (hash of its text), n_shingles, class_id (smallest id of an equal set), n_links (links of its class to other classes), component_id, kept."""
     bands = bands_for(percent / 100, rows)
     m = rows * bands
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_key"), docs[text_col].alias("text"))
     sketched = stash(_sketches(texts, shingle, rows, bands), "sketches")
-    reps = sketched.where("n > 0").groupBy(F.col("key").alias("id")).agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("s"))
-    reps = stash(reps.select("id", F.col("s.doc_id").alias("class_id"), "s.n", "s.bands", "s.sketch"), "classes")
+    # Equal sets have equal sketches. The row whose text stands for the class: the smallest id, nulls last.
+    row = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")).alias("row")
+    reps = sketched.where("n > 0").groupBy(F.col("key").alias("id")).agg(F.min("doc_id").alias("class_id"), row, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = stash(reps, "classes")
 
     buckets = reps.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -231,29 +270,35 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(sized)
     leaders = members.groupBy("bucket").agg(F.max(F.struct("weight", "id")).alias("l")).select("bucket", F.col("l.id").alias("b"))
     pairs = members.join(leaders, "bucket").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
-    near = stash(_agreeing(pairs, reps, m, percent), "pairs")
 
-    # Of the texts only those of classes that share a bucket are read again.
-    wanted = reps.join(members.select("id").distinct(), "id", "left_semi").select(F.col("class_id").alias("doc_id"))
-    sets = stash(_sets(texts.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
-    links = stash(_verified(near, sets, percent), "links")
-    discard(near)
+    # Of the texts only one of each class that shares a bucket is read again. The digest of what is read names its class.
+    wanted = reps.join(members.select("id").distinct(), "id", "left_semi").select(F.coalesce("row.doc_id", F.lit(NO_ID)).alias("i"), F.col("row.text_key").alias("k"))
+    again = texts.join(wanted, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("i")) & (F.col("text_key") == F.col("k")), "left_semi")
+    sets = stash(_sets(again, shingle).dropDuplicates(["id"]), "sets")
+    links = stash(_verified(_agreeing(pairs, reps, m, percent), sets, percent), "links")
     roots = components(links)
 
     comp = F.coalesce("root", "id")
     placed = members.join(roots, "id", "left").select("id", "bucket", comp.alias("comp"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("bucket")
-    open_ = stash(placed.join(mixed, "bucket", "left_semi").select("id", "comp").distinct(), "open")
-    crossing = _crossing(open_, sets, percent)
-    more = stash(_verified(_agreeing(crossing, reps, m, percent), sets, percent), "links")
-    first, links = links, stash(links.unionByName(more).distinct(), "links")
-    discard(crossing, open_, members, sets, more, first)
-    roots = components(links)
+    open_ = stash(placed.join(mixed, "bucket", "left_semi").select("id", "comp").distinct(), "open", n=F.count(F.lit(1)))
+    discard(members)
+    classes = reps.select("id", "class_id").join(roots, "id", "left").withColumn("root", comp)
+    if open_.facts["n"]:
+        crossing = _crossing(open_, sets, percent)
+        more = stash(_verified(_agreeing(crossing, reps, m, percent), sets, percent), "links", n=F.count(F.lit(1)))
+        discard(crossing.made_of)
+        if more.facts["n"]:  # links between components: components of components
+            comps = open_.select("id", "comp").distinct()
+            two = more.join(comps.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a").join(comps.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b")
+            top = components(two.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()).select(F.col("id").alias("root"), F.col("root").alias("top"))
+            classes = classes.join(top, "root", "left").withColumn("root", F.coalesce("top", "root"))
+            links = links.unionByName(more)
+    discard(open_, sets)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    classes = reps.select("id", "class_id").join(roots, "id", "left").join(degree, "id", "left").withColumn("root", comp)
     smallest = classes.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    classes = classes.join(smallest, "root").select("id", "class_id", "n_links", "component_id")
+    classes = classes.join(degree, "id", "left").join(smallest, "root").select("id", "class_id", "n_links", "component_id")
     out = sketched.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("key").alias("id")).join(classes, "id", "left")
     own = lambda c: F.coalesce(c, "doc_id").alias(c)
     out = out.select("doc_id", "text_key", "n_shingles", own("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own("component_id"))

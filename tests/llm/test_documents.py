@@ -56,6 +56,8 @@ def test_near_duplicates_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in op9_near_duplicates(spark, sf_dir).collect())
     assert got == sorted(grouped(rows, 3, 85))
+    five = neardup.group_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))  # as in the pipeline
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in five.collect()) == sorted(grouped(rows, 5, 80))
 
 
 def test_near_duplicates_large_group(spark):
@@ -83,11 +85,29 @@ def test_superminhash_estimates():
         k = int(len(a) * share)
         b = np.concatenate([a[:k], np.unique(rng.integers(0, 2**63, len(a) - k, dtype=np.uint64))])
         j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        est = (neardup.superminhash(a, 512) == neardup.superminhash(b, 512)).mean()
+        x, y = neardup.superminhashes([a, b], 512)
+        est = (x == y).mean()
         assert est == pytest.approx(j, abs=0.08)
-    small = a[:5]
-    h = neardup.superminhash(small, 64)
-    assert np.isfinite(h).all() and (neardup.superminhash(small[::-1], 64, block=2) == h).all()
+    sets = [a[:5], a[5:6], a[:300], a[100:3000], a]
+    h = neardup.superminhashes(sets, 64)
+    assert np.isfinite(h).all()
+    for block in (2, 64, 1 << 20):  # whatever is worked off together
+        assert (neardup.superminhashes([s[::-1] for s in sets], 64, block=block) == h).all()
+
+
+def test_near_duplicates_null_ids(spark):
+    """Rows without an id are linked like others; ids that aren't null name classes and components; large ids stay exact."""
+    rng = random.Random(8)
+    base, far = prose(rng, 200), prose(rng, 200)
+    near = [*base[:100], "changed", *base[101:]]
+    big = (1 << 60) + 1
+    rows = [(None, " ".join(base)), (5, " ".join(base)), (7, " ".join(near)), (None, " ".join(far)), (None, " ".join([*far[:50], "x", *far[51:]])), (big, "alone here"), (None, None)]
+    out = neardup.group_documents(docs(spark, rows), shingle=3, percent=85).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, []).append((r.class_id, r.n_links, r.component_id, r.kept))
+    assert by[5] == [(5, 1, 5, True)] and by[7] == [(7, 1, 5, False)] and by[big] == [(big, 0, big, True)]
+    assert sorted(by[None], key=str) == sorted([(5, 1, 5, False), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True)], key=str)
 
 
 def test_components(spark):
