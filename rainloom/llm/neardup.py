@@ -303,3 +303,19 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = lambda c: F.coalesce(c, "doc_id").alias(c)
     out = out.select("doc_id", "text_key", "n_shingles", own("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The rows of docs that `group_documents` keeps, and of rows that repeat an id (or null) and a text one each. Null texts count as empty ones, and rows without words are kept."""
+    text = F.coalesce(docs[text_col], F.lit(""))
+    judged = group_documents(docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text")), **params).where("kept")
+    own = F.coalesce("doc_id", F.lit(NO_ID))
+    kept = stash(judged.groupBy(own.alias("i"), F.col("text_key").alias("k"), (F.col("n_shingles") > 0).alias("said")).agg(F.count("*").alias("n")), "kept", again=F.count_if((F.col("n") > 1) & F.col("said")))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    x = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("i"), F.xxhash64(text).alias("k"), text.alias("text"), row)
+    more = (F.col("n") > 1) & F.col("said")
+    out = x.join(kept.where(~more), ["i", "k"], "left_semi").select("row.*")
+    if kept.facts["again"]:
+        again = x.join(kept.where(more), ["i", "k"], "left_semi").groupBy("i", "text").agg(F.first("row").alias("row"))
+        out = out.unionByName(again.select("row.*"))
+    return out

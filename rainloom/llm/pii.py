@@ -1,13 +1,14 @@
 """Personal data: detection, and keyed surrogates that stay true to type and format.
 
-Detected are e-mail addresses, telephone numbers, card numbers that pass the Luhn test, social security numbers, IPv4 addresses, and names behind
-a title or a known first name. A surrogate depends on a key, the kind and the canonical value, so one person's data get the same surrogate
+Detected are e-mail addresses, telephone numbers, card numbers that pass the Luhn test, social security numbers, IPv4 addresses, and names: behind
+a title or a known first name, behind a phrase that introduces one, or before the person's e-mail address. A surrogate depends on a key, the kind and the canonical value, so one person's data get the same surrogate
 in every text (coreference), and it keeps the format: digits stay digits, letters keep case and script, separators stay, card numbers pass the Luhn test,
-addresses are addresses, first names come from names of the same gender and script.
+addresses are addresses, first names come from names of the same gender and script. Names in scripts without a list or syllables here get other letters of their script, kind by kind; marks stay.
 
 Distinctness is checked over all distinct entities: where two values would get one surrogate, or a surrogate is a value that
 occurs itself, all but the smallest value draw again, until no two share one. Such redraws are rare; up to `redraw_bound` of them
-are sent to the tasks, more are joined to the documents that hold them.
+are sent to the tasks, more are joined to the documents that hold them. Draws widen with the attempts (names and addresses by letters from the eighth on, telephone numbers by a digit from the
+64th on), so that values of one short form find surrogates however many they are; kinds of fixed length have over 10**8 values, and a job whose draws run out at MOST attempts stops with an error.
 
 Cases: null texts stay null, empty texts empty; overlapping detections keep the leftmost, then the longest; repeated rows are treated alike; other columns are
 kept as they are, whatever their names; an empty table gives an empty result.
@@ -19,6 +20,7 @@ import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,28 +30,45 @@ from pyspark.sql import types as T
 from rainloom.llm.common import stash
 
 # Titles and first names by gender and script.
-TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа"), "n": ("Dr", "Prof")}
+TITLES = {
+    "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "Κύριος", "السيد", "श्री", "מר"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "госпожа", "Κυρία", "السيدة", "श्रीमती", "גברת"),
+    "n": ("Dr", "Prof"),
+}
+CUES = ("my name is", "name:", "contact:", "signed,", "signed by", "sincerely,", "written by", "author:", "mein Name ist", "je m'appelle", "me llamo", "меня зовут")
 NAMES = {
     ("m", "LATIN"): ("James", "John", "Robert", "Michael", "William", "David", "Thomas", "Daniel", "Hans", "Peter", "Klaus", "Jean", "Pierre", "Luis", "Carlos", "Jorge", "Miguel", "Stefan", "Marco", "Henry"),
     ("f", "LATIN"): ("Mary", "Anna", "Emma", "Julia", "Laura", "Sarah", "Maria", "Sophie", "Claire", "Marie", "Carmen", "Elena", "Ingrid", "Helga", "Petra", "Alice", "Emily", "Olivia", "Lucia", "Irene"),
     ("m", "CYRILLIC"): ("Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай", "Михаил", "Андрей", "Олег", "Павел"),
     ("f", "CYRILLIC"): ("Анна", "Мария", "Елена", "Ольга", "Наталья", "Ирина", "Татьяна", "Светлана", "Юлия", "Вера"),
+    ("m", "GREEK"): ("Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Γιάννης", "Παναγιώτης"),
+    ("f", "GREEK"): ("Μαρία", "Ελένη", "Κατερίνα", "Σοφία", "Άννα", "Βασιλική"),
+    ("m", "ARABIC"): ("محمد", "أحمد", "علي", "حسن", "خالد", "يوسف"),
+    ("f", "ARABIC"): ("فاطمة", "مريم", "عائشة", "زينب", "ليلى", "سارة"),
+    ("m", "DEVANAGARI"): ("राजेश", "अमित", "सुनील", "विजय", "अनिल", "रवि"),
+    ("f", "DEVANAGARI"): ("सुनीता", "अनीता", "पूजा", "प्रिया", "गीता", "सीता"),
 }
 SYLLABLES = {"LATIN": ("ba", "den", "fol", "gar", "hal", "kim", "lor", "mas", "ner", "pol", "ris", "sen", "tal", "vor", "win", "zel"), "CYRILLIC": ("ба", "ден", "фол", "гар", "ким", "лор", "мас", "нер", "пол", "рис", "сен", "тал", "вор", "зел", "жук", "бор")}
 GENDER = {n.lower(): g for (g, _), names in NAMES.items() for n in names}
 
 _given = "|".join(n for names in NAMES.values() for n in names)
 _titles = {t.lower(): g for g, ts in TITLES.items() for t in ts}
-_cap = r"[^\W\d_a-zà-ÿа-яё][^\W\d_]+"
+#: Letters, with the vowel signs and marks that some scripts write words with.
+_letter = r"(?:[^\W\d_]|[\u0300-\u036f\u0591-\u05c7\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31-\u0e4e])"
+_cap = rf"[^\W\d_a-zß-öø-ÿа-яёα-ώ]{_letter}++"
+_title = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 PATTERNS = (
-    ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9_][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])"), "@"),
+    ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9_][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])"), "@"),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), "-"),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"), "."),
     ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"), ""),
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])"), ""),
 )
-NAME = re.compile(rf"\b(?:(?P<title>{'|'.join(t for ts in TITLES.values() for t in ts)})\b\.?[ ]+(?P<one>{_cap})(?:[ ]+(?P<two>{_cap}))?|(?P<given>{_given})[ ]+(?P<last>{_cap}))")
-ANY_NAME = re.compile(rf"\b(?:{'|'.join(t for ts in TITLES.values() for t in ts)}|{_given})\b")
+NAME = re.compile(rf"(?<!\w)(?:(?P<title>{_title})(?!\w)\.?[ ]+(?P<one>{_cap})(?:[ ]+(?P<two>{_cap}))?|(?P<given>{_given})[ ]+(?P<last>{_cap}))")
+ANY_NAME = re.compile(rf"(?<!\w)(?:{_title}|{_given})(?!\w)")
+CUED = re.compile(rf"(?<!\w)(?i:{'|'.join(map(re.escape, CUES))})\s{{1,4}}(?P<one>{_cap})[ ](?P<two>{_cap})(?!\w)")
+ANY_CUE = re.compile("|".join(re.escape(c[1:]) for c in CUES), re.IGNORECASE)
+MAILED = re.compile(rf"(?<!\w)(?P<one>{_cap})[ ](?P<two>{_cap})[ ]?[<(](?=[A-Za-z0-9._%+-]+@)")
 
 
 def luhn(digits: str) -> bool:
@@ -72,6 +91,12 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
                 if kind == "card" and not luhn(re.sub(r"\D", "", m[0])):
                     continue
                 found.append((*m.span(), kind))
+    named = (CUED,) if ANY_CUE.search(text) else ()
+    if "@" in text:
+        named += (MAILED,)
+    for pattern in named:
+        for m in pattern.finditer(text):
+            found += [(*m.span("one"), f"given:{GENDER.get(m['one'].lower(), 'n')}"), (*m.span("two"), "last")]
     if ANY_NAME.search(text):
         for m in NAME.finditer(text):
             title, one, two, given = m["title"], m["one"], m["two"], m["given"]
@@ -93,8 +118,17 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
 
 
 def script(text: str) -> str:
-    name = next((unicodedata.name(c, "LATIN") for c in text if c.isalpha()), "LATIN")
-    return "CYRILLIC" if name.startswith("CYRILLIC") else "LATIN"
+    """The script of a text's first letter, as Unicode's names begin: LATIN, GREEK, CJK, …"""
+    return next((unicodedata.name(c, "LATIN").split()[0] for c in text if c.isalpha()), "LATIN")
+
+
+@lru_cache(maxsize=4096)
+def _alike(c: str) -> str:
+    """Letters of the script and kind (capital, small or neither) of c, from the code points around it (of all ideographs or syllables, where those are many)."""
+    at, name, kind = ord(c), unicodedata.name(c, "").split(" ")[0], unicodedata.category(c)
+    first, size = (at // 128 * 128, 128) if name not in ("CJK", "HANGUL") else (at // 4096 * 4096, 4096)
+    near = map(chr, range(first, first + size))
+    return "".join(x for x in near if unicodedata.category(x) == kind and unicodedata.name(x, "").split(" ")[0] == name and len(x.lower()) == len(x.upper()) == 1)
 
 
 class _Draws:
@@ -118,9 +152,13 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         s = script(value)
         if kind != "last":
             genders = (kind[-1],) if kind[-1] != "n" else ("m", "f")
-            pool = [n.lower() for g in genders for n in NAMES[g, s] if n.lower() != value]
-            if attempt < 8:
+            pool = [n.lower() for g in genders for n in NAMES.get((g, s), ()) if n.lower() != value]
+            if pool and attempt < 8:
                 return pool[d.below(len(pool))]
+        if s not in SYLLABLES:
+            new = "".join(p[d.below(len(p))] if (p := _alike(c)) else c for c in value)
+            letters = [c for c in value if _alike(c)]
+            return new + "".join(p[d.below(len(p))] for c in letters[-1:] * (attempt // 8) if (p := _alike(c)))
         # beyond the known names, and for surnames: syllables, more of them with every eight attempts
         stem = "".join(SYLLABLES[s][d.below(len(SYLLABLES[s]))] for _ in range(3 + attempt // 8))
         return stem + {"mLATIN": "o", "fLATIN": "a", "fCYRILLIC": "а"}.get(kind[-1] + s, "")
@@ -128,27 +166,33 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         return ".".join(str(1 + d.below(254)) for _ in range(4))
     if kind == "phone":
         lead = 1 if len(value) == 11 and value[0] == "1" else max(0, len(value) - 10)  # the country's code stays
-        return value[:lead] + "".join(str(d.below(10) if i else 2 + d.below(8)) for i in range(len(value) - lead))
+        return value[:lead] + "".join(str(d.below(10) if i else 2 + d.below(8)) for i in range(len(value) - lead + attempt // 64))
     if kind in ("card", "ssn"):
         digits = "".join(str(1 + d.below(9)) if not i else str(d.below(10)) for i in range(len(value)))
         return next(digits[:-1] + c for c in "0123456789" if luhn(digits[:-1] + c)) if kind == "card" else digits
     keep = value.rfind(".")  # an address: the last part of the domain stays
     swap = lambda c: chr(97 + d.below(26)) if c.isalpha() else str(d.below(10)) if c.isdigit() else c
-    return "".join(swap(c) if i < keep else c for i, c in enumerate(value))
+    more = "".join(chr(97 + d.below(26)) for _ in range(attempt // 8))
+    return more + "".join(swap(c) if i < keep else c for i, c in enumerate(value))
 
 
 def dressed(kind: str, plain: str, original: str) -> str:
     """The canonical surrogate with the separators and the case of the original."""
     if kind in ("card", "phone", "ssn"):
         digits = iter(plain)
-        return "".join(next(digits) if c.isdigit() else c for c in original)
+        return "".join(next(digits) if c.isdigit() else c for c in original) + "".join(digits)
     if kind == "ip":
         return plain
     if kind == "email":
-        return "".join(p.upper() if o.isupper() else p for p, o in zip(plain, original, strict=True))
+        more = len(plain) - len(original)
+        return plain[:more] + "".join(p.upper() if o.isupper() else p for p, o in zip(plain[more:], original, strict=True))
     return plain.upper() if original.isupper() and len(original) > 1 else plain.capitalize() if original[:1].isupper() else plain
 
 
+#: Draws for one value before a job gives up.
+MOST = 1000
+
+
 def entities(docs: DataFrame, text_col: str) -> DataFrame:
     """(kind, value): the distinct canonical entities of all documents."""
 
@@ -171,8 +215,11 @@ def redraws(found: DataFrame, key: bytes) -> DataFrame:
         # A surrogate goes to the value with the fewest attempts, then the smallest; two rows of one value share it.
         owner = state.groupBy("family", "plain").agg(F.min(F.struct("attempt", "value")).getField("value").alias("owner"), F.min("value").alias("v0"), F.max("value").alias("v1"))
         bad = owner.join(real, ["family", "plain"], "left").where("real or v0 <> v1").select("family", "plain", "owner", F.coalesce("real", F.lit(False)).alias("real"))
-        again = stash(state.join(bad, ["family", "plain"]).where("real or value <> owner").select("kind", "value", "family", (F.col("attempt") + 1).alias("attempt")), "surrogates")
-        if again.isEmpty():
+        again = state.join(bad, ["family", "plain"]).where("real or value <> owner").select("kind", "value", "family", (F.col("attempt") + 1).alias("attempt"))
+        again = stash(again, "surrogates", n=F.count(F.lit(1)), most=F.max("attempt"))
+        if (again.facts["most"] or 0) > MOST:
+            raise ArithmeticError("there are no surrogates left for some values")
+        if not again.facts["n"]:
             return state.where("attempt > 0").select("kind", "value", "attempt")
         rest = state.join(again, ["kind", "value"], "left_anti")
         state = stash(rest.unionByName(again.withColumn("plain", draw("kind", "value", "attempt"))), "surrogates")
