@@ -1,15 +1,19 @@
-"""Repeated passages: hashing of all windows of words.
+"""Repeated passages: hashing of lines, and of all windows of words for passages that begin and end within lines.
 
-Passages that documents share begin and end anywhere, so a unit begins at every word and is the next `unit` words: no word is outside the units, and
-what stands around a passage doesn't change the units within. Words are normalised (Unicode lower case) and hashed, digests are grouped over all
-documents, and the occurrence with the smallest id, then the smallest offset, is kept. Of the others, overlapping and adjacent ones are joined, and
+Lines (paragraphs) are normalised (Unicode lower case, single spaces), those of `line` words or more hashed to 128 bits, digests are grouped over all documents, and the
+occurrence with the smallest id, then text, then offset, is kept; all others are removed.
+
+Passages that documents share also begin and end anywhere. So a second kind of unit begins at every word and is the next `unit` words: no word is outside the units, and
+what stands around a passage doesn't change the units within. They are hashed and grouped in the same way. Overlapping and adjacent ones are joined, and
 stretches of at least `least` words are removed, with their offsets in the original text. So every run of `least` words or more that stands in a
-document with a smaller id, or before in the same text, is removed to its last word.
+document with a smaller id, or before in the same text, is removed to its last word. Their digests have 64 bits: a stretch takes `least - unit + 1` neighbours that all are repeats, which chance doesn't give.
 
-There are nearly as many units as words, so they travel packed: each row of the shuffles holds the units of one of BUCKETS ranges of digests (then of documents).
-A digest that a text repeats is sent once for the text.
+There are nearly as many windows as words, so they travel packed: each row of the shuffles holds the units of one range of digests (then of one chunk or some documents).
+A digest that a text repeats is sent once for the text, and one that a chunk of CHUNK units repeats is sent once for the chunk, whose other occurrences wait for the answer. So a
+passage that a third of all documents hold comes to the task of its digests once a chunk and not once a document. Ranges grow in number with the session's shuffle partitions.
 
-Cases: null, empty and short texts have no units; texts of rows that repeat an id aren't compared with each other; an empty table
+Cases: null, empty and short texts have no units; a row without an id ranks behind all that have one, by the hash of its text, and its doc_id is null in the result; rows that
+repeat an id are compared with each other by their texts, and rows that repeat both are treated alike (none is a copy of the other); ids lie below 2**62; an empty table
 gives an empty result; other columns are not looked at, and kept by `remove_repeats`.
 """
 
@@ -22,17 +26,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rainloom.llm.common import stash
+
 TOKEN = re.compile(r"\S+")
-#: Ranges of digests (by their highest 11 bits; the DIGEST lowest bytes travel) and of documents.
-BUCKETS = 2048
-DIGEST = 6
-DOC_BUCKETS = 512
 #: Units (hits) that a task holds before it sends them on.
-HELD = 1 << 20
-PACKED = "bucket int, kind int, n int, inner binary, outer binary"
+CHUNK = 1 << 20
+#: Ids from here on stand for rows without one.
+NO_ID = 1 << 62
+PACKED = "bucket int, kind int, chunk int, n int, inner binary, outer binary"
+#: Kinds of packed rows: units of a range of digests (whose chunk has no others, or has), units of a chunk that wait, answers for them, units that a text repeats, and hits.
+ALONE, WITH_OTHERS, WAITING, ANSWER, WITHIN, HIT = range(6)
 
 
 class _Hashes(dict):
@@ -82,7 +89,7 @@ def _column(data: bytes, at: int, n: int, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at * n).reshape(size, n).T).view(kind).ravel()
 
 
-def _packed(bucket: np.ndarray, kind: int, doc: np.ndarray, part: np.ndarray, pos: np.ndarray, value: np.ndarray) -> pd.DataFrame:
+def _packed(bucket: np.ndarray, kind: int, doc: np.ndarray, part: np.ndarray, pos: np.ndarray, value: np.ndarray, chunk: int = 0) -> pd.DataFrame:
     """One row per bucket: its documents (the first, then differences) and positions, ascending, parts and values. Digests (unsigned values) and their parts don't compress and stay apart."""
     order = np.lexsort((pos, doc, bucket))
     bucket, doc, part, pos, value = bucket[order], doc[order], part[order], pos[order], value[order]
@@ -93,23 +100,21 @@ def _packed(bucket: np.ndarray, kind: int, doc: np.ndarray, part: np.ndarray, po
         step[a] = doc[a]
         c = slice(a, b)
         if value.dtype == np.uint64:
-            inner, outer = _planes(step[c], pos[c]), _planes(part[c], value[c])[: (b - a) * (4 + DIGEST)]
+            inner, outer = _planes(step[c], pos[c]), _planes(part[c], value[c])
         else:
             inner, outer = _planes(step[c], pos[c], part[c], value[c]), b""
-        rows.append((int(bucket[a]), kind, b - a, zlib.compress(inner, 1), outer))
-    return pd.DataFrame(rows, columns=["bucket", "kind", "n", "inner", "outer"])
+        rows.append((int(bucket[a]), kind, chunk, b - a, zlib.compress(inner, 1), outer))
+    return pd.DataFrame(rows, columns=["bucket", "kind", "chunk", "n", "inner", "outer"])
 
 
 def _unpacked(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """doc, part, pos and value (int64) of packed rows."""
+    """doc, part, pos and value (int64, also of digests) of packed rows."""
     out = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64))]
     for r in rows:
-        inner, outer, n = zlib.decompress(r.inner), r.outer, r.n
+        inner, n = zlib.decompress(r.inner), r.n
         doc, pos = np.cumsum(_column(inner, 0, n, "<i8")), _column(inner, 8, n, "<i4")
-        if outer:
-            out.append((doc, _column(outer, 0, n, "<i4"), pos, _column(outer + bytes((8 - DIGEST) * n), 4, n, "<i8")))
-        else:
-            out.append((doc, _column(inner, 12, n, "<i4"), pos, _column(inner, 16, n, "<i8")))
+        data, at = (r.outer, 0) if r.outer else (inner, 12)
+        out.append((doc, _column(data, at, n, "<i4"), pos, _column(data, at + 4, n, "<i8")))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -126,8 +131,43 @@ def _by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
         yield rows
 
 
-def _doc_bucket(doc: np.ndarray) -> np.ndarray:
-    return ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % DOC_BUCKETS
+def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % buckets
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a new combination begins in sorted columns."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([np.diff(c) != 0 for c in columns])]))
+
+
+def ranked(id_: Column, text: Column) -> Column:
+    """The id by which rows rank: their own, or one behind all others that the text gives."""
+    return F.coalesce(id_.cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text), 2))
+
+
+def line_repeats(x: DataFrame, line: int) -> DataFrame:
+    """(doc_id, part, b, e, first_doc_id): the repeated lines of x (doc_id, text), from word b up to word e."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch["doc_id"], batch["text"], strict=True):
+                part, at = None, 0
+                for one in text.split("\n"):
+                    words = one.lower().split()
+                    if len(words) >= line:
+                        part = _part(text) if part is None else part
+                        rows.append((i, part, at, at + len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
+                    at += len(words)
+            yield pd.DataFrame(rows, columns=["doc_id", "part", "b", "e", "digest"])
+
+    lines = stash(x.mapInPandas(cut, "doc_id long, part int, b int, e int, digest binary"), "lines")
+    place = F.struct("doc_id", "part", "b")
+    firsts = lines.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
+    # Read from tables on both sides, so that a line that very many documents hold can be split over tasks.
+    return lines.join(stash(firsts, "line-firsts"), "digest").where(place != F.col("first")).select("doc_id", "part", "b", "e", F.col("first.doc_id").alias("first_doc_id"))
 
 
 def _stretches(doc: int, part: int, pos: np.ndarray, first: np.ndarray, unit: int, least: int) -> list[tuple]:
@@ -138,23 +178,37 @@ def _stretches(doc: int, part: int, pos: np.ndarray, first: np.ndarray, unit: in
     return [(doc, part, int(b[k]), int(e[k]), int(first[begin[k]])) for k in np.flatnonzero(e - b >= least)]
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 8, least: int = 40) -> DataFrame:
-    """One row per removed stretch: doc_id, part (hash of the text, for rows that repeat an id), start, end, n_words, first_doc_id (which keeps the first unit's first occurrence)."""
-    x = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("doc_id is not null and text is not null")
+def window_repeats(x: DataFrame, unit: int, least: int, chunk: int) -> DataFrame:
+    """(doc_id, part, b, e, first_doc_id): the repeated stretches of x (doc_id, text), from word b up to word e."""
+    partitions = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges, doc_buckets = max(2048, 8 * partitions), max(512, 2 * partitions)
+
+    def within_bucket(doc: np.ndarray) -> np.ndarray:
+        return -1 - _doc_bucket(doc, doc_buckets)  # below 0: of documents, not of chunks
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Units by range of digests (kind 0, first in their text), and those that a text repeats by document (kind 1, with the place of the first)."""
-        held, n = [], 0
+        """Chunk by chunk: the first unit of each digest by range of digests, the others that wait for its answer, and by document those that a text repeats, with the place of the first."""
+        held, n, made = [], 0, TaskContext.get().partitionId() << 12
 
         def sent() -> Iterator[pd.DataFrame]:
             doc, part, size = (np.array([h[k] for h in held], np.int64) for k in range(3))
             doc, part = np.repeat(doc, size), np.repeat(part, size).astype(np.int32)
             pos, digest, ref = (np.concatenate([h[k] for h in held]) for k in (3, 4, 5))
-            once = ref < 0
-            yield _packed((digest[once] // np.uint64((1 << 64) // BUCKETS)).astype(np.int64), 0, doc[once], part[once], pos[once], digest[once])
-            if not once.all():
+            if not (once := ref < 0).all():
                 again = ~once
-                yield _packed(_doc_bucket(doc[again]), 1, doc[again], part[again], pos[again], ref[again].astype(np.int64))
+                yield _packed(within_bucket(doc[again]), WITHIN, doc[again], part[again], pos[again], ref[again].astype(np.int64))
+            doc, part, pos, digest = doc[once], part[once], pos[once], digest[once]
+            order = np.lexsort((part, doc, digest))
+            head = _heads(digest[order])
+            count = np.diff(head, append=len(order))
+            first = order[head]
+            rest = np.ones(len(order), bool)
+            rest[first] = False
+            for kind, some in ((ALONE, first[count == 1]), (WITH_OTHERS, first[count > 1])):
+                if len(some):
+                    yield _packed((digest[some] >> np.uint64(32)).astype(np.int64) * ranges >> 32, kind, doc[some], part[some], pos[some], digest[some], made)
+            if rest.any():
+                yield _packed(np.full(int(rest.sum()), made), WAITING, doc[rest], part[rest], pos[rest], digest[rest], made)
 
         for batch in batches:
             for i, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -166,97 +220,142 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uni
                 ref = np.where(first[back] == at, -1, first[back]).astype(np.int32)
                 held.append((i, _part(text), len(d), at.astype(np.int32), d, ref))
                 n += len(d)
-                if n >= HELD:
+                if n >= chunk:
                     yield from sent()
-                    held, n = [], 0
+                    held, n, made = [], 0, made + 1
         if held:
             yield from sent()
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of each range of digests, the units that have an occurrence in a smaller id, by document, with that id (kind 0)."""
+        """Of each range of digests, the units that aren't the first of their kind, by document, with the id of the first; and the answers for chunks. Other rows pass."""
         held, n = [], 0
 
         def sent() -> pd.DataFrame:
             doc, part, pos, first = (np.concatenate([h[k] for h in held]) for k in range(4))
-            return _packed(_doc_bucket(doc), 0, doc, part, pos, first)
+            return _packed(within_bucket(doc), HIT, doc, part, pos, first)
 
         for rows in _by_bucket(batches):
-            if again := [r for r in rows if r.kind == 1]:
-                yield pd.DataFrame(again, columns=["bucket", "kind", "n", "inner", "outer"])
-            doc, part, pos, digest = _unpacked([r for r in rows if r.kind == 0])
+            if passing := [r for r in rows if r.kind in (WAITING, WITHIN)]:
+                yield pd.DataFrame(passing, columns=["bucket", "kind", "chunk", "n", "inner", "outer"])
+            rows = [r for r in rows if r.kind in (ALONE, WITH_OTHERS)]
+            doc, part, pos, digest = _unpacked(rows)
             if not len(doc):
                 continue
-            order = np.lexsort((doc, digest))
-            start = np.flatnonzero(np.diff(digest[order], prepend=~digest[order[0]]))
-            first = np.repeat(doc[order[start]], np.diff(start, append=len(order)))
-            hit = first != doc[order]
-            held.append((doc[order[hit]], part[order[hit]], pos[order[hit]], first[hit]))
+            chunks = np.repeat([r.chunk if r.kind == WITH_OTHERS else -1 for r in rows], [r.n for r in rows])
+            order = np.lexsort((part, doc, digest))
+            head = _heads(digest[order])
+            count = np.diff(head, append=len(order))
+            first, first_part = np.empty_like(doc), np.empty_like(part)
+            first[order], first_part[order] = np.repeat(doc[order[head]], count), np.repeat(part[order[head]], count)
+            some = chunks >= 0
+            if some.any():
+                for c in np.unique(chunks[some]):
+                    own = chunks == c
+                    zero = np.zeros(int(own.sum()), np.int32)
+                    yield _packed(np.full(len(zero), c), ANSWER, first[own], zero, zero, digest[own].view(np.uint64), int(c))
+            hit = (first != doc) | (first_part != part)
+            held.append((doc[hit], part[hit], pos[hit], first[hit]))
             n += int(hit.sum())
-            if n >= HELD:
+            if n >= CHUNK:
                 yield sent()
                 held, n = [], 0
         if n:
             yield sent()
 
+    def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The units that waited in a chunk, by document, as the hits that they are. Other rows pass."""
+        for rows in _by_bucket(batches):
+            if rows[0].bucket < 0:
+                yield pd.DataFrame(rows, columns=["bucket", "kind", "chunk", "n", "inner", "outer"])
+                continue
+            doc, part, pos, digest = _unpacked([r for r in rows if r.kind == WAITING])
+            first, _, _, known = _unpacked([r for r in rows if r.kind == ANSWER])
+            order = np.argsort(known)
+            at = order[np.searchsorted(known, digest, sorter=order)]
+            yield _packed(within_bucket(doc), HIT, doc, part, pos, first[at])
+
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _by_bucket(batches):
-            across, within = (_unpacked([r for r in rows if r.kind == k]) for k in (0, 1))
+            across, within = (_unpacked([r for r in rows if r.kind == k]) for k in (HIT, WITHIN))
             doc, part, pos = (np.concatenate([across[k], within[k]]) for k in range(3))
             # A unit repeated within its text has the first occurrence that the text's first unit of that kind has.
             ref = np.concatenate([across[2], within[3].astype(np.int32)])
             value = np.concatenate([across[3], within[0]])
             own = np.concatenate([np.zeros(len(across[0]), bool), np.ones(len(within[0]), bool)])
             order = np.lexsort((own, ref, part, doc))
-            d, p, r = doc[order], part[order], ref[order]
-            head = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 0) | (np.diff(p) != 0) | (np.diff(r) != 0)]))
+            head = _heads(doc[order], part[order], ref[order])
             first = np.empty(len(order), np.int64)
             first[order] = np.repeat(value[order[head]], np.diff(head, append=len(order)))
             order = np.lexsort((pos, part, doc))
             d, p, at, first = doc[order], part[order], pos[order], first[order]
-            edge = [0, *(np.flatnonzero((np.diff(d) != 0) | (np.diff(p) != 0)) + 1).tolist(), len(d)]
+            edge = [*_heads(d, p).tolist(), len(d)]
             out = [s for a, b in zip(edge, edge[1:], strict=False) for s in _stretches(int(d[a]), int(p[a]), at[a:b], first[a:b], unit, least)]
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "part", "b", "e", "first_doc_id"])
 
+    sorted_by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    sent = x.mapInPandas(cut, PACKED)
+    for step in (met, answered):
+        sent = sorted_by_bucket(sent).mapInPandas(step, PACKED)
+    return sorted_by_bucket(sent).mapInPandas(merged, "doc_id long, part int, b int, e int, first_doc_id long")
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 8, least: int = 40, line: int = 16, chunk: int = CHUNK) -> DataFrame:
+    """One row per removed stretch: doc_id, part (hash of the text, for rows that repeat an id), start, end, n_words, first_doc_id (which keeps the first unit's first occurrence)."""
+    found = _repeats(docs, id_col, text_col, unit, least, line, chunk)
+    no_id = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
+    return found.select(no_id("doc_id"), "part", "start", "end", "n_words", no_id("first_doc_id"))
+
+
+def _repeats(docs: DataFrame, id_col: str, text_col: str, unit: int, least: int, line: int, chunk: int) -> DataFrame:
+    text = docs[text_col]
+    x = docs.select(ranked(docs[id_col], text).alias("doc_id"), text.alias("text")).where("text is not null")
+
     def lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Where the words of each text lie: lengths of the gaps before them and of the words, much smaller than the text."""
         for batch in batches:
             rows = []
             for i, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ends = np.fromiter((e for m in TOKEN.finditer(text) for e in m.span()), np.int32)
-                if len(ends) >= 2 * least:
-                    rows.append((i, _part(text), zlib.compress(_planes(np.diff(ends, prepend=np.int32(0))), 1)))
+                ends = np.fromiter((e for m in TOKEN.finditer(text) for e in m.span()), np.int64)
+                if len(ends) >= 2 * min(least, line):
+                    rows.append((i, _part(text), zlib.compress(_planes(np.diff(ends, prepend=0)), 1)))
             yield pd.DataFrame(rows, columns=["doc_id", "part", "ends"])
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Word numbers as character offsets."""
+        """Word numbers as character offsets; what overlaps or touches is one stretch, with the first document of its first part."""
         for batch in batches:
             rows = []
             for i, part, data, cuts in zip(batch["doc_id"], batch["part"], batch["ends"], batch["cuts"], strict=True):
                 data = zlib.decompress(data)
-                ends = np.cumsum(_column(data, 0, len(data) // 4, "<i4"))
-                rows += [(i, part, int(ends[2 * c["b"]]), int(ends[2 * c["e"] - 1]), c["e"] - c["b"], c["first_doc_id"]) for c in cuts]
+                ends = np.cumsum(_column(data, 0, len(data) // 8, "<i8"))
+                joined: list[list[int]] = []
+                for b, e, first in sorted((c["b"], c["e"], c["first_doc_id"]) for c in cuts):
+                    if joined and b <= joined[-1][1]:
+                        joined[-1][1] = max(e, joined[-1][1])
+                    else:
+                        joined.append([b, e, first])
+                rows += [(i, part, int(ends[2 * b]), int(ends[2 * e - 1]), e - b, first) for b, e, first in joined]
             yield pd.DataFrame(rows, columns=["doc_id", "part", "start", "end", "n_words", "first_doc_id"])
 
-    sorted_by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    hits = sorted_by_bucket(x.mapInPandas(cut, PACKED)).mapInPandas(met, PACKED)
-    found = sorted_by_bucket(hits).mapInPandas(merged, "doc_id long, part int, b int, e int, first_doc_id long")
+    found = window_repeats(x, unit, least, chunk).unionByName(line_repeats(x, line))
     cuts = found.groupBy("doc_id", "part").agg(F.collect_list(F.struct("b", "e", "first_doc_id")).alias("cuts"))  # of one text
     texts = x.mapInPandas(lengths, "doc_id long, part int, ends binary").join(cuts, ["doc_id", "part"])
     return texts.mapInPandas(placed, "doc_id long, part int, start long, end long, n_words long, first_doc_id long").distinct()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs with the repeats cut out of text_col; `removed` holds (start, end) of each in the original text."""
-    cut = repeats(docs, id_col, text_col, **params).groupBy("doc_id", "part").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
-    part = F.pandas_udf(lambda t: pd.Series([None if x is None else xxhash.xxh32_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 31) for x in t], dtype="Int32"), "int")
-    y = docs.withColumn("__part", part(docs[text_col]))
-    cut = cut.withColumnsRenamed({"doc_id": "__id", "part": "__cut"})
-    y = y.join(cut, (y[id_col] == cut["__id"]) & (y["__part"] == cut["__cut"]), "left")
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed", unit: int = 8, least: int = 40, line: int = 16) -> DataFrame:
+    """docs with the repeats cut out of text_col; removed_col holds (start, end) of each in the original text. If docs has such a column, the new one's name gets underscores until it is unused."""
+    while removed_col in docs.columns:
+        removed_col += "_"
+    cut = _repeats(docs, id_col, text_col, unit, least, line, CHUNK).groupBy("doc_id", "part").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    part = F.pandas_udf(lambda t: pd.Series([None if x is None else _part(x) for x in t], dtype="Int32"), "int")
+    x = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"), ranked(docs[id_col], docs[text_col]).alias("doc_id"), part(docs[text_col]).alias("part"))
+    y = x.join(cut, ["doc_id", "part"], "left")
 
     # what lies between the end of one stretch and the start of the next
     starts = F.concat(F.array(F.lit(0).cast("long")), F.col("removed.end"))
-    ends = F.concat(F.col("removed.start"), F.array(F.length(docs[text_col]).cast("long")))
-    left = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(docs[text_col], (a + 1).cast("int"), (b - a).cast("int"))), "")
-    text = F.when(F.col("removed").isNull(), docs[text_col]).otherwise(left)
-    return y.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce("removed", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("removed"))
+    ends = F.concat(F.col("removed.start"), F.array(F.length("text").cast("long")))
+    left = F.array_join(F.zip_with(starts, ends, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))), "")
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(left)
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return y.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns], F.coalesce("removed", none).alias(removed_col))

@@ -181,27 +181,63 @@ def test_passages_anywhere(spark):
     assert cut.keys() == {1, 2, 3, 4, 5, 11}
 
 
+def test_passages_lines(spark):
+    """Whole equal lines of 16 words or more go, shorter ones stay; chunks of any size, null ids, repeated ids and a clashing column."""
+    rng = random.Random(13)
+    para, short = " ".join(prose(rng, 20)), " ".join(prose(rng, 12))
+    long = prose(rng, 60)
+    rows = [(i, f"{' '.join(prose(rng, 30))}\n{para.upper() if i == 3 else para}\n{short}\n{' '.join(long if i % 2 else prose(rng, 50))}") for i in range(8)]
+    rows += [(None, rows[1][1] + " more"), (20, " ".join(prose(rng, 50))), (20, para), (21, "\n".join([para, " ".join(prose(rng, 40)), para]))]
+    want = None
+    for chunk in (50, 400, 1 << 20):
+        got = {(r.doc_id, r.start, r.end, r.n_words, r.first_doc_id) for r in passages.repeats(docs(spark, rows), chunk=chunk).collect()}
+        assert want is None or got == want
+        want = got
+    texts = dict(rows)
+    for i in range(1, 8):
+        cut = [texts[i][a:b].lower() for d, a, b, *_ in want if d == i]
+        assert len(cut) == 1 and (cut[0] == para if i == 1 or i % 2 == 0 else cut[0] == f"{para}\n{short}\n{' '.join(long)}")
+    assert {(d, f) for d, *_, f in want} == {*((i, 0) for i in range(1, 8)), (None, 1), (20, 0), (21, 0)}
+    assert sum(d == 21 for d, *_ in want) == 2
+    clash = docs(spark, rows).withColumnsRenamed({"root": "removed", "class_id": "part"})
+    out = passages.remove_repeats(clash)
+    assert out.columns == [*clash.columns, "removed_"]
+    by = {r.doc_id: r for r in out.collect()}
+    assert out.count() == len(rows) and para not in by[1].text and short in by[1].text and by[0].text == texts[0] and para not in by[None].text
+
+
 def test_passages_brute(spark, sf_dir):
-    """Every removed unit occurs earlier, and every other unit of the table is the first of its kind or in no long enough stretch."""
+    """Exactly the words in repeated lines of 16 words, or in stretches of 40 whose windows of eight words all came before."""
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    first, dup = {}, {}
+    seen, lines, want = set(), set(), {}
     for i in sorted(rows):
-        for digest, b, e, s, t in passages.units(rows[i], 8):
-            if digest in first:
-                dup.setdefault(i, []).append((b, e, s, t))
-            else:
-                first[digest] = (i, b)
-    want = set()
-    for i, spans in dup.items():
-        run = None
-        for b, e, s, t in [*sorted(spans), (1 << 40, 0, 0, 0)]:
-            if run and b <= run[1]:
-                run = (run[0], max(run[1], e), run[2], max(run[3], t))
-                continue
-            if run and run[1] - run[0] >= 40:
-                want.add((i, run[2], run[3], run[1] - run[0]))
-            run = (b, e, s, t)
-    assert {(r.doc_id, r.start, r.end, r.n_words) for r in op6_substring_dedup(spark, sf_dir).collect()} == want
+        w = (rows[i] or "").lower().split()
+        gone, run = set(), None
+        for b in range(len(w) - 7):
+            if tuple(w[b : b + 8]) in seen:
+                if run is None or b > run[1]:
+                    run = [b, b + 8]
+                run[1] = b + 8
+                if run[1] - run[0] >= 40:
+                    gone |= set(range(*run))
+            seen.add(tuple(w[b : b + 8]))
+        at = 0
+        for line in (rows[i] or "").split("\n"):
+            x = line.lower().split()
+            if len(x) >= 16:
+                if tuple(x) in lines:
+                    gone |= set(range(at, at + len(x)))
+                lines.add(tuple(x))
+            at += len(x)
+        if gone:
+            want[i] = gone
+    got = {}
+    for r in op6_substring_dedup(spark, sf_dir).collect():
+        spans = [m.span() for m in re.finditer(r"\S+", rows[r.doc_id])]
+        own = {k for k, (a, b) in enumerate(spans) if r.start <= a and b <= r.end}
+        assert len(own) == r.n_words and not own & got.setdefault(r.doc_id, set())
+        got[r.doc_id] |= own
+    assert got == want
 
 
 def lcs_table(a, b):
