@@ -58,10 +58,10 @@ def _newton(counts: DataFrame, state: DataFrame, cap: float) -> DataFrame:
     x = counts.join(state, "sid").groupBy("sid").agg(*held, F.sum(word * tilt).alias("f"), slope)
     lam, lo, hi, gap = F.col("lam"), F.col("lo"), F.col("hi"), F.col("f") - F.col("target")
     x = x.withColumns({"lo": F.when(gap <= 0, lam).otherwise(lo), "hi": F.when(gap >= 0, lam).otherwise(hi)})
-    narrow = (hi - lo) <= 4e-16 * F.greatest(F.abs(hi), F.abs(lo))
-    x = x.withColumns({"newton": lam - gap / F.col("slope"), "done": F.col("done") | (F.abs(gap) <= 1e-10 * F.col("target")) | narrow})
+    narrow = (lo > float("-inf")) & ((hi - lo) <= 4e-16 * F.greatest(F.abs(hi), F.abs(lo)))
+    x = x.withColumns({"newton": F.when(F.col("slope") > 0, lam - gap / F.col("slope")), "done": F.col("done") | (F.abs(gap) <= 1e-10 * F.col("target")) | narrow})
     half = F.when(lo == float("-inf"), hi * 2 - 1).otherwise((lo + hi) / 2)
-    step = F.when((F.col("slope") > 0) & (F.col("newton") > lo) & (F.col("newton") < hi), F.col("newton")).otherwise(half)
+    step = F.when((F.col("newton") > lo) & (F.col("newton") < hi), F.col("newton")).otherwise(half)
     return x.withColumn("lam", F.when(F.col("done"), lam).otherwise(step)).select(state.columns)
 
 

@@ -251,20 +251,20 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text", id_col
         rows = [replaced(t, {(r["kind"], r["value"]): r["attempt"] for r in (o if o is not None else ())}) for t, o in zip(texts, own, strict=True)]
         return pd.DataFrame(rows, columns=["n", "said", "text"])
 
-    base = docs
+    base = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
     if few:
-        new = F.pandas_udf(plainly, extra)(docs[text_col])
+        new = F.pandas_udf(plainly, extra)("text")
     else:  # each document with the redraws of its own entities, by a digest of its text
         def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for x in batches:
-                rows = {(k, kind, canonical(kind, t[a:b])) for k, t in zip(x["__key"], x["text"], strict=True) for a, b, kind in detect(t)}
-                yield pd.DataFrame(sorted(rows), columns=["__key", "kind", "value"])
-
-        key_of = F.sha2(docs[text_col], 256)
-        pairs = docs.select(key_of.alias("__key"), docs[text_col].alias("text")).where("text is not null").mapInPandas(held, "__key string, kind string, value string").distinct()
-        own = pairs.join(odd, ["kind", "value"]).groupBy("__key").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("__own"))
-        base = docs.withColumn("__key", key_of).join(own, "__key", "left")
-        new = F.pandas_udf(joined, extra)(base[text_col], base["__own"])
-    done = base.withColumn("__new", new)
-    cols = [F.col("__new.text").alias(c) if i == column else done[c] for i, c in enumerate(docs.columns)]
-    return done.select(*cols, *([F.col("__new.n").alias("n_entities"), F.col("__new.said").alias("entities")] if marks else []))
+                rows = {(k, kind, canonical(kind, t[a:b])) for k, t in zip(x["key"], x["text"], strict=True) for a, b, kind in detect(t)}
+                yield pd.DataFrame(sorted(rows), columns=["key", "kind", "value"])
+
+        base = base.withColumn("key", F.sha2("text", 256))
+        pairs = base.select("key", "text").where("text is not null").mapInPandas(held, "key string, kind string, value string").distinct()
+        own = pairs.join(odd, ["kind", "value"]).groupBy("key").agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("own"))  # of one text
+        base = base.join(own, "key", "left")
+        new = F.pandas_udf(joined, extra)("text", "own")
+    done = base.select("row", new.alias("new"))
+    cols = [F.col("new.text").alias(c) if i == column else F.col("row")[c].alias(c) for i, c in enumerate(docs.columns)]
+    return done.select(*cols, *([F.col("new.n").alias("n_entities"), F.col("new.said").alias("entities")] if marks else []))

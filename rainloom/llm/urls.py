@@ -2,7 +2,8 @@
 
 Rules label the URLs that they fit. The trees learn from a bounded sample of labelled URLs (`sample` rows, those with the
 smallest hashes) and judge all others. Features: lengths, depth, label count, digit ratio, character entropy, parameter
-count, punctuation, and the smoothed share of blocked URLs and the count of labelled ones under the host's suffix.
+count, punctuation, and the smoothed share of blocked URLs and the count of labelled ones under the host's suffix. What trains the trees gets the suffix statistics of
+the other folds (FOLDS, by the hash of the URL), so that they don't tell a row its own label.
 
 Cases: a null URL, or one without ://, has empty host and path, fits no rule and is judged by the trees; without labelled URLs of both verdicts every
 URL that no rule fits gets the only verdict seen, or allow; repeated rows are judged alike; an empty table gives an empty result.
@@ -20,6 +21,7 @@ from rainloom.llm.common import lower_ascii, stash
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
+FOLDS = 5
 FEATURES = ("n_url", "n_host", "n_path", "depth", "labels", "digits", "entropy", "params", "marks", "suffix_rate", "suffix_count")
 
 
@@ -83,16 +85,22 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     train = stash(train.withColumn("label", (F.col("verdict") == "block").cast("double")).coalesce(1), "url-sample")
     classes = train.groupBy("verdict").count().collect()  # two rows at most
     prior = F.lit(sum(r["count"] for r in classes if r["verdict"] == "block") / max(1, sum(r["count"] for r in classes)))
-    suffixes = train.groupBy("suffix").agg(F.count("*").alias("suffix_count"), ((F.sum("label") + prior * 5) / (F.count("*") + 5)).alias("suffix_rate"))
-
-    def assembled(df: DataFrame) -> DataFrame:
-        # no more rows than the sample: safe to broadcast
-        y = df.join(F.broadcast(suffixes), "suffix", "left").fillna({"suffix_count": 0}).withColumn("suffix_rate", F.coalesce("suffix_rate", prior)).withColumn("suffix_count", F.log1p("suffix_count"))
+    train = train.withColumn("fold", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)))
+    suffixes = train.groupBy("suffix").agg(F.count("*").alias("all_n"), F.sum("label").alias("all_bad"))
+    folds = train.groupBy("suffix", "fold").agg(F.count("*").alias("own_n"), F.sum("label").alias("own_bad"))
+
+    def assembled(df: DataFrame, own: bool) -> DataFrame:
+        # no more rows than the sample on the other sides: safe to broadcast
+        y = df.join(F.broadcast(suffixes), "suffix", "left")
+        y = y.join(F.broadcast(folds), ["suffix", "fold"], "left") if own else y.withColumns({"own_n": F.lit(0), "own_bad": F.lit(0.0)})
+        none = F.lit(0)
+        n, bad = F.coalesce("all_n", none) - F.coalesce("own_n", none), F.coalesce("all_bad", none) - F.coalesce("own_bad", none)
+        y = y.withColumns({"suffix_rate": (bad + prior * 5) / (n + 5), "suffix_count": F.log1p(n)})
         return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(y)
 
     if len(classes) == 2:
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, cacheNodeIds=False).fit(assembled(train).select("features", "label").coalesce(1))
-        judged = model.transform(assembled(x))
+        model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.2, seed=7, cacheNodeIds=False).fit(assembled(train, True).select("features", "label").coalesce(1))
+        judged = model.transform(assembled(x, False))
         score = vector_to_array(F.col("probability"))[1]
     else:
         judged, score = x, F.lit(1.0 if classes and classes[0]["verdict"] == "block" else 0.0)

@@ -383,3 +383,60 @@ def test_surrogates_query(spark, sf_dir):
 
 def test_surrogates_empty(spark):
     assert pii.replace_entities(docs(spark, []), KEY, marks=True).collect() == []
+
+
+def test_surrogates_never_run_out(spark):
+    """1,000 addresses of one short form, which has 676 surrogates, and as many short telephone numbers."""
+    mails = sorted({f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz0123456789abcd"})[:936]
+    phones = [f"+1 {i // 100:02d} {i % 100:02d}" for i in range(900)]
+    out = pii.replace_entities(docs(spark, [(i, x) for i, x in enumerate(mails + phones)]), KEY).collect()
+    new = [r.text for r in sorted(out)]
+    assert len(set(new)) == len(new) and not set(new) & set(mails + phones)
+
+
+def test_surrogates_keep_scripts():
+    for text, marks in (("Dr Παπαδόπουλος", "GREEK"), ("श्रीमती सुनीता शर्मा", "DEVANAGARI"), ("السيد محمد الهاشمي", "ARABIC"), ("Dr 王小明", "CJK"), ("господин Иванов", "CYRILLIC"), ("my name is Rajesh Kumar", "LATIN"), ("Priya Sharma <p@q.org>", "LATIN")):
+        names = [(a, b, k) for a, b, k in pii.detect(text) if k != "email"]
+        assert names and names[-1][1] >= len(text.split(" <")[0])
+        for a, b, kind in names:
+            for attempt in (0, 9, 40):
+                new = pii.surrogate(KEY, kind, pii.canonical(kind, text[a:b]), attempt)
+                assert new != text[a:b] and pii.script(new) == marks
+
+
+def test_surrogates_against_plain_search(spark, sf_dir):
+    """By another way than the operator's patterns: tokens with one @, dotted and dashed numbers. None is left, and what isn't marked stays as it was."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    seen = 0
+    for r in op4_pii_surrogates(spark, sf_dir).collect():
+        old, new = texts[r.doc_id], r.text or ""
+        sure = set()
+        for token in old.split():
+            t = token.strip(".,;:!?()<>\"'")
+            name, _, host = t.partition("@")
+            if name.isalnum() and host.isascii() and host.count(".") == 1 and host.replace(".", "").isalpha() and name.isascii() and len(host.split(".")[1]) > 1 and host[0] != ".":
+                sure.add(t)
+            p = t.split("-")
+            if [len(x) for x in p] == [3, 2, 4] and all(x.isdecimal() for x in p):
+                sure.add(t)
+            p = t.split(".")
+            if len(p) == 4 and all(x.isdecimal() and x.isascii() and int(x) < 256 and str(int(x)) == x for x in p):
+                sure.add(t)
+        seen += len(sure)
+        assert not sure & {x.strip(".,;:!?()<>\"'") for x in new.split()}
+        at = 0
+        for span in filter(None, r.entities.split(",")):
+            *_, a, b = span.split(":")
+            between = old[at : int(a)]
+            assert between in new
+            new = new[new.index(between) + len(between) :] if between else new
+            at = int(b)
+        assert new.endswith(old[at:])
+    assert seen
+
+
+def test_word_counts_beyond_16_bits(spark):
+    """An item that repeats a word 40,000 times doesn't wrap its counts."""
+    item = "again " * 40_000 + " ".join(f"w{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in leaks.find_leaks(docs(spark, [(9, "before it " + item), (10, "again and again")]), bench).collect()] == [(9, 1)]
