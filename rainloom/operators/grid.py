@@ -106,3 +106,21 @@ def fractions_skill(cells: DataFrame, by: Sequence[str], row: str, col: str, pre
         one = x.groupBy(*by).agg(F.when(ref > 0, 1 - d / ref).alias("fss")).withColumn("size", F.lit(size))
         out = one if out is None else out.unionByName(one)
     return out.select(*by, "size", "fss")
+
+
+def duration_area(cells: DataFrame, by: Sequence[str], predicted: str, observed: str, area: Column, hours: float = 0.5, thresholds: Sequence[float] = (1, 5, 10)) -> DataFrame:
+    """(by, threshold): area times hours at or above each threshold in both fields, their difference, and that in percent of the observed (null without any). One shuffle, summed before it."""
+    each = F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))
+    x = cells.select(*by, F.col(predicted).alias("__p"), F.col(observed).alias("__o"), (area * hours).alias("__w"), each.alias("threshold"))
+    total = lambda c: F.sum(F.when(F.col(c) >= F.col("threshold"), F.col("__w")).otherwise(0.0))
+    x = x.groupBy(*by, "threshold").agg(total("__p").alias("predicted_km2h"), total("__o").alias("observed_km2h"))
+    error = F.col("predicted_km2h") - F.col("observed_km2h")
+    return x.withColumns({"error_km2h": error, "error_pct": 100 * error / F.nullif("observed_km2h", F.lit(0.0))})
+
+
+def key_locations(cells: DataFrame, by: Sequence[str], at: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(by, kind, at, value): for each of the columns `values` the cell where it is largest, the smallest place on ties. One shuffle, summed before it."""
+    best = [F.min(F.struct((-F.col(v)).alias("neg"), *at)).alias(v) for v in values]
+    x = cells.groupBy(*by).agg(*best)
+    each = F.array(*[F.struct(F.lit(v).alias("kind"), *[F.col(v)[a].alias(a) for a in at], (-F.col(v)["neg"]).alias("value")) for v in values])
+    return x.select(*by, F.explode(each).alias("e")).select(*by, "e.*")

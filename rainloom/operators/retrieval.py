@@ -1,7 +1,7 @@
 """Nearest-neighbour retrieval of analogs: component-weighted distances, caps by group, softmax weights, synthesis inputs.
 
-Targets are a stated query set. They are taken in blocks of a fixed size; for each block every task holds the block and keeps, of the history
-rows it reads, the nearest `pool` of each target. What is shuffled is pool rows a task and target, never the product of both tables.
+Targets are a stated query set. Up to `held` of them are searched in one pass over history, where every task keeps, of the rows it reads, the nearest `pool` of each
+target; within a pass, blocks of targets meet batches of rows by matrix products, which leave few rows for exact distances. What is shuffled is pool rows a task and target, never the product of both tables.
 """
 
 from __future__ import annotations
@@ -30,49 +30,61 @@ def _blocks(targets: DataFrame, key: str, vector: str, group: str | None, size:
         last = rows[-1][key]
 
 
-def neighbours(targets: DataFrame, history: DataFrame, target_key: str, history_key: str, vector: str, pool: int, slices: Mapping[str, tuple[slice, float]] | None = None, group: str | None = None, exclude: str | None = None, block: int = 256, root: bool = False) -> DataFrame:
+def neighbours(targets: DataFrame, history: DataFrame, target_key: str, history_key: str, vector: str, pool: int, slices: Mapping[str, tuple[slice, float]] | None = None, group: str | None = None, exclude: str | None = None, held: int = 1 << 14, root: bool = False) -> DataFrame:
     """The `pool` nearest history rows of each target: target_id, history_id, history_group, distance.
 
     Vectors are arrays of doubles without nulls. slices: parts of the vector and their weights; the distance is the weighted sum of
     the parts' mean squared differences. Without slices it is the squared Euclidean distance, or with root the Euclidean one.
     exclude: history rows of the target's own `group` ("group") or its own key ("self") don't count. Ties go to the smaller history key."""
-    parts = list((slices or {"all": (slice(None), 1.0)}).values())
-    mean = slices is not None
+    parts = list(slices.values()) if slices else None
     schema = "target_id long, history_id long, history_group long, distance double"
     found = None
-    hist = history.select(F.col(history_key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), (F.col(group) if group else F.lit(None)).cast("long").alias("g")).where("v is not null")
-    for rows in _blocks(targets, target_key, vector, group, block):
-        rows = [r for r in rows if r[1] is not None]
-        ids = np.array([r[0] for r in rows])
-        vectors = np.array([r[1] for r in rows], float)
-        groups = np.array([r[2] for r in rows]) if group else None
+    hist = history.select(F.col(history_key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), F.coalesce((F.col(group) if group else F.lit(None)).cast("long"), F.lit(-1)).alias("g")).where("v is not null and k is not null")
+    for rows in _blocks(targets.where(F.col(vector).isNotNull()), target_key, vector, group, held):
+        ids, vectors = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
+        groups = np.array([-1 if r[2] is None else r[2] for r in rows], np.int64) if group else None
 
         def run(batches: Iterator[pd.DataFrame], ids=ids, vectors=vectors, groups=groups) -> Iterator[pd.DataFrame]:
-            best: list[pd.DataFrame] = [None] * len(ids)
+            scale = np.ones(vectors.shape[1])
+            if parts:
+                scale[:] = 0
+                for s, w in parts:
+                    scale[s] += w / len(scale[s])
+            root_scale = np.sqrt(scale)
+            scaled = vectors * root_scale
+            norms = (scaled**2).sum(1)
+            best: list = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))] * len(ids)
+            limits = np.full(len(ids), np.inf)  # the farthest of a full pool
             for x in batches:
-                k, h = x["k"].to_numpy(), np.stack(x["v"]) if len(x) else None
-                if h is None:
+                if not len(x):
                     continue
-                g = x["g"].to_numpy() if groups is not None else None
-                for t in range(len(ids)):
-                    sq = (h - vectors[t]) ** 2
-                    d = sum(w * (sq[:, s].mean(1) if mean else sq[:, s].sum(1)) for s, w in parts)
-                    ok = np.ones(len(k), bool)
+                k, g, h = x["k"].to_numpy(), x["g"].to_numpy(), np.stack(x["v"])
+                near = h * root_scale
+                own = (near**2).sum(1)
+                for at in range(0, len(ids), 256):
+                    some = slice(at, at + 256)
+                    d = own + norms[some, None] - 2 * scaled[some] @ near.T
                     if exclude == "self":
-                        ok = k != ids[t]
+                        d[k == ids[some, None]] = np.inf
                     elif exclude == "group":
-                        ok = g != groups[t]
-                    at = np.flatnonzero(ok)
-                    if len(at) > pool:
-                        limit = np.partition(d[at], pool - 1)[pool - 1]
-                        at = at[d[at] <= limit]
-                    new = pd.DataFrame({"history_id": k[at], "distance": d[at], "history_group": g[at] if g is not None else -1})
-                    if best[t] is not None:
-                        new = pd.concat([best[t], new])
-                    best[t] = new.sort_values(["distance", "history_id"]).head(pool)
-            for t, b in enumerate(best):
-                if b is not None and len(b):
-                    yield b.assign(target_id=ids[t])[["target_id", "history_id", "history_group", "distance"]]
+                        d[g == groups[some, None]] = np.inf
+                    # products err in the last digits: all rows within them of the limit are looked at
+                    top = limits[some]
+                    if d.shape[1] > pool:
+                        top = np.minimum(top, np.partition(d, pool - 1, axis=1)[:, pool - 1])
+                    slack = 1e-9 * (norms[some] + own.max())
+                    close = (d <= (top + slack)[:, None]) & np.isfinite(d)
+                    for i in np.flatnonzero(close.any(axis=1)):
+                        t, c = at + i, np.flatnonzero(close[i])
+                        exact = ((h[c] - vectors[t]) ** 2 * scale).sum(1)
+                        dist, key, grp = (np.concatenate([a, b]) for a, b in zip(best[t], (exact, k[c], g[c]), strict=True))
+                        order = np.lexsort((key, dist))[:pool]
+                        best[t] = dist[order], key[order], grp[order]
+                        if len(order) == pool:
+                            limits[t] = dist[order[-1]]
+            for t, (dist, key, grp) in enumerate(best):
+                if len(key):
+                    yield pd.DataFrame({"target_id": ids[t], "history_id": key, "history_group": grp, "distance": dist})
 
         got = hist.mapInPandas(run, schema)
         found = got if found is None else found.unionByName(got)

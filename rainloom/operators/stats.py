@@ -75,20 +75,37 @@ def permutation_importance(df: DataFrame, features: Sequence[str], target: str,
 
     Values change rows by matching two hash orders, both by an exact place from a range-partitioned sort, so a column of any length is permuted."""
     base = regression_scores(predict(df), target, "prediction").first()["r2"]
-    out = []
+    out = None
+    turns = df.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))  # all repeats of a feature in one job
     for f in features:
-        for r in range(repeats):
-            a = _placed(df, F.xxhash64(F.lit(seed + r), key), key)
-            b = _placed(df.select(key, F.col(f).alias("__v")), F.xxhash64(F.lit(~(seed + r)), key), key).select("__place", "__v")
-            mixed = a.join(b, "__place").withColumn(f, F.col("__v")).drop("__v", "__place")
-            out.append((f, base - regression_scores(predict(mixed), target, "prediction").first()["r2"]))  # one row each
-    return df.sparkSession.createDataFrame(out, "feature string, fall double").groupBy("feature").agg(F.avg("fall").alias("importance"), F.stddev_samp("fall").alias("importance_std"))
-
-
-def _placed(df: DataFrame, order, key: str, buckets: int = 256) -> DataFrame:
-    """__place: 1, 2, ... in the order of the hash: places within 256 ranges of it, behind the counts of the ranges before."""
-    x = df.withColumn("__h", order).withColumn("__b", F.shiftright("__h", 56))
-    sizes = x.groupBy("__b").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 256 rows
-    x = x.join(F.broadcast(sizes.select("__b", before.alias("__before"))), "__b")
-    return x.withColumn("__place", F.col("__before") + F.row_number().over(Window.partitionBy("__b").orderBy("__h", key))).drop("__h", "__b", "__before")
+        a = _placed(turns, F.xxhash64(F.lit(seed), "__turn", key), key)
+        b = _placed(turns.select("__turn", key, F.col(f).alias("__v")), F.xxhash64(F.lit(~seed), "__turn", key), key).select("__turn", "__place", "__v")
+        mixed = a.join(b, ["__turn", "__place"]).withColumn(f, F.col("__v")).drop("__v", "__place")
+        one = regression_scores(predict(mixed), target, "prediction", ["__turn"]).select(F.lit(f).alias("feature"), (F.lit(base) - F.col("r2")).alias("fall"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("feature").agg(F.avg("fall").alias("importance"), F.stddev_samp("fall").alias("importance_std"))
+
+
+def _placed(df: DataFrame, order, key: str) -> DataFrame:
+    """__place: 1, 2, ... within each __turn in the order of the hash: places within ranges of it, behind the counts of the ranges before. There are eight ranges a shuffle partition, 256 at least."""
+    bits = max(8, (8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    x = df.withColumn("__h", order).withColumn("__b", F.shiftright("__h", 64 - bits))
+    sizes = x.groupBy("__turn", "__b").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("__turn").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    x = x.join(sizes.select("__turn", "__b", before.alias("__before")), ["__turn", "__b"])
+    return x.withColumn("__place", F.col("__before") + F.row_number().over(Window.partitionBy("__turn", "__b").orderBy("__h", key))).drop("__h", "__b", "__before")
+
+
+def compare_splits(scores: DataFrame, by: Sequence[str], split: str, base: str, other: str) -> DataFrame:
+    """scores (by, split, r2, mae, rmse) of two ways to split, side by side: what the other one costs in r2, and in percent of mae."""
+    a, b = (scores.where(F.col(split) == s).select(*by, F.col("r2").alias(f"{s}_r2"), F.col("mae").alias(f"{s}_mae")) for s in (base, other))
+    x = a.join(b, list(by)) if by else a.join(F.broadcast(b))  # a row each
+    return x.withColumns({"r2_drop": F.col(f"{base}_r2") - F.col(f"{other}_r2"), "mae_increase_pct": 100 * safe_ratio(F.col(f"{other}_mae") - F.col(f"{base}_mae"), F.col(f"{base}_mae"))})
+
+
+def refit(baseline: DataFrame, changed: DataFrame, by: Sequence[str], source: str, derived: str) -> DataFrame:
+    """changed with `derived` as the straight line in `source` that fits the baseline's rows of the same group; kept where the baseline gives no line."""
+    slope, mid_x, mid_y = F.regr_slope(derived, source), F.regr_avgx(derived, source), F.regr_avgy(derived, source)
+    fit = baseline.groupBy(*by).agg(slope.alias("__slope"), (mid_y - slope * mid_x).alias("__at0"))
+    x = changed.join(fit, list(by), "left") if by else changed.join(F.broadcast(fit))  # one row
+    return x.withColumn(derived, F.coalesce(F.col("__at0") + F.col("__slope") * F.col(source), F.col(derived))).drop("__slope", "__at0")

@@ -1,6 +1,6 @@
 """All queries of the library proper."""
 
-from rainloom.plans import fields, series, tables  # noqa: F401
+from rainloom.plans import fields, series, tables, validation  # noqa: F401
 from rainloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

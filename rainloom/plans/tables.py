@@ -164,13 +164,13 @@ def nearest_track_point(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT c_custkey, ((c_custkey * 73) % 400) / 10.0 + 100 AS lon, ((c_custkey * 37) % 300) / 10.0 AS lat FROM customer WHERE c_custkey < 200),
+WITH p AS (SELECT c_custkey, ((c_custkey * 73) % 400) / 10.0 + 100 AS lon, ((c_custkey * 37) % 300) / 10.0 AS lat FROM customer),
 o AS (SELECT i * 50.0 AS e, j * 50.0 AS k FROM range(-4, 5) a(i), range(-4, 5) b(j) WHERE (i * i + j * j) * 2500.0 <= 40000.0),
 s AS (SELECT c_custkey, floor((round(lat, 2) + k / 111.32) / 0.5) AS r, floor((round(lon, 2) + e / (111.32 * greatest(cos(radians(round(lat, 2))), 1e-6))) / 0.5) AS c FROM p, o)
 SELECT c_custkey, round(avg(((r * 7 + c) % 3 = 0)::INT), 6) + 0.0 AS land_share, count(*) AS n_sampled FROM s GROUP BY c_custkey
 """)
 def circle_neighbourhood(spark, sf_dir):
-    p = table(spark, sf_dir, "customer").where("c_custkey < 200").select("c_custkey", (((F.col("c_custkey") * 73) % 400) / 10.0 + 100).alias("lon"), (((F.col("c_custkey") * 37) % 300) / 10.0).alias("lat"))
+    p = table(spark, sf_dir, "customer").select("c_custkey", (((F.col("c_custkey") * 73) % 400) / 10.0 + 100).alias("lon"), (((F.col("c_custkey") * 37) % 300) / 10.0).alias("lat"))
     cells = spark.range(100 * 140).select((F.floor(F.col("id") / 140) - 20).alias("irow"), ((F.col("id") % 140) + 170).alias("icol")).withColumn("land", (F.col("irow") * 7 + F.col("icol")) % 3 == 0)
     return rounded(joins.neighbourhood(p, cells, 200.0, 50.0, 0.5, "land").select("c_custkey", "land_share", "n_sampled"))
 
@@ -188,12 +188,12 @@ DIST = "list_sum([(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2 FOR i I
 
 
 @query(f"""
-WITH x AS (SELECT a.vec_id AS target_id, b.vec_id AS history_id, sqrt({DIST}) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0)
+WITH x AS (SELECT a.vec_id AS target_id, b.vec_id AS history_id, sqrt({DIST}) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT target_id, history_id, rank, round(d, 6) + 0.0 AS distance, round(1 / (1 + d / 8), 6) + 0.0 AS similarity FROM x WHERE rank <= 10
 """)
 def topk_analogs(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    x = retrieval.neighbours(e.where("vec_id % 25 = 0"), e, "vec_id", "vec_id", "embedding", 10, exclude="self", root=True)
+    x = retrieval.neighbours(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding", 10, exclude="self", root=True)
     w = Window.partitionBy("target_id").orderBy("distance", "history_id")
     return rounded(x.select("target_id", "history_id", F.row_number().over(w).alias("rank"), "distance", retrieval.similarity(F.col("distance"), 64).alias("similarity")))
 
@@ -201,7 +201,7 @@ def topk_analogs(spark, sf_dir):
 COMPONENTS = {"track": (slice(0, 16), 1.0), "intensity": (slice(16, 32), 1.5), "motion": (slice(32, 64), 1.2)}
 WEIGHTED = " + ".join(f"{w} * list_sum([(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2 FOR i IN range({s.start + 1}, {s.stop + 1})]) / {s.stop - s.start}" for s, w in COMPONENTS.values())
 EDGES = f"""
-WITH d AS (SELECT a.vec_id AS target_id, a.label AS tl, b.vec_id AS history_id, b.label AS g, {WEIGHTED} AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0),
+WITH d AS (SELECT a.vec_id AS target_id, a.label AS tl, b.vec_id AS history_id, b.label AS g, {WEIGHTED} AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY d, history_id) AS n FROM d) WHERE n <= 100),
 c AS (SELECT *, (row_number() OVER (PARTITION BY target_id, g ORDER BY d, history_id) > 3)::INT AS over FROM p),
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY over, d, history_id) AS r FROM c) WHERE r <= 20),
@@ -212,7 +212,7 @@ s AS (SELECT *, e / sum(e) OVER (PARTITION BY target_id) AS weight FROM w)
 
 def edges(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    pool = retrieval.neighbours(e.where("vec_id % 25 = 0"), e, "vec_id", "vec_id", "embedding", 100, slices=COMPONENTS, group="label", exclude="self")
+    pool = retrieval.neighbours(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding", 100, slices=COMPONENTS, group="label", exclude="self")
     return retrieval.softmax_weights(retrieval.diversified(pool, 20, 3))
 
 
@@ -252,14 +252,14 @@ def weighted_log_fusion(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT vec_id AS k, i // 8 AS r, i % 8 AS c, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i) WHERE vec_id < 200),
-p AS (SELECT vec_id AS k, j AS p, ((vec_id * 7 + j * 3) % 70) / 10.0 AS y, ((vec_id * 3 + j * 11) % 70) / 10.0 AS x FROM embeddings, range(5) t(j) WHERE vec_id < 200),
+WITH c AS (SELECT vec_id AS k, i // 8 AS r, i % 8 AS c, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) t(i)),
+p AS (SELECT vec_id AS k, j AS p, ((vec_id * 7 + j * 3) % 70) / 10.0 AS y, ((vec_id * 3 + j * 11) % 70) / 10.0 AS x FROM embeddings, range(5) t(j)),
 q AS (SELECT p.*, floor(y) AS r0, floor(x) AS c0 FROM p),
 s AS (SELECT q.k, q.p, sum(c.v * (1 - abs(y - c.r)) * (1 - abs(x - c.c))) AS v FROM q JOIN c ON c.k = q.k AND c.r BETWEEN r0 AND r0 + 1 AND c.c BETWEEN c0 AND c0 + 1 GROUP BY ALL)
 SELECT k, p, round(v, 6) + 0.0 AS v FROM s
 """)
 def bilinear_resample(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 200")
+    e = table(spark, sf_dir, "embeddings")
     c = e.select(F.col("vec_id").alias("k"), F.posexplode("embedding").alias("i", "v")).select("k", F.floor(F.col("i") / 8).cast("long").alias("irow"), (F.col("i") % 8).cast("long").alias("icol"), F.col("v").cast("double").alias("v"))
     p = e.select(F.col("vec_id").alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("p"))
     p = p.withColumns({"y": ((F.col("k") * 7 + F.col("p") * 3) % 70) / 10.0, "x": ((F.col("k") * 3 + F.col("p") * 11) % 70) / 10.0, "__id": F.struct("k", "p")})
@@ -277,7 +277,7 @@ def pca_blend(spark, sf_dir):
 @query()
 def forest_importance(spark, sf_dir):
     """A forest on line items, scored on groups it hasn't seen, and what permuting each feature costs."""
-    x = table(spark, sf_dir, "lineitem").select(F.monotonically_increasing_id().alias("__row"), "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    x = table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("__row"), "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     x = stats.group_split(x, "l_suppkey")
     features = ["l_quantity", "l_discount", "l_tax"]
     predict = stats.forest(x.where("not is_test"), features, "l_extendedprice", trees=20, depth=6)
@@ -328,7 +328,7 @@ SELECT k::BIGINT AS k, cap::BIGINT AS cap, round(p::DOUBLE, 6) + 0.0 AS p, round
 def setting_sweep(spark, sf_dir):
     """All settings in one plan: each edge of the pool is looked at under each setting."""
     e = table(spark, sf_dir, "embeddings")
-    pool = retrieval.neighbours(e.where("vec_id % 25 = 0"), e, "vec_id", "vec_id", "embedding", 100, slices=COMPONENTS, group="label", exclude="self")
+    pool = retrieval.neighbours(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding", 100, slices=COMPONENTS, group="label", exclude="self")
     cfg = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(c).cast("long").alias("cap"), F.lit(p).alias("p")) for k, c, p in SWEEP])
     x = pool.withColumn("s", F.explode(cfg)).select(*pool.columns, "s.*")
     key = ["k", "cap", "p", "target_id"]
