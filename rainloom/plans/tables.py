@@ -280,8 +280,8 @@ def forest_importance(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber").alias("__row"), "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     x = stats.group_split(x, "l_suppkey")
     features = ["l_quantity", "l_discount", "l_tax"]
-    predict = stats.forest(x.where("not is_test"), features, "l_extendedprice", trees=20, depth=6)
-    return stats.permutation_importance(x.where("is_test"), features, "l_extendedprice", predict, repeats=2)
+    predict = stats.forest(x.where("not is_test"), features, "l_extendedprice", trees=200, depth=12)
+    return stats.permutation_importance(x.where("is_test"), features, "l_extendedprice", predict, repeats=10)
 
 
 @query("""
