@@ -38,8 +38,10 @@ CHUNK = 1 << 20
 #: Ids from here on stand for rows without one.
 NO_ID = 1 << 62
 PACKED = "bucket int, kind int, chunk int, n int, inner binary, outer binary"
-#: Kinds of packed rows: units of a range of digests (whose chunk has no others, or has), units of a chunk that wait, answers for them, units that a text repeats, and hits.
-ALONE, WITH_OTHERS, WAITING, ANSWER, WITHIN, HIT = range(6)
+#: Kinds of packed rows: units of a range of digests (their positions doubled, odd if others of their chunk wait), units of a chunk that wait, answers for them, units that a text repeats, and hits.
+UNIT, WAITING, ANSWER, WITHIN, HIT = range(5)
+#: Packed rows that a task passes on together at most, and bytes of them.
+PASSED, PASSED_BYTES = 1024, 1 << 24
 
 
 class _Hashes(dict):
@@ -131,6 +133,14 @@ def _by_bucket(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
         yield rows
 
 
+def _rows(packed: list) -> pd.DataFrame:
+    return pd.DataFrame(packed, columns=["bucket", "kind", "chunk", "n", "inner", "outer"])
+
+
+def _many(packed: list) -> bool:
+    return len(packed) >= PASSED or sum(len(r.inner) + len(r.outer) for r in packed) >= PASSED_BYTES
+
+
 def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
     return ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % buckets
 
@@ -204,9 +214,7 @@ def window_repeats(x: DataFrame, unit: int, least: int, chunk: int) -> DataFrame
             first = order[head]
             rest = np.ones(len(order), bool)
             rest[first] = False
-            for kind, some in ((ALONE, first[count == 1]), (WITH_OTHERS, first[count > 1])):
-                if len(some):
-                    yield _packed((digest[some] >> np.uint64(32)).astype(np.int64) * ranges >> 32, kind, doc[some], part[some], pos[some], digest[some], made)
+            yield _packed((digest[first] >> np.uint64(32)).astype(np.int64) * ranges >> 32, UNIT, doc[first], part[first], pos[first] * np.int32(2) + (count > 1), digest[first], made)
             if rest.any():
                 yield _packed(np.full(int(rest.sum()), made), WAITING, doc[rest], part[rest], pos[rest], digest[rest], made)
 
@@ -228,51 +236,59 @@ def window_repeats(x: DataFrame, unit: int, least: int, chunk: int) -> DataFrame
 
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Of each range of digests, the units that aren't the first of their kind, by document, with the id of the first; and the answers for chunks. Other rows pass."""
-        held, n = [], 0
+        hits, answers, passing, n = [], [], [], 0
 
-        def sent() -> pd.DataFrame:
-            doc, part, pos, first = (np.concatenate([h[k] for h in held]) for k in range(4))
-            return _packed(within_bucket(doc), HIT, doc, part, pos, first)
+        def sent() -> Iterator[pd.DataFrame]:
+            doc, part, pos, first = (np.concatenate([h[k] for h in hits]) for k in range(4))
+            yield _packed(within_bucket(doc), HIT, doc, part, pos, first)
+            chunks, first, digest = (np.concatenate([h[k] for h in answers]) for k in range(3))
+            zero = np.zeros(len(first), np.int32)
+            yield _packed(chunks, ANSWER, first, zero, zero, digest.view(np.uint64))
 
         for rows in _by_bucket(batches):
-            if passing := [r for r in rows if r.kind in (WAITING, WITHIN)]:
-                yield pd.DataFrame(passing, columns=["bucket", "kind", "chunk", "n", "inner", "outer"])
-            rows = [r for r in rows if r.kind in (ALONE, WITH_OTHERS)]
+            passing += [r for r in rows if r.kind != UNIT]
+            if _many(passing):
+                yield _rows(passing)
+                passing = []
+            rows = [r for r in rows if r.kind == UNIT]
             doc, part, pos, digest = _unpacked(rows)
             if not len(doc):
                 continue
-            chunks = np.repeat([r.chunk if r.kind == WITH_OTHERS else -1 for r in rows], [r.n for r in rows])
             order = np.lexsort((part, doc, digest))
             head = _heads(digest[order])
             count = np.diff(head, append=len(order))
             first, first_part = np.empty_like(doc), np.empty_like(part)
             first[order], first_part[order] = np.repeat(doc[order[head]], count), np.repeat(part[order[head]], count)
-            some = chunks >= 0
-            if some.any():
-                for c in np.unique(chunks[some]):
-                    own = chunks == c
-                    zero = np.zeros(int(own.sum()), np.int32)
-                    yield _packed(np.full(len(zero), c), ANSWER, first[own], zero, zero, digest[own].view(np.uint64), int(c))
+            asked = pos % 2 == 1
+            answers.append((np.repeat([r.chunk for r in rows], [r.n for r in rows])[asked], first[asked], digest[asked]))
             hit = (first != doc) | (first_part != part)
-            held.append((doc[hit], part[hit], pos[hit], first[hit]))
-            n += int(hit.sum())
+            hits.append((doc[hit], part[hit], pos[hit] // 2, first[hit]))
+            n += int(hit.sum()) + int(asked.sum())
             if n >= CHUNK:
-                yield sent()
-                held, n = [], 0
-        if n:
-            yield sent()
+                yield from sent()
+                hits, answers, n = [], [], 0
+        if hits:
+            yield from sent()
+        if passing:
+            yield _rows(passing)
 
     def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The units that waited in a chunk, by document, as the hits that they are. Other rows pass."""
+        passing: list = []
         for rows in _by_bucket(batches):
             if rows[0].bucket < 0:
-                yield pd.DataFrame(rows, columns=["bucket", "kind", "chunk", "n", "inner", "outer"])
+                passing += rows
+                if _many(passing):
+                    yield _rows(passing)
+                    passing = []
                 continue
             doc, part, pos, digest = _unpacked([r for r in rows if r.kind == WAITING])
             first, _, _, known = _unpacked([r for r in rows if r.kind == ANSWER])
             order = np.argsort(known)
             at = order[np.searchsorted(known, digest, sorter=order)]
             yield _packed(within_bucket(doc), HIT, doc, part, pos, first[at])
+        if passing:
+            yield _rows(passing)
 
     def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _by_bucket(batches):
