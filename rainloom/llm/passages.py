@@ -93,7 +93,8 @@ def _column(data: bytes, at: int, n: int, kind: str) -> np.ndarray:
 
 def _packed(bucket: np.ndarray, kind: int, doc: np.ndarray, part: np.ndarray, pos: np.ndarray, value: np.ndarray, chunk: int = 0) -> pd.DataFrame:
     """One row per bucket: its documents (the first, then differences) and positions, ascending, parts and values. Digests (unsigned values) and their parts don't compress and stay apart."""
-    order = np.lexsort((pos, doc, bucket))
+    # order within a bucket only serves compression
+    order = np.argsort(bucket, kind="stable") if (doc[1:] >= doc[:-1]).all() else np.lexsort((pos, doc, bucket))
     bucket, doc, part, pos, value = bucket[order], doc[order], part[order], pos[order], value[order]
     at = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else [0]
     step = np.diff(doc, prepend=0)
@@ -201,6 +202,7 @@ def window_repeats(x: DataFrame, unit: int, least: int, chunk: int) -> DataFrame
         held, n, made = [], 0, TaskContext.get().partitionId() << 12
 
         def sent() -> Iterator[pd.DataFrame]:
+            held.sort(key=lambda h: h[:2])  # by document and text, so that the first of equal digests is the first that ranks
             doc, part, size = (np.array([h[k] for h in held], np.int64) for k in range(3))
             doc, part = np.repeat(doc, size), np.repeat(part, size).astype(np.int32)
             pos, digest, ref = (np.concatenate([h[k] for h in held]) for k in (3, 4, 5))
@@ -208,13 +210,14 @@ def window_repeats(x: DataFrame, unit: int, least: int, chunk: int) -> DataFrame
                 again = ~once
                 yield _packed(within_bucket(doc[again]), WITHIN, doc[again], part[again], pos[again], ref[again].astype(np.int64))
             doc, part, pos, digest = doc[once], part[once], pos[once], digest[once]
-            order = np.lexsort((part, doc, digest))
+            order = np.argsort(digest, kind="stable")
             head = _heads(digest[order])
-            count = np.diff(head, append=len(order))
-            first = order[head]
+            several = np.zeros(len(order), np.int32)
+            several[order[head]] = np.diff(head, append=len(order)) > 1
+            first = np.sort(order[head])
             rest = np.ones(len(order), bool)
             rest[first] = False
-            yield _packed((digest[first] >> np.uint64(32)).astype(np.int64) * ranges >> 32, UNIT, doc[first], part[first], pos[first] * np.int32(2) + (count > 1), digest[first], made)
+            yield _packed((digest[first] >> np.uint64(32)).astype(np.int64) * ranges >> 32, UNIT, doc[first], part[first], pos[first] * np.int32(2) + several[first], digest[first], made)
             if rest.any():
                 yield _packed(np.full(int(rest.sum()), made), WAITING, doc[rest], part[rest], pos[rest], digest[rest], made)
 
