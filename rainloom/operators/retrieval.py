@@ -1,6 +1,6 @@
 """Nearest-neighbour retrieval of analogs: component-weighted distances, caps by group, softmax weights, synthesis inputs.
 
-Targets are a stated query set. Up to `held` of them are searched in one pass over history, where every task keeps, of the rows it reads, the nearest `pool` of each
+Targets are a stated query set. Up to `block` of them are searched in one pass over history, where every task keeps, of the rows it reads, the nearest `pool` of each
 target; within a pass, blocks of targets meet batches of rows by matrix products, which leave few rows for exact distances. What is shuffled is pool rows a task and target, never the product of both tables.
 """
 
@@ -30,7 +30,7 @@ def _blocks(targets: DataFrame, key: str, vector: str, group: str | None, size:
         last = rows[-1][key]
 
 
-def neighbours(targets: DataFrame, history: DataFrame, target_key: str, history_key: str, vector: str, pool: int, slices: Mapping[str, tuple[slice, float]] | None = None, group: str | None = None, exclude: str | None = None, held: int = 1 << 14, root: bool = False) -> DataFrame:
+def neighbours(targets: DataFrame, history: DataFrame, target_key: str, history_key: str, vector: str, pool: int, slices: Mapping[str, tuple[slice, float]] | None = None, group: str | None = None, exclude: str | None = None, block: int = 1 << 14, root: bool = False) -> DataFrame:
     """The `pool` nearest history rows of each target: target_id, history_id, history_group, distance.
 
     Vectors are arrays of doubles without nulls. slices: parts of the vector and their weights; the distance is the weighted sum of
@@ -40,7 +40,7 @@ def neighbours(targets: DataFrame, history: DataFrame, target_key: str, history_
     schema = "target_id long, history_id long, history_group long, distance double"
     found = None
     hist = history.select(F.col(history_key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), F.coalesce((F.col(group) if group else F.lit(None)).cast("long"), F.lit(-1)).alias("g")).where("v is not null and k is not null")
-    for rows in _blocks(targets.where(F.col(vector).isNotNull()), target_key, vector, group, held):
+    for rows in _blocks(targets.where(F.col(vector).isNotNull()), target_key, vector, group, block):
         ids, vectors = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
         groups = np.array([-1 if r[2] is None else r[2] for r in rows], np.int64) if group else None
 

@@ -78,22 +78,22 @@ def permutation_importance(df: DataFrame, features: Sequence[str], target: str,
     out = None
     turns = df.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))  # all repeats of a feature in one job
     for f in features:
-        a = _placed(turns, F.xxhash64(F.lit(seed), "__turn", key), key)
-        b = _placed(turns.select("__turn", key, F.col(f).alias("__v")), F.xxhash64(F.lit(~seed), "__turn", key), key).select("__turn", "__place", "__v")
+        a = _placed(turns, F.xxhash64(F.lit(seed), "__turn", key), key, ["__turn"])
+        b = _placed(turns.select("__turn", key, F.col(f).alias("__v")), F.xxhash64(F.lit(~seed), "__turn", key), key, ["__turn"]).select("__turn", "__place", "__v")
         mixed = a.join(b, ["__turn", "__place"]).withColumn(f, F.col("__v")).drop("__v", "__place")
         one = regression_scores(predict(mixed), target, "prediction", ["__turn"]).select(F.lit(f).alias("feature"), (F.lit(base) - F.col("r2")).alias("fall"))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("feature").agg(F.avg("fall").alias("importance"), F.stddev_samp("fall").alias("importance_std"))
 
 
-def _placed(df: DataFrame, order, key: str) -> DataFrame:
-    """__place: 1, 2, ... within each __turn in the order of the hash: places within ranges of it, behind the counts of the ranges before. There are eight ranges a shuffle partition, 256 at least."""
+def _placed(df: DataFrame, order, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """__place: 1, 2, ... within each group of `by` in the order of the hash: places within ranges of it, behind the counts of the ranges before. There are eight ranges a shuffle partition, 256 at least."""
     bits = max(8, (8 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     x = df.withColumn("__h", order).withColumn("__b", F.shiftright("__h", 64 - bits))
-    sizes = x.groupBy("__turn", "__b").count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("__turn").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
-    x = x.join(sizes.select("__turn", "__b", before.alias("__before")), ["__turn", "__b"])
-    return x.withColumn("__place", F.col("__before") + F.row_number().over(Window.partitionBy("__turn", "__b").orderBy("__h", key))).drop("__h", "__b", "__before")
+    sizes = x.groupBy(*by, "__b").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    x = x.join(sizes.select(*by, "__b", before.alias("__before")), [*by, "__b"])
+    return x.withColumn("__place", F.col("__before") + F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__h", key))).drop("__h", "__b", "__before")
 
 
 def compare_splits(scores: DataFrame, by: Sequence[str], split: str, base: str, other: str) -> DataFrame:
