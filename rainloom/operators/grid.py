@@ -123,4 +123,4 @@ def key_locations(cells: DataFrame, by: Sequence[str], at: Sequence[str], values
     best = [F.min(F.struct((-F.col(v)).alias("neg"), *at)).alias(v) for v in values]
     x = cells.groupBy(*by).agg(*best)
     each = F.array(*[F.struct(F.lit(v).alias("kind"), *[F.col(v)[a].alias(a) for a in at], (-F.col(v)["neg"]).alias("value")) for v in values])
-    return x.select(*by, F.explode(each).alias("e")).select(*by, "e.*")
+    return x.select(*by, F.explode(each).alias("__each")).select(*by, "__each.*")
