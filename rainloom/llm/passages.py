@@ -86,26 +86,28 @@ def _planes(*columns: np.ndarray) -> bytes:
     return b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
 
 
-def _column(data: bytes, at: int, n: int, kind: str) -> np.ndarray:
+def _column(data: bytes, start: int, n: int, kind: str) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at * n).reshape(size, n).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, start).reshape(size, n).T).view(kind).ravel()
 
 
 def _packed(bucket: np.ndarray, kind: int, doc: np.ndarray, part: np.ndarray, pos: np.ndarray, value: np.ndarray, chunk: int = 0) -> pd.DataFrame:
-    """One row per bucket: its documents (the first, then differences) and positions, ascending, parts and values. Digests (unsigned values) and their parts don't compress and stay apart."""
+    """One row per bucket: its documents (the first, then differences) and positions, ascending, a bit where a new text begins, the part of each of these, and values. Digests
+    (unsigned values) and their parts don't compress and stay apart."""
     # order within a bucket only serves compression
     order = np.argsort(bucket, kind="stable") if (doc[1:] >= doc[:-1]).all() else np.lexsort((pos, doc, bucket))
     bucket, doc, part, pos, value = bucket[order], doc[order], part[order], pos[order], value[order]
     at = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else [0]
     step = np.diff(doc, prepend=0)
+    new = np.zeros(len(doc), bool)
+    new[_heads(bucket, doc, part)] = True
     rows = []
     for a, b in zip(at, at[1:], strict=False):
         step[a] = doc[a]
         c = slice(a, b)
-        if value.dtype == np.uint64:
-            inner, outer = _planes(step[c], pos[c]), _planes(part[c], value[c])
-        else:
-            inner, outer = _planes(step[c], pos[c], part[c], value[c]), b""
+        inner, outer = _planes(step[c], pos[c]) + np.packbits(new[c]).tobytes(), _planes(part[c][new[c]], value[c])
+        if value.dtype != np.uint64:
+            inner, outer = inner + outer, b""
         rows.append((int(bucket[a]), kind, chunk, b - a, zlib.compress(inner, 1), outer))
     return pd.DataFrame(rows, columns=["bucket", "kind", "chunk", "n", "inner", "outer"])
 
@@ -115,9 +117,12 @@ def _unpacked(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     out = [(np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int64))]
     for r in rows:
         inner, n = zlib.decompress(r.inner), r.n
-        doc, pos = np.cumsum(_column(inner, 0, n, "<i8")), _column(inner, 8, n, "<i4")
-        data, at = (r.outer, 0) if r.outer else (inner, 12)
-        out.append((doc, _column(data, at, n, "<i4"), pos, _column(data, at + 4, n, "<i8")))
+        doc, pos = np.cumsum(_column(inner, 0, n, "<i8")), _column(inner, 8 * n, n, "<i4")
+        text = np.cumsum(np.unpackbits(np.frombuffer(inner, np.uint8, (n + 7) // 8, 12 * n), count=n), dtype=np.int64)
+        texts = int(text[-1])
+        data, start = (r.outer, 0) if r.outer else (inner, 12 * n + (n + 7) // 8)
+        part = _column(data, start, texts, "<i4")[text - 1]
+        out.append((doc, part, pos, _column(data, start + 4 * texts, n, "<i8")))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
