@@ -127,6 +127,21 @@ def test_components(spark):
     assert got == {x: find(x) for x in root if x != 900}
 
 
+def test_packed_units_round_trip():
+    rng = np.random.default_rng(5)
+    n = 5000
+    # few ids with several parts each, so that texts of one id meet within a row
+    doc, part = rng.integers(0, 40, n), rng.integers(-3, 3, n).astype(np.int32)
+    pos, bucket = rng.integers(0, 1 << 20, n).astype(np.int32), rng.integers(0, 7, n)
+    for value in (rng.integers(0, 1 << 63, n).astype(np.uint64), rng.integers(-5, 1 << 62, n)):
+        rows = list(passages._packed(bucket, passages.UNIT, doc, part, pos, value).itertuples(index=False))
+        assert sorted(r.bucket for r in rows) == list(range(7)) and sum(r.n for r in rows) == n
+        got = sorted(zip(*(c.tolist() for c in passages._unpacked(rows)), strict=True))
+        assert got == sorted(zip(doc.tolist(), part.tolist(), pos.tolist(), value.view(np.int64).tolist(), strict=True))
+    none = np.empty(0, np.int64)
+    assert not len(passages._packed(none, passages.HIT, none, none.astype(np.int32), none.astype(np.int32), none))
+
+
 def test_passages(spark):
     rng = random.Random(7)
     sentence = lambda n: " ".join(prose(rng, n)).capitalize() + "."
