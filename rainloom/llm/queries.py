@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rainloom.llm import leaks, mixing, neardup, passages, pii, quality, secrets, tokens, urls, warc
+from rainloom.llm import importance, leaks, mixing, neardup, negatives, passages, pieces, pii, quality, secrets, tokens, urls, warc
 from rainloom.llm.common import table
 
 
@@ -58,8 +58,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoding_report(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_warc_archive, op3_token_counts, op4_pii_surrogates, op5_mixing, op6_substring_dedup, op7_decontamination, op8_url_filter, op9_near_duplicates, op10_secret_scan)
+    for f in (op1_quality_rules, op2_warc_archive, op3_token_counts, op4_pii_surrogates, op5_mixing, op6_substring_dedup, op7_decontamination, op8_url_filter, op9_near_duplicates, op10_secret_scan, op11_importance_resampling, op12_piece_encoding, op13_hard_negatives)
 }
-ORACLES = {"op2_warc_archive": warc.REPORT_SQL}
+ORACLES = {"op2_warc_archive": warc.REPORT_SQL, "op11_importance_resampling": importance.SQL, "op13_hard_negatives": negatives.SQL}
