@@ -21,79 +21,156 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: How SentencePiece writes a space.
 MARK = "▁"
-#: Stretches of so many characters at most are remembered, so many of them before a worker begins anew.
+#: Stretches of so many characters at most are remembered, so many of them in a generation.
 SHORT, REMEMBERED = 48, 300_000
+#: So many short stretches of like lengths go through one agenda.
+TOGETHER = 4096
+#: The rank of a pair that makes no piece.
+NEVER = (1 << 31) - 1
 #: Characters that are encoded at once (one text at least).
 PORTION = 1 << 20
 
 
 class Merger:
-    """Ids of texts under one model."""
+    """Ids of texts under one model. Short stretches are remembered, two generations of them, of which the older one goes."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
 
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [(sp.id_to_piece(i), i) for i in range(sp.vocab_size()) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i))]
-        self.rank = {p: (-sp.get_score(i), i) for p, i in pieces}
+        pieces = {sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i))}
+        # symbols: the pieces and the characters in them; one more stands for all other characters
+        names = list(dict.fromkeys([*pieces, *chain.from_iterable(pieces)]))
+        number = {name: i for i, name in enumerate(names)}
+        self.other, self.base = len(names), len(names) + 1
+        self.char = {c: i for c, i in number.items() if len(c) == 1}
+        self.ids = [pieces.get(name, -1) for name in names] + [-1]
+        scores = sorted({-sp.get_score(i) for i in pieces.values()})
+        place = {s: i for i, s in enumerate(scores)}
+        self.rank = [place[-sp.get_score(i)] if i >= 0 else -1 for i in self.ids]
+        self.pairs = {number[p[:k]] * self.base + number[p[k:]]: number[p] for p in pieces for k in range(1, len(p)) if p[:k] in number and p[k:] in number}
+        # the same as arrays: symbols by code point, sorted pairs, and by symbol (none: the last) rank and id
+        self.symbol_of = np.full(0x110000, self.other, np.int64)
+        self.symbol_of[[ord(c) for c in self.char]] = list(self.char.values())
+        keys = np.array(list(self.pairs), np.int64)
+        self.pair_keys, self.pair_made = np.sort(keys), np.array(list(self.pairs.values()), np.int64)[keys.argsort()]
+        self.rank_of, self.id_of = np.array([*self.rank, NEVER], np.int32), np.array(self.ids)
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if any(map(sp.is_byte, range(sp.vocab_size()))) else None
-        self.unknown = sp.unk_id()
         # a stretch: marks and what follows up to the next mark; a line end that no longer piece holds stands by itself
-        stop = "" if any(MARK in p.lstrip(MARK) for p in self.rank) else MARK
-        lone = "" if any("\n" in p and len(p) > 1 for p in self.rank) else "\n"
+        stop = "" if any(MARK in p.lstrip(MARK) for p in pieces) else MARK
+        lone = "" if any("\n" in p and len(p) > 1 for p in pieces) else "\n"
         inner = f"[^{stop}{lone}]+" if stop + lone else r"(?s:.+)"
         self.stretches = re.compile((f"{stop}*{inner}|{stop}+" if stop else inner) + (f"|{lone}" if lone else "")).findall
-        self.memo: dict[str, list[int]] = {}
 
     def _merge(self, text: str) -> list[int]:
-        rank, symbols = self.rank, list(text)
+        pairs, rank, base = self.pairs, self.rank, self.base
+        symbols = [self.char.get(c, self.other) for c in text]
         n = len(symbols)
-        after, before, agenda = list(range(1, n + 1)), list(range(-1, n - 1)), []
-
-        def offer(a: int, b: int) -> None:
-            if a >= 0 and b < n and (known := rank.get(piece := symbols[a] + symbols[b])):
-                heapq.heappush(agenda, (known[0], a, b, piece))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
+        # an entry: the place of the pair's score, then the place of its left symbol
+        agenda = [rank[made] << 32 | i for i in range(n - 1) if (made := pairs.get(symbols[i] * base + symbols[i + 1])) is not None]
+        if agenda:
+            heapq.heapify(agenda)
+            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while agenda:
-            _, a, b, piece = heapq.heappop(agenda)
-            if not symbols[a] or not symbols[b] or len(symbols[a]) + len(symbols[b]) != len(piece):
+            entry = heapq.heappop(agenda)
+            a = entry & 0xFFFFFFFF
+            if symbols[a] < 0 or (b := after[a]) == n:
+                continue
+            made = pairs.get(symbols[a] * base + symbols[b])
+            if made is None or rank[made] != entry >> 32:
                 continue  # one of the two has merged meanwhile
-            symbols[a], symbols[b] = piece, ""
+            symbols[a], symbols[b] = made, -1
             after[a] = c = after[b]
             if c < n:
                 before[c] = a
-            offer(before[a], a)
-            offer(a, c)
-        ids: list[int] = []
-        for s in filter(None, symbols):
-            if known := rank.get(s):
-                ids.append(known[1])
-            elif self.bytes:
-                ids += [self.bytes[b] for b in s.encode()]
-            else:
-                ids.append(self.unknown)
-        return ids
-
-    def _known(self, stretch: str) -> list[int]:
-        ids = self.memo.get(stretch)
-        if ids is None:
-            ids = self._merge(stretch)
-            if len(stretch) <= SHORT:
-                if len(self.memo) >= REMEMBERED:
-                    self.memo.clear()
-                self.memo[stretch] = ids
-        return ids
+                if (more := pairs.get(made * base + symbols[c])) is not None:
+                    heapq.heappush(agenda, rank[more] << 32 | a)
+            c = before[a]
+            if c >= 0 and (more := pairs.get(symbols[c] * base + made)) is not None:
+                heapq.heappush(agenda, rank[more] << 32 | c)
+        out: list[int] = []
+        for i, s in enumerate(symbols):
+            if s >= 0:
+                if (id_ := self.ids[s]) >= 0:
+                    out.append(id_)
+                else:
+                    out += [self.bytes[b] for b in text[i].encode()] if self.bytes else [self.library.unk_id()]
+        return out
+
+    def _made(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The symbols that pairs make, -1 for none."""
+        key = x * self.base + y
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_made[at], -1)
+
+    def _merge_many(self, texts: list[str]) -> list[tuple[int, ...]]:
+        """_merge of many short texts at once: a row of the agenda is a text's, and every turn takes each row's first pair."""
+        lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        width, everyone = int(lens.max()), np.arange(len(texts))
+        column = np.arange(width + 1)
+        within = column < lens[:, None]
+        symbols = np.full(within.shape, self.other)
+        symbols[within] = self.symbol_of[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+        after = np.where(column + 1 < lens[:, None], column + 1, width)  # column `width` stands for the end
+        before = np.broadcast_to(column - 1, within.shape).copy()
+        made = np.full(within.shape, -1)
+        pair = within[:, 1:]
+        made[:, :-1][pair] = self._made(symbols[:, :-1][pair], symbols[:, 1:][pair])
+        agenda = self.rank_of[made]
+
+        def offer(rows: np.ndarray, a: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+            made[rows, a] = found = self._made(x, y)
+            agenda[rows, a] = self.rank_of[found]
+
+        rows = everyone
+        while len(rows):
+            a = agenda[rows].argmin(1)
+            more = agenda[rows, a] < NEVER
+            rows, a = rows[more], a[more]
+            one, b = made[rows, a], after[rows, a]
+            c = after[rows, b]
+            symbols[rows, a], symbols[rows, b], agenda[rows, b] = one, -1, NEVER
+            after[rows, a], before[rows, c] = c, a
+            offer(rows, a, one, symbols[rows, c])
+            p = before[rows, a]
+            some = p >= 0
+            offer(rows[some], p[some], symbols[rows[some], p[some]], one[some])
+            symbols[rows, width] = self.other
+        left = within & (symbols >= 0)
+        ids, ends = self.id_of[symbols[left]], left.sum(1).cumsum()
+        odd = np.zeros(len(texts), bool)
+        odd[np.repeat(everyone, left.sum(1))[ids < 0]] = True  # characters that are no piece
+        flat, starts = ids.tolist(), [0, *ends.tolist()]
+        return [tuple(self._merge(t)) if o else tuple(flat[i:j]) for t, o, i, j in zip(texts, odd.tolist(), starts, starts[1:], strict=False)]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        cuts = [self.stretches(self.library.normalize(t)) for t in texts]
+        memo, old = self.memo, self.old
+        new = set(chain.from_iterable(cuts)).difference(memo)
+        memo.update((s, old[s]) for s in new & old.keys())
+        short = sorted((s for s in new.difference(memo) if len(s) <= SHORT), key=len)
+        long = [s for s in new if len(s) > SHORT]
+        for i in range(0, len(short), TOGETHER):
+            memo.update(zip(short[i : i + TOGETHER], self._merge_many(short[i : i + TOGETHER]), strict=True))
+        memo.update((s, tuple(self._merge(s))) for s in long)
+        out = [list(chain.from_iterable(map(memo.__getitem__, cut))) for cut in cuts]
+        for s in long:
+            del memo[s]
+        if len(memo) > REMEMBERED:
+            self.memo, self.old = {}, memo
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self._known, self.stretches(self.library.normalize(text)))))
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -123,7 +200,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
             at = 0
             for texts in _portions(batch.column(1)):
                 want = sp.encode(texts, add_eos=end, num_threads=1)
-                got = [own.encode(t) + tail for t in texts]
+                got = [ids + tail for ids in own.encode_all(texts)]
                 agrees = [a == b for a, b in zip(got, want, strict=True)]
                 ids = [a if same else b for a, b, same in zip(got, want, agrees, strict=True)]
                 yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array(sp.decode(ids, num_threads=1), pa.string()), pa.array(agrees)], ["doc_id", "ids", "decoded", "agrees"])

@@ -112,13 +112,22 @@ def test_pieces_forget_and_fall_back(monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 2)
     own = pieces.Merger(path)
     text = "one two three four one two  three\nfour"
-    assert own.encode(text) == own.library.encode(text) and len(own.memo) <= 2
+    for _ in range(3):
+        assert own.encode(text) == own.library.encode(text)
+        assert not own.memo and 4 < len(own.old) < 9
+
+
+def test_pieces_one_by_one_and_together():
+    own = pieces.Merger(vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("▁▁aeinrstthdé漢🎉.0123\n") for _ in range(rng.randrange(1, 48))) for _ in range(3000)]
+    assert own._merge_many(texts) == [tuple(own._merge(t)) for t in texts]
 
 
 def test_pieces_disagreement_is_reported(spark, monkeypatch):
     path = vocabulary("piece_bpe_32k.model")
     other = pieces.Merger(path)
-    other.rank.pop("▁storm")  # a vocabulary that the agenda reads wrongly
+    other.rank_of[:] = pieces.NEVER  # a vocabulary that the agenda reads wrongly
     monkeypatch.setattr(pieces, "merger", lambda p: other)
     (row,) = pieces.encode_documents(spark.createDataFrame([(1, "a storm")], "doc_id long, text string").coalesce(1), path).collect()
     assert row.ids == other.library.encode("a storm", add_eos=True) and not row.agrees and row.decoded == "a storm"
