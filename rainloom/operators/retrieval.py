@@ -6,7 +6,7 @@ target; within a pass, blocks of targets meet batches of rows by matrix products
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,87 +30,111 @@ def _blocks(targets: DataFrame, key: str, vector: str, group: str | None, size:
         last = rows[-1][key]
 
 
+class _Nearest:
+    """The nearest rows seen so far of each target, under one metric (a factor for each place of the vectors)."""
+
+    def __init__(self, vectors: np.ndarray, scale: np.ndarray, pool: int) -> None:
+        self.vectors, self.scale, self.root, self.pool = vectors, scale, np.sqrt(scale), pool
+        self.scaled = vectors * self.root
+        self.norms = (self.scaled**2).sum(1)
+        self.best: list = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))] * len(vectors)
+        self.limits = np.full(len(vectors), np.inf)  # the farthest of a full pool
+
+    def meet(self, k: np.ndarray, g: np.ndarray, h: np.ndarray, barred: Callable[[slice], np.ndarray | None]) -> None:
+        near = h * self.root
+        own = (near**2).sum(1)
+        for at in range(0, len(self.best), 256):
+            some = slice(at, at + 256)
+            d = own + self.norms[some, None] - 2 * self.scaled[some] @ near.T
+            if (no := barred(some)) is not None:
+                d[no] = np.inf
+            # products err in the last digits: all rows within them of the limit are looked at
+            top = self.limits[some]
+            if d.shape[1] > self.pool:
+                top = np.minimum(top, np.partition(d, self.pool - 1, axis=1)[:, self.pool - 1])
+            slack = 1e-9 * (self.norms[some] + own.max())
+            close = (d <= (top + slack)[:, None]) & np.isfinite(d)
+            for i in np.flatnonzero(close.any(axis=1)):
+                t, c = at + i, np.flatnonzero(close[i])
+                exact = ((h[c] - self.vectors[t]) ** 2 * self.scale).sum(1)
+                dist, key, grp = (np.concatenate([a, b]) for a, b in zip(self.best[t], (exact, k[c], g[c]), strict=True))
+                order = np.lexsort((key, dist))[: self.pool]
+                self.best[t] = dist[order], key[order], grp[order]
+                if len(order) == self.pool:
+                    self.limits[t] = dist[order[-1]]
+
+
+def _scale(width: int, parts: Sequence[tuple] | None) -> np.ndarray:
+    """The factor of each place: a part's weight over its number of places. Parts are slices or lists of places."""
+    scale = np.ones(width)
+    if parts is not None:
+        scale[:] = 0
+        for s, w in parts:
+            scale[s] += w / len(scale[s])
+    return scale
+
+
 def neighbours(targets: DataFrame, history: DataFrame, target_key: str, history_key: str, vector: str, pool: int, slices: Mapping[str, tuple[slice, float]] | None = None, group: str | None = None, exclude: str | None = None, block: int = 1 << 14, root: bool = False) -> DataFrame:
     """The `pool` nearest history rows of each target: target_id, history_id, history_group, distance.
 
     Vectors are arrays of doubles without nulls. slices: parts of the vector and their weights; the distance is the weighted sum of
     the parts' mean squared differences. Without slices it is the squared Euclidean distance, or with root the Euclidean one.
     exclude: history rows of the target's own `group` ("group") or its own key ("self") don't count. Ties go to the smaller history key."""
-    parts = list(slices.values()) if slices else None
-    schema = "target_id long, history_id long, history_group long, distance double"
+    return neighbours_by_mode(targets, history, target_key, history_key, vector, pool, {"": slices}, group, exclude, block, root).drop("mode")
+
+
+def neighbours_by_mode(targets: DataFrame, history: DataFrame, target_key: str, history_key: str, vector: str, pool: int, modes: Mapping[str, Mapping[str, tuple] | None], group: str | None = None, exclude: str | None = None, block: int = 1 << 14, root: bool = False) -> DataFrame:
+    """`neighbours` under several metrics in one pass over history: mode, target_id, history_id, history_group, distance.
+
+    modes: for each name the parts of the vector (slices or lists of places) and their weights, as in `neighbours`; places in no part of a mode are features
+    that it leaves out. A task keeps a pool for each mode and target, so a pass takes block / modes targets."""
+    schema = "mode string, target_id long, history_id long, history_group long, distance double"
     found = None
+    parts = {m: list(p.values()) if p else None for m, p in modes.items()}
     hist = history.select(F.col(history_key).cast("long").alias("k"), F.col(vector).cast("array<double>").alias("v"), F.coalesce((F.col(group) if group else F.lit(None)).cast("long"), F.lit(-1)).alias("g")).where("v is not null and k is not null")
-    for rows in _blocks(targets.where(F.col(vector).isNotNull()), target_key, vector, group, block):
+    for rows in _blocks(targets.where(F.col(vector).isNotNull()), target_key, vector, group, max(1, block // len(parts))):
         ids, vectors = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
         groups = np.array([-1 if r[2] is None else r[2] for r in rows], np.int64) if group else None
 
         def run(batches: Iterator[pd.DataFrame], ids=ids, vectors=vectors, groups=groups) -> Iterator[pd.DataFrame]:
-            scale = np.ones(vectors.shape[1])
-            if parts:
-                scale[:] = 0
-                for s, w in parts:
-                    scale[s] += w / len(scale[s])
-            root_scale = np.sqrt(scale)
-            scaled = vectors * root_scale
-            norms = (scaled**2).sum(1)
-            best: list = [(np.empty(0), np.empty(0, np.int64), np.empty(0, np.int64))] * len(ids)
-            limits = np.full(len(ids), np.inf)  # the farthest of a full pool
+            pools = {m: _Nearest(vectors, _scale(vectors.shape[1], p), pool) for m, p in parts.items()}
             for x in batches:
                 if not len(x):
                     continue
                 k, g, h = x["k"].to_numpy(), x["g"].to_numpy(), np.stack(x["v"])
-                near = h * root_scale
-                own = (near**2).sum(1)
-                for at in range(0, len(ids), 256):
-                    some = slice(at, at + 256)
-                    d = own + norms[some, None] - 2 * scaled[some] @ near.T
-                    if exclude == "self":
-                        d[k == ids[some, None]] = np.inf
-                    elif exclude == "group":
-                        d[g == groups[some, None]] = np.inf
-                    # products err in the last digits: all rows within them of the limit are looked at
-                    top = limits[some]
-                    if d.shape[1] > pool:
-                        top = np.minimum(top, np.partition(d, pool - 1, axis=1)[:, pool - 1])
-                    slack = 1e-9 * (norms[some] + own.max())
-                    close = (d <= (top + slack)[:, None]) & np.isfinite(d)
-                    for i in np.flatnonzero(close.any(axis=1)):
-                        t, c = at + i, np.flatnonzero(close[i])
-                        exact = ((h[c] - vectors[t]) ** 2 * scale).sum(1)
-                        dist, key, grp = (np.concatenate([a, b]) for a, b in zip(best[t], (exact, k[c], g[c]), strict=True))
-                        order = np.lexsort((key, dist))[:pool]
-                        best[t] = dist[order], key[order], grp[order]
-                        if len(order) == pool:
-                            limits[t] = dist[order[-1]]
-            for t, (dist, key, grp) in enumerate(best):
-                if len(key):
-                    yield pd.DataFrame({"target_id": ids[t], "history_id": key, "history_group": grp, "distance": dist})
+                barred = {"self": lambda s, k=k: k == ids[s, None], "group": lambda s, g=g: g == groups[s, None]}.get(exclude, lambda s: None)
+                for nearest in pools.values():
+                    nearest.meet(k, g, h, barred)
+            for m, nearest in pools.items():
+                for t, (dist, key, grp) in enumerate(nearest.best):
+                    if len(key):
+                        yield pd.DataFrame({"mode": m, "target_id": ids[t], "history_id": key, "history_group": grp, "distance": dist})
 
         got = hist.mapInPandas(run, schema)
         found = got if found is None else found.unionByName(got)
     if found is None:
         return history.sparkSession.createDataFrame([], schema)
-    w = Window.partitionBy("target_id").orderBy("distance", "history_id")
+    w = Window.partitionBy("mode", "target_id").orderBy("distance", "history_id")
     found = found.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= pool).drop("__n")
     return found.withColumn("distance", F.sqrt("distance")) if root else found
 
 
-def diversified(pool: DataFrame, k: int = 20, cap: int = 3) -> DataFrame:
-    """rank 1..k: the nearest of the pool with at most `cap` a history group; if those are fewer than k, the nearest of the rest follow."""
-    own = Window.partitionBy("target_id", "history_group").orderBy("distance", "history_id")
+def diversified(pool: DataFrame, k: int = 20, cap: int = 3, by: Sequence[str] = ("target_id",)) -> DataFrame:
+    """rank 1..k: the nearest of the pool (of each `by`) with at most `cap` a history group; if those are fewer than k, the nearest of the rest follow."""
+    own = Window.partitionBy(*by, "history_group").orderBy("distance", "history_id")
     x = pool.withColumn("over", (F.row_number().over(own) > cap).cast("int"))
-    rank = F.row_number().over(Window.partitionBy("target_id").orderBy("over", "distance", "history_id"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("over", "distance", "history_id"))
     x = x.withColumn("rank", rank).where(F.col("rank") <= k).drop("over")
-    return x.withColumn("rank", F.row_number().over(Window.partitionBy("target_id").orderBy("distance", "history_id")))
+    return x.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("distance", "history_id")))
 
 
-def softmax_weights(edges: DataFrame, distance: str = "distance") -> DataFrame:
-    """similarity_weight: exp(-(d - least) / median), scaled to sum 1 a target; all alike if the median vanishes."""
-    s = edges.groupBy("target_id").agg(F.min(distance).alias("__lo"), F.percentile(distance, F.lit(0.5)).alias("__mid"), F.count("*").alias("__n"))
-    x = edges.join(s, "target_id")
+def softmax_weights(edges: DataFrame, distance: str = "distance", by: Sequence[str] = ("target_id",)) -> DataFrame:
+    """similarity_weight: exp(-(d - least) / median), scaled to sum 1 a target (by); all alike if the median vanishes."""
+    s = edges.groupBy(*by).agg(F.min(distance).alias("__lo"), F.percentile(distance, F.lit(0.5)).alias("__mid"), F.count("*").alias("__n"))
+    x = edges.join(s, list(by))
     raw = F.when(F.col("__mid") > 1e-12, F.exp(-(F.col(distance) - F.col("__lo")) / F.col("__mid"))).otherwise(1.0)
     x = x.withColumn("__w", raw)
-    total = F.sum("__w").over(Window.partitionBy("target_id"))
+    total = F.sum("__w").over(Window.partitionBy(*by))
     return x.withColumn("similarity_weight", F.col("__w") / total).drop("__lo", "__mid", "__n", "__w")
 
 
