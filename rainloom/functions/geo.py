@@ -87,3 +87,18 @@ def coast_flags(distance: Column, near: float = 100.0, wide: float = 300.0) -> d
     """Signed distance to the coast, negative on land. Unknown distances give 0, not null."""
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     return {"is_near_coast": flag(F.abs(distance) <= near), "is_near_coast_wide": flag(F.abs(distance) <= wide), "is_far_offshore": flag(distance > wide), "is_inland": flag(distance < -near)}
+
+
+#: Radius of the sphere of web maps, and the latitude at which their square ends.
+MERCATOR_M, MERCATOR_LAT = 6378137.0, 85.051128779806604
+
+
+def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Metres east and north on the spherical Mercator plane; latitudes beyond the square are pulled in to its edge."""
+    held = F.greatest(F.lit(-MERCATOR_LAT), F.least(F.lit(MERCATOR_LAT), lat))
+    return F.radians(lon) * MERCATOR_M, F.when(lat.isNotNull(), F.log(F.tan(F.radians(held) / 2 + math.pi / 4)) * MERCATOR_M)
+
+
+def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
+    """Degrees of longitude and latitude of a place on the plane."""
+    return F.degrees(x / MERCATOR_M), F.degrees(2 * F.atan(F.exp(y / MERCATOR_M)) - math.pi / 2)

@@ -53,3 +53,80 @@ def match_area(cells: DataFrame, targets: DataFrame, key: str, value: str, area:
     x = x.withColumn("changed", F.coalesce(fits & (place <= F.col("__k")), F.lit(False)))
     new = F.when(~F.col("changed"), F.col(value)).when(F.col("__up"), F.lit(float(threshold))).otherwise(F.lit(threshold - 0.01))
     return x.withColumn(value, new).select(*cells.columns, "changed")
+
+
+#: Why a field passes the calibration unchanged, or only partly calibrated.
+ALL_ZERO, TINY_TAIL, NO_TARGETS, NOW_ZERO = "all_zero", "tail_too_small", "missing_targets", "calibrated_all_zero"
+
+
+def field_state(cells: DataFrame, targets: DataFrame, key: str, value: str, limit: float = 120.0, lo: float = 0.7, hi: float = 3.0, hi_top: float = 5.0, eps: float = 1e-12) -> DataFrame:
+    """(key, state): what the calibration knows of each field of cells before it touches one.
+
+    state: n, q90, q95, q99, top (of the field), y95, y99, ytop (where they shall come to: the targets' p95, p99 and top, else the field's own; in order; within
+    the factors' bounds; not above cap), cap (the target's, at most `limit`), area (the target's, or null), scale (whether the tail is scaled at all), issue.
+    targets: key, p95, p99, top, area, cap; a field without a row there has none. A target that is missing or not finite falls back, and the issue names it."""
+    s = cells.groupBy(key).agg(F.count("*").alias("n"), F.percentile(value, F.array(F.lit(0.90), F.lit(0.95), F.lit(0.99))).alias("q"), F.max(value).alias("top"))
+    want = {c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double")).alias(f"t_{c}") for c in ("p95", "p99", "top", "area", "cap")}
+    s = s.withColumnRenamed("top", "own_top").join(targets.select(key, *want.values()), key, "left")
+    q95, q99, top = F.col("q")[1], F.col("q")[2], F.col("own_top")
+    zero, tiny = top <= 0, (q95 <= eps) | (q99 <= eps) | (top <= eps)
+    missing = F.array_compact(F.array(*[F.when(F.col(f"t_{c}").isNull(), c) for c in ("p95", "p99", "top", "area")]))
+    issue = F.when(zero, ALL_ZERO).when(tiny, TINY_TAIL).when(F.size(missing) > 0, F.concat(F.lit(f"{NO_TARGETS}:"), F.array_join(missing, ",")))
+    cap = F.least(F.lit(limit), F.when(F.col("t_cap") > 0, F.col("t_cap")))
+    p95 = F.coalesce("t_p95", q95)
+    p99 = F.greatest(F.coalesce("t_p99", q99), p95)
+    end = F.greatest(F.coalesce("t_top", top), p99)
+    s = s.withColumns({"cap": cap, "y0": q95 * clipped(p95 / (q95 + eps), lo, hi), "y1": q99 * clipped(p99 / (q99 + eps), lo, hi), "y2": top * clipped(end / (top + eps), lo, hi_top)})
+    y95 = F.least(F.greatest("y0", F.col("q")[0]), "cap")
+    y99 = F.least(F.greatest(F.col("y1"), y95), "cap")
+    ytop = F.least(F.greatest(F.col("y2"), y99), "cap")
+    fields = {"n": F.col("n"), "q90": F.col("q")[0], "q95": q95, "q99": q99, "top": top, "y95": y95, "y99": y99, "ytop": ytop, "cap": F.col("cap"), "area": F.col("t_area"), "scale": ~(zero | tiny), "issue": issue}
+    return s.select(key, F.struct(*[c.alias(name) for name, c in fields.items()]).alias("state"))
+
+
+def _tail_factor(v: Column, s: Column, lo: float, hi: float, hi_top: float, eps: float) -> Column:
+    """1 up to q90, then linear between the anchors' factors; 1 where two anchors coincide."""
+    f95, f99, ftop = (clipped(F.coalesce(safe_ratio(s[a], s[b]), F.lit(1.0)), lo, most) for a, b, most in (("y95", "q95", hi), ("y99", "q99", hi), ("ytop", "top", hi_top)))
+    part = lambda a, b, fa, fb: F.when(s[b] > s[a] + eps, fa + (fb - fa) * (v - s[a]) / (s[b] - s[a])).otherwise(1.0)
+    return F.when(v <= s["q90"], 1.0).when(v <= s["q95"], part("q90", "q95", F.lit(1.0), f95)).when(v <= s["q99"], part("q95", "q99", f95, f99)).otherwise(part("q99", "top", f99, ftop))
+
+
+def calibrate(cells: DataFrame, targets: DataFrame, key: str, value: str, cell_area: float, tie: Sequence[str], limit: float = 120.0, lo: float = 0.7, hi: float = 3.0, hi_top: float = 5.0, threshold: float = 10.0, high: float = 20.0, near: tuple[float, float] = (7.0, 5.0), tolerance: float = 0.25, most: float = 0.05, eps: float = 1e-12) -> DataFrame:
+    """cells with `calibrated`, `step` (raised, lowered, or null) and `state` (see field_state), stage by stage; nothing stops at a field that can't be calibrated.
+
+    1. Values that are missing, not finite or negative become 0. 2. The tail above q90 is scaled to the state's anchors. 3. Where the area at or above
+    the threshold misses the target's by more than the tolerance, the cells nearest below the threshold (from near[0] on, or near[1] if those are too
+    few) are raised to it, or the nearest above it (below `high` or the field's q99) lowered, no more than the share `most` of all cells. 4. Values end at
+    the cap. Fields that are all zero or whose tail is too small pass stages 2 to 4 with the values of stage 1, their issue in the state; so the state stays beside
+    the cells and `diagnose` sums it up. tie: columns that order the cells of one value. cell_area: km2."""
+    v = F.col(value).cast("double")
+    x = cells.withColumn("__v", F.when((F.abs(v) < float("inf")) & (v > 0), v).otherwise(0.0))
+    x = x.join(field_state(x, targets, key, "__v", limit, lo, hi, hi_top, eps), key)
+    s, r, field = F.col("state"), F.col("__r"), Window.partitionBy(key)
+    x = x.withColumn("__r", F.when(s["scale"], F.col("__v") * _tail_factor(F.col("__v"), s, lo, hi, hi_top, eps)).otherwise(F.col("__v")))
+    x = x.withColumns({"__at": F.count_if(r >= threshold).over(field), "__near": F.count_if((r >= near[0]) & (r < threshold)).over(field), "__q99": F.percentile(r, F.lit(0.99)).over(field)})
+    have, want, cells_most = F.col("__at") * cell_area, s["area"], F.greatest(F.lit(1), F.floor(most * s["n"]))
+    open_ = s["scale"] & want.isNotNull() & ~((want <= cell_area) & (have <= cell_area))
+    raise_ = F.when(open_ & (have < want * (1 - tolerance)), F.least(F.ceil((want * (1 - tolerance) - have) / cell_area), cells_most)).otherwise(0)
+    lower = F.when(open_ & (have > want * (1 + tolerance)), F.least(F.col("__at") - F.floor(want * (1 + tolerance) / cell_area), cells_most)).otherwise(0)
+    x = x.withColumns({"__up": raise_.cast("long"), "__down": lower.cast("long")})
+    needed = F.ceil((want * (1 - tolerance) - have) / cell_area)
+    floor_ = F.when(F.col("__near") < needed, near[1]).otherwise(near[0])
+    can_rise, can_fall = (F.col("__up") > 0) & (r >= floor_) & (r < threshold), (F.col("__down") > 0) & (r >= threshold) & (r < F.greatest(F.lit(high), F.col("__q99")))
+    place = F.row_number().over(field.orderBy(F.when(can_rise | can_fall, 0).otherwise(1), F.when(can_rise, -r).otherwise(r), *tie))
+    x = x.withColumn("step", F.when(can_rise & (place <= F.col("__up")), "raised").when(can_fall & (place <= F.col("__down")), "lowered"))
+    share = clipped((r - near[1]) / (threshold - near[1]), 0.0, 1.0)
+    moved = F.when(F.col("step") == "raised", threshold + 0.05 * share).when(F.col("step") == "lowered", F.least(F.lit(threshold - 0.01), r * 0.97)).otherwise(r)
+    return x.withColumn("calibrated", F.when(s["scale"], F.least(moved, s["cap"])).otherwise(F.col("__v"))).select(*cells.columns, "calibrated", "step", "state")
+
+
+def diagnose(calibrated: DataFrame, key: str, value: str, cell_area: float, threshold: float = 10.0) -> DataFrame:
+    """A row per field of `calibrate`'s cells: ok, issue, quantiles and areas before and after, cells raised, lowered and at the cap."""
+    c, s = F.col("calibrated"), F.col("state")
+    after = F.percentile(c, F.array(F.lit(0.95), F.lit(0.99)))
+    v = F.col(value).cast("double")
+    x = calibrated.groupBy(key).agg(F.first("state").alias("state"), after.alias("q"), F.max(c).alias("top_after"), F.count_if(F.col("step") == "raised").alias("n_raised"), F.count_if(F.col("step") == "lowered").alias("n_lowered"), F.count_if(s["scale"] & (c >= s["cap"])).alias("n_at_cap"), (F.count_if(F.coalesce((v >= threshold) & (v < float("inf")), F.lit(False))) * cell_area).alias("area_before"), (F.count_if(c >= threshold) * cell_area).alias("area_after"))
+    s = F.col("state")
+    issue = F.concat_ws("; ", s["issue"], F.when(s["scale"] & (F.col("top_after") <= 0), NOW_ZERO))
+    before = [s[a].alias(f"{b}_before") for a, b in (("q95", "p95"), ("q99", "p99"), ("top", "top"))]
+    return x.select(key, (issue == "").alias("ok"), issue.alias("issue"), *before, F.col("q")[0].alias("p95_after"), F.col("q")[1].alias("p99_after"), "top_after", s["cap"].alias("cap"), "area_before", "area_after", "n_raised", "n_lowered", "n_at_cap")
