@@ -74,6 +74,66 @@ def fit(fields: DataFrame, field: str, rank: int = 20, rounds: int = 4, seed: in
     return Basis(mean, components, np.maximum(values[order], 0) / max(total, 1e-300))
 
 
+@dataclass(frozen=True)
+class _Sketch:
+    """n fields seen: their mean, their scatter in all (sum of squares about the mean), and the leading part of it as rows (right vectors times singular values)."""
+
+    n: int
+    mean: np.ndarray
+    scatter: float
+    rows: np.ndarray
+
+
+def _merged(one: _Sketch | None, other: _Sketch | None, keep: int) -> _Sketch | None:
+    """Both sketches as one: the scatter of the means' difference is a row more."""
+    if one is None or other is None:
+        return one or other
+    n, step = one.n + other.n, other.mean - one.mean
+    apart = np.sqrt(one.n * other.n / n) * step
+    stacked = np.concatenate([one.rows, other.rows, apart[None]])
+    _, sizes, vectors = np.linalg.svd(stacked, full_matrices=False)
+    kept = min(keep, len(sizes))
+    return _Sketch(n, one.mean + step * other.n / n, one.scatter + other.scatter + float(apart @ apart), vectors[:kept] * sizes[:kept, None])
+
+
+def _sketch(a: np.ndarray) -> _Sketch:
+    centred = a - a.mean(0)
+    return _Sketch(len(a), a.mean(0), float((centred**2).sum()), centred)
+
+
+def fit_once(fields: DataFrame, field: str, rank: int = 20, batch: int = 128, spare: int = 12) -> Basis:
+    """`fit` in one pass: every task folds its fields, `batch` at a time, into a sketch of rank + spare rows, and the tasks' sketches are merged in a tree.
+
+    Exact for fields of no more than rank + spare dimensions; else what a sketch drops is the scatter beyond that rank. A sketch has rank + spare rows of
+    cells, so what a merge holds, and what the driver gets at the end, doesn't grow with the fields."""
+    keep = rank + spare
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, waiting = None, []
+        for x in batches:
+            waiting += list(x[field])
+            while len(waiting) >= batch:
+                seen, waiting = _merged(seen, _sketch(np.log1p(np.stack(waiting[:batch]).astype(float))), keep), waiting[batch:]
+        if waiting:
+            seen = _merged(seen, _sketch(np.log1p(np.stack(waiting).astype(float))), keep)
+        if seen:
+            yield pd.DataFrame({"n": [seen.n], "scatter": [seen.scatter], "mean": [seen.mean.tobytes()], "rows": [seen.rows.tobytes()]})
+
+    def unpack(r) -> _Sketch:
+        mean = np.frombuffer(r["mean"])
+        return _Sketch(r["n"], mean, r["scatter"], np.frombuffer(r["rows"]).reshape(-1, len(mean)))
+
+    made = fields.select(field).where(F.col(field).isNotNull()).mapInPandas(run, "n long, scatter double, mean binary, rows binary")
+    none = fields.sparkSession.sparkContext.parallelize([None], 1)
+    whole = made.rdd.map(unpack).union(none).treeReduce(lambda a, b: _merged(a, b, keep), depth=3)
+    if whole is None:
+        raise ValueError("no fields")
+    _, sizes, vectors = np.linalg.svd(whole.rows, full_matrices=False)
+    components = vectors[:rank]
+    components = components * np.where(components[np.arange(len(components)), np.abs(components).argmax(1)] < 0, -1.0, 1.0)[:, None]
+    return Basis(whole.mean, components, sizes[:rank] ** 2 / max(whole.scatter, 1e-300))
+
+
 def project(fields: DataFrame, field: str, key: str, basis: Basis) -> DataFrame:
     """(key, scores)"""
 
