@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainloom.functions.clean import safe_ratio
+from rainloom.operators import selection
 
 
 def summary(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -19,9 +20,15 @@ def summary(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFram
 
 
 def describe(df: DataFrame, by: Sequence[str], value: str, levels: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 0.9)) -> DataFrame:
-    """count, mean, std, min, exact percentiles (linear between values) and max."""
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.percentile(value, F.array(*[F.lit(q) for q in levels])).alias("__q"), F.max(value).alias("max"))
-    return out.select(*by, "n", "mean", "std", "min", *[F.col("__q")[i].alias(f"p{round(100 * q):02d}") for i, q in enumerate(levels)], "max")
+    """count, mean, std, min, exact percentiles (linear between values) and max. Groups may be of any size."""
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    q = selection.percentiles(df, by, value, levels, "__q")
+    q = q.select(*[F.col(c).alias(f"__q_{c}") for c in by], "__q")
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__q_{c}"))
+    x = out.join(q, same, "left") if by else out.join(F.broadcast(q))  # one row
+    return x.select(*by, "n", "mean", "std", "min", *[F.col("__q")[i].alias(f"p{round(100 * q):02d}") for i, q in enumerate(levels)], "max")
 
 
 def percentiles(df: DataFrame, by: Sequence[str], value: str, levels: Sequence[float]) -> DataFrame:
@@ -131,7 +138,9 @@ def near_percentile(df: DataFrame, by: Sequence[str], value: str, level: float,
 def robust_scale(df: DataFrame, values: Sequence[str]) -> DataFrame:
     """A row per value: median, scale (IQR, else the standard deviation, else 1) and missing rate."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(v).alias("feature"), F.col(v).cast("double").alias("x")) for v in values])).alias("s")).select("s.*")
-    x = long.groupBy("feature").agg(F.percentile("x", F.lit(0.5)).alias("median"), (F.percentile("x", F.lit(0.75)) - F.percentile("x", F.lit(0.25))).alias("iqr"), F.stddev_samp("x").alias("std"), F.avg(F.col("x").isNull().cast("int")).alias("missing"))
+    x = long.groupBy("feature").agg(F.stddev_samp("x").alias("std"), F.avg(F.col("x").isNull().cast("int")).alias("missing"))
+    q = selection.percentiles(long, ["feature"], "x", (0.25, 0.5, 0.75))
+    x = x.join(q, "feature").withColumns({"median": F.col("q")[1], "iqr": F.col("q")[2] - F.col("q")[0]})
     scale = F.when(F.col("iqr") > 1e-12, F.col("iqr")).when(F.col("std") > 1e-12, F.col("std")).otherwise(1.0)
     return x.select("feature", "median", scale.alias("scale"), "missing")
 
@@ -167,7 +176,7 @@ def support(history: DataFrame, target: DataFrame, values: Sequence[str]) -> Dat
 
 def tercile_edges(df: DataFrame, value: str) -> DataFrame:
     """The two edges that cut the values into terciles: one row."""
-    return df.agg(F.percentile(value, F.lit(1 / 3)).alias("lo"), F.percentile(value, F.lit(2 / 3)).alias("hi"))
+    return selection.percentiles(df, [], value, (1 / 3, 2 / 3)).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def terciles(df: DataFrame, value: str, name: str, labels: Sequence[str]) -> DataFrame:

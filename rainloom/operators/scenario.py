@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainloom.functions.geo import DEGREE_KM, haversine_km, wrap180
+from rainloom.operators import selection
 from rainloom.operators.aggregates import against_baseline
 from rainloom.operators.timeseries import interpolate, path_length
 
@@ -18,7 +19,10 @@ def envelope(history: DataFrame, strict: Column, relaxed: Sequence[Column], valu
     filters = [F.coalesce(c, F.lit(False)) for c in (strict, *relaxed)] + [F.lit(True)]
     counts = history.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(filters)]).first()  # one row
     chosen = next((i for i, n in enumerate(counts) if n >= least), len(filters) - 1)
-    x = history.where(filters[chosen]).agg(*[F.percentile(v, F.array(*[F.lit(q) for q in levels])).alias(v) for v in values], F.count("*").alias("n"))
+    kept = history.where(filters[chosen])
+    x = kept.agg(F.count("*").alias("n"))
+    for v in values:
+        x = x.join(F.broadcast(selection.percentiles(kept, [], v, levels, v)))  # one row each
     return x.select(F.lit(chosen).alias("level"), "n", *[F.col(v)[i].alias(f"{v}_p{round(100 * q)}") for v in values for i, q in enumerate(levels)])
 
 

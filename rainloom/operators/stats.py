@@ -8,36 +8,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainloom.functions.clean import safe_ratio
+from rainloom.operators import selection
 
 
 def percent_rank(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
-    """Average rank over the number of values, in (0, 1]. Equal values are counted first, so only distinct values are ordered."""
+    """Average rank over the number of values, in (0, 1]. Equal values are counted first, so only distinct values are ordered, each range of them by itself."""
     c = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy()
-    upto = F.sum("__c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    c = c.withColumn(name, (upto - (F.col("__c") - 1) / 2) / F.sum("__c").over(w)).drop("__c")
+    c = selection.upto(selection.with_ranges(c, [value], "__r"), by, value, "__c", f"{value}__r", "__upto", "__all")
+    c = c.select(*by, value, ((F.col("__upto") - (F.col("__c") - 1) / 2) / F.col("__all")).alias(name))
     return df.join(c, [*by, value], "left")
 
 
 def spearman(df: DataFrame, xs: Sequence[str], ys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(x, y, rho, n) for every pair of columns: rank correlation with average ranks over the rows that have both.
 
-    Each pair becomes rows of one long table, so all pairs are ranked in one pass. Ranks come from counts of equal values."""
-    pairs = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).cast("double").alias("u"), F.col(b).cast("double").alias("v")) for a in xs for b in ys if a != b])
+    Each pair becomes rows of one long table, so all pairs are ranked in one pass. Ranks come from counts of equal values, by ranges of values, so
+    that no task orders a whole column."""
+    cut = selection.with_ranges(df, list(dict.fromkeys([*xs, *ys])), "__r")
+    own = lambda c, v: (F.col(c).cast("double").alias(v), F.col(f"{c}__r").alias(f"{v}r"))
+    pairs = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), *own(a, "u"), *own(b, "v")) for a in xs for b in ys if a != b])
     key = [*by, "x", "y"]
-    long = df.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*").where("u is not null and v is not null")
-    cells = long.groupBy(*key, "u", "v").agg(F.count("*").alias("c"))
+    long = cut.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*").where("u is not null and v is not null")
+    cells = long.groupBy(*key, "u", "ur", "v", "vr").agg(F.count("*").alias("c"))
 
     def ranks(value: str, name: str) -> DataFrame:
-        one = cells.groupBy(*key, value).agg(F.sum("c").alias("k"))
-        upto = F.sum("k").over(Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return one.select(*key, value, (upto - (F.col("k") - 1) / 2).alias(name))
+        one = cells.groupBy(*key, value, f"{value}r").agg(F.sum("c").alias("k"))
+        return selection.upto(one, key, value, "k", f"{value}r", "upto", "n").select(*key, value, (F.col("upto") - (F.col("k") - 1) / 2).alias(name), F.col("n").alias(f"n_{name}"))
 
-    x = cells.join(ranks("u", "ru"), [*key, "u"]).join(ranks("v", "rv"), [*key, "v"])
-    n, c = F.sum("c"), F.col("c")
+    x = cells.join(ranks("u", "ru"), [*key, "u"]).join(ranks("v", "rv").drop("n_rv"), [*key, "v"]).withColumnRenamed("n_ru", "n")
+    c = F.col("c")
     # all ranks have the mean (n + 1) / 2; moments about it, from the counts
-    total = x.groupBy(*key).agg(n.alias("n"))
-    x = x.join(total, key).withColumns({"a": F.col("ru") - (F.col("n") + 1) / 2, "b": F.col("rv") - (F.col("n") + 1) / 2})
+    x = x.withColumns({"a": F.col("ru") - (F.col("n") + 1) / 2, "b": F.col("rv") - (F.col("n") + 1) / 2})
     return x.groupBy(*key, "n").agg(safe_ratio(F.sum(c * F.col("a") * F.col("b")), F.sqrt(F.sum(c * F.col("a") * F.col("a")) * F.sum(c * F.col("b") * F.col("b")))).alias("rho")).select(*key, "rho", "n")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rainloom.functions.clean import safe_ratio
 from rainloom.functions.geo import haversine_km, wrap180
+from rainloom.operators import selection
 
 HOUR_US = 3_600_000_000
 
@@ -89,8 +90,10 @@ def fill_by_position(df: DataFrame, by: Sequence[str], order: Sequence[str], val
 def fill_by_median(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Gaps take the median of their group, else of the whole table, else 0."""
     group = df.groupBy(*by).agg(*[F.percentile(v, F.lit(0.5)).alias(f"__g_{v}") for v in values])
-    whole = df.agg(*[F.percentile(v, F.lit(0.5)).alias(f"__w_{v}") for v in values])
-    df = df.join(group, list(by), "left").join(F.broadcast(whole))  # one row
+    wholes = {v: selection.percentiles(df, [], v, (0.5,)).select(F.col("q")[0].alias(f"__w_{v}")) for v in values}
+    df = df.join(group, list(by), "left")
+    for whole in wholes.values():
+        df = df.join(F.broadcast(whole))  # one row
     return df.withColumns({v: F.coalesce(F.col(v), F.col(f"__g_{v}"), F.col(f"__w_{v}"), F.lit(0.0)) for v in values}).drop(*[f"__{k}_{v}" for k in "gw" for v in values])
 
 
