@@ -5,8 +5,9 @@ score first and of equal scores the leftmost; each pair taken from it becomes on
 are no piece become their bytes' pieces. Where no piece of the vocabulary has a mark of white space (or a line end) behind another
 character, no merge reaches over that place, so the stretches between such places are encoded by themselves, and a worker remembers short ones.
 
-Every batch is checked against the sentencepiece library; `agrees` says whether a text's own ids are the library's. Where they aren't (models
-with user-defined or unused pieces, which the agenda doesn't know), the library's ids are returned. The ids are decoded by the library.
+Every batch is checked against the sentencepiece library: each stretch that a worker encodes, in the batch that brings it (or, with whole=True and for
+vocabularies that hold line ends, each text anew). `agrees` says whether a text's own ids are the library's. Where they aren't (models with user-defined
+or unused pieces, which the agenda doesn't know), the library's ids are returned. The ids are decoded by the library.
 
 Cases: a null text counts as empty (the end id alone); rows are encoded row by row, repeated or not; strings such as </s> inside texts are
 ordinary characters, as the library has it; a text of any length is encoded whole, its agenda taking memory in proportion to its longest
@@ -65,9 +66,12 @@ class Merger:
         self.pair_keys, self.pair_made = np.sort(keys), np.array(list(self.pairs.values()), np.int64)[keys.argsort()]
         self.rank_of, self.id_of = np.array([*self.rank, NEVER], np.int32), np.array(self.ids)
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if any(map(sp.is_byte, range(sp.vocab_size()))) else None
+        self.doubtful: set[str] = set()
         # a stretch: marks and what follows up to the next mark; a line end that no longer piece holds stands by itself
         stop = "" if any(MARK in p.lstrip(MARK) for p in pieces) else MARK
         lone = "" if any("\n" in p and len(p) > 1 for p in pieces) else "\n"
+        self.head = sp.encode("\n") if stop and lone else None
+        self.line = sp.encode("\n\n")[len(self.head) :] if self.head else []
         inner = f"[^{stop}{lone}]+" if stop + lone else r"(?s:.+)"
         self.stretches = re.compile((f"{stop}*{inner}|{stop}+" if stop else inner) + (f"|{lone}" if lone else "")).findall
 
@@ -152,6 +156,29 @@ class Merger:
         flat, starts = ids.tolist(), [0, *ends.tolist()]
         return [tuple(self._merge(t)) if o else tuple(flat[i:j]) for t, o, i, j in zip(texts, odd.tolist(), starts, starts[1:], strict=False)]
 
+    def _check(self, stretches: list[str]) -> None:
+        """Hold the ids of new stretches against the library's, a line each; those that differ are doubtful from now on."""
+        for i in range(0, len(stretches), TOGETHER):
+            some = stretches[i : i + TOGETHER]
+            want = self.library.encode("".join(f"\n{s}" for s in some).replace(MARK, " "))
+            got = list(self.head[: len(self.head) - len(self.line)])
+            for s in some:
+                got += self.line
+                got += self.memo[s]
+            if got != want:
+                self.doubtful.update(s for s in some if [*self.head, *self.memo[s]] != self.library.encode(f"\n{s}".replace(MARK, " ")))
+
+    def agreeing(self, texts: list[str], ids: list[list[int]], whole: bool) -> list[list[int] | None]:
+        """For each text None where its ids are the library's, else what the library gives."""
+        if self.head and not whole and not self.doubtful:
+            return [None] * len(texts)
+        at = range(len(texts)) if whole or not self.head else [i for i, t in enumerate(texts) if not self.doubtful.isdisjoint(self.stretches(self.library.normalize(t)))]
+        out: list[list[int] | None] = [None] * len(texts)
+        for i, want in zip(at, self.library.encode([texts[i] for i in at], num_threads=1), strict=True):
+            if want != ids[i]:
+                out[i] = want
+        return out
+
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         cuts = [self.stretches(self.library.normalize(t)) for t in texts]
         memo, old = self.memo, self.old
@@ -162,6 +189,8 @@ class Merger:
         for i in range(0, len(short), TOGETHER):
             memo.update(zip(short[i : i + TOGETHER], self._merge_many(short[i : i + TOGETHER]), strict=True))
         memo.update((s, tuple(self._merge(s))) for s in long)
+        if self.head:
+            self._check(short + long)
         out = [list(chain.from_iterable(map(memo.__getitem__, cut))) for cut in cuts]
         for s in long:
             del memo[s]
@@ -190,8 +219,8 @@ def _portions(column: pa.Array) -> Iterator[list[str]]:
         yield part
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True) -> DataFrame:
-    """A row per document: doc_id, ids, decoded (what the library makes of the ids), agrees."""
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True, whole: bool = False) -> DataFrame:
+    """A row per document: doc_id, ids, decoded (what the library makes of the ids), agrees. whole: check every text, not every new stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = merger(model)
@@ -199,10 +228,10 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         for batch in batches:
             at = 0
             for texts in _portions(batch.column(1)):
-                want = sp.encode(texts, add_eos=end, num_threads=1)
-                got = [ids + tail for ids in own.encode_all(texts)]
-                agrees = [a == b for a, b in zip(got, want, strict=True)]
-                ids = [a if same else b for a, b, same in zip(got, want, agrees, strict=True)]
+                got = own.encode_all(texts)
+                other = own.agreeing(texts, got, whole)
+                agrees = [o is None for o in other]
+                ids = [(a if o is None else o) + tail for a, o in zip(got, other, strict=True)]
                 yield pa.record_batch([batch.column(0).slice(at, len(texts)), pa.array(ids, pa.list_(pa.int32())), pa.array(sp.decode(ids, num_threads=1), pa.string()), pa.array(agrees)], ["doc_id", "ids", "decoded", "agrees"])
                 at += len(texts)
 

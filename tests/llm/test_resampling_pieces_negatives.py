@@ -105,6 +105,8 @@ def test_pieces_equal_the_library(spark, sf_dir):
         want[(i if i % 9 else None, len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(sp.decode(ids).encode()).hexdigest(), True)] += 1
     assert Counter(map(tuple, pieces.encoding_report(df, path).collect())) == want
     assert pieces.encoding_report(df.limit(0), path).collect() == []
+    whole = pieces.encode_documents(df, path, whole=True)
+    assert whole.where("not agrees").isEmpty() and whole.count() == len(texts)
 
 
 def test_pieces_forget_and_fall_back(monkeypatch):
@@ -129,8 +131,21 @@ def test_pieces_disagreement_is_reported(spark, monkeypatch):
     other = pieces.Merger(path)
     other.rank_of[:] = pieces.NEVER  # a vocabulary that the agenda reads wrongly
     monkeypatch.setattr(pieces, "merger", lambda p: other)
-    (row,) = pieces.encode_documents(spark.createDataFrame([(1, "a storm")], "doc_id long, text string").coalesce(1), path).collect()
-    assert row.ids == other.library.encode("a storm", add_eos=True) and not row.agrees and row.decoded == "a storm"
+    df = spark.createDataFrame([(1, "a storm"), (2, "")], "doc_id long, text string").coalesce(1)
+    for whole in (False, True):
+        row, empty = sorted(pieces.encode_documents(df, path, whole=whole).collect())
+        assert row.ids == other.library.encode("a storm", add_eos=True) and not row.agrees and row.decoded == "a storm" and empty.agrees
+
+
+def test_pieces_check_finds_a_wrong_stretch():
+    own = pieces.Merger(vocabulary("piece_bpe_32k.model"))
+    text = "the storm went\non and  on é🎉"
+    assert own.encode(text) == own.library.encode(text) and not own.doubtful
+    own.memo["▁storm"] = (5, 6)
+    own._check(["▁the", "▁storm", "▁▁on"])
+    assert own.doubtful == {"▁storm"}
+    ids = own.encode_all([text, "no"])
+    assert own.agreeing([text, "no"], ids, False) == [own.library.encode(text), None]
 
 
 # --- hard negatives
