@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rainloom.functions.columns import ContractError
+from rainloom.functions.geo import EARTH_KM, haversine_km
 
 
 def nearest_within(left: DataFrame, right: DataFrame, left_x: str, right_x: str, reach: int, cost: Column, tie: Sequence[str], most: float, key: str, carry: Sequence[str]) -> DataFrame:
@@ -26,6 +28,31 @@ def nearest_within(left: DataFrame, right: DataFrame, left_x: str, right_x: str,
     return out.withColumns({c: F.when(F.col("status") == "matched", F.col(c)) for c in carry})
 
 
+def nearest_in_space(left: DataFrame, right: DataFrame, left_x: str, right_x: str, reach: int, left_place: tuple[str, str], right_place: tuple[str, str], most_km: float, key: str, carry: Sequence[str], tie: Sequence[str]) -> DataFrame:
+    """Each left row with the nearest right row by great circle among those at most `reach` away on x: columns as nearest_within's, cost in km.
+
+    Rows meet in buckets of both x and place: a left row looks into the cells that a circle of most_km about it can touch, round the earth and, near a pole, in all
+    columns, so that a right row is met by the left rows near it and not by all of its time. Only left rows without a match there look at all of
+    their time, to tell too_far (with the least distance) from no_candidate. A row without a place matches nothing and is no_candidate. Places are (lon, lat)."""
+    (lon, lat), (lon2, lat2) = left_place, right_place
+    columns = max(1, int(360.0 / (most_km / 111.0))) if most_km > 0 else 3600
+    high, wide = max(most_km, 1e-3) / 111.0, 360.0 / columns
+    arc = most_km / EARTH_KM * (1 + 1e-9)
+    ratio = math.sin(min(arc, math.pi / 2)) / F.cos(F.radians(lat))
+    margin = F.when((F.abs(F.col(lat)) + math.degrees(arc) >= 90) | (ratio >= 1), 360.0).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) + 1e-9)
+    place = lambda x, width: F.floor(x / width).cast("long")
+    first = place(F.col(lon) - margin, wide)
+    a = left.where(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    a = a.withColumn("__t", F.explode(F.array(*[place(F.col(left_x), reach) + d for d in (-1, 0, 1)]))).withColumn("__r", F.explode(F.array(*[place(F.col(lat), high) + d for d in (-1, 0, 1)])))
+    a = a.withColumn("__c", F.explode(F.sequence(first, F.least(place(F.col(lon) + margin, wide), first + columns - 1)))).withColumn("__c", F.pmod("__c", F.lit(columns)))
+    b = right.withColumns({"__t": place(F.col(right_x), reach), "__r": place(F.col(lat2), high), "__c": F.pmod(place(F.col(lon2), wide), F.lit(columns))})
+    cost = haversine_km(F.col(lon), F.col(lat), F.col(lon2), F.col(lat2))
+    near = a.join(b, ["__t", "__r", "__c"]).where(F.abs(F.col(left_x) - F.col(right_x)) <= reach).withColumn("cost", cost).where(F.col("cost") <= most_km)
+    best = near.groupBy(key).agg(F.min_by(F.struct("cost", *carry), F.struct("cost", *tie)).alias("m")).select(key, "m.*").withColumn("status", F.lit("matched"))
+    rest = nearest_within(left.join(best.select(key), key, "left_anti"), right.where(F.col(lon2).isNotNull() & F.col(lat2).isNotNull()), left_x, right_x, reach, cost, tie, most_km, key, carry)
+    return left.join(best, key).unionByName(rest)
+
+
 def nearest_in_series(left: DataFrame, right: DataFrame, by: Sequence[str], x: str, carry: Sequence[str]) -> DataFrame:
     """Each left row with the columns `carry` of the nearest right row of its series; of two as near, the earlier. distance is |x - x'|.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rainloom.operators import coast, eof, grouped, imputation, refresh, scenario
+from rainloom.operators import coast, eof, grouped, imputation, joins, refresh, scenario, timeseries
 from rainloom.plans.registry import query, rounded, table
 from rainloom.plans.series import hav
 from rainloom.plans.validation import VERTICES
@@ -92,3 +92,20 @@ def one_pass_components(spark, sf_dir):
     """Components of the embeddings' magnitudes from a single pass, and each field's reconstruction by them."""
     x = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("field"))
     return eof.reconstruct(x, "field", "vec_id", eof.fit_once(x, "field", rank=10)).select("vec_id", "rmse", "corr", "energy_ratio")
+
+
+@query("""
+WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS us, ((event_id * 37) % 3600) / 10.0::DOUBLE - 180 AS lon, ((event_id * 13) % 1600) / 10.0::DOUBLE - 80 AS lat FROM events),
+t AS (SELECT event_id AS track_id, us AS tus, lon AS lon2, lat AS lat2 FROM e WHERE event_type = 'view'), f AS (SELECT * FROM e WHERE event_type = 'click'),
+x AS (SELECT event_id, track_id, tus, """ + hav("lon", "lat", "lon2", "lat2") + """ AS km FROM f JOIN t ON tus BETWEEN us - 43200000000 AND us + 43200000000),
+n AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY km, tus, track_id) = 1)
+SELECT f.event_id, round(km, 4) + 0.0 AS cost, CASE WHEN km <= 600 THEN track_id END AS track_id, CASE WHEN km IS NULL THEN 'no_candidate' WHEN km > 600 THEN 'too_far' ELSE 'matched' END AS status FROM f LEFT JOIN n USING (event_id)
+""")
+def nearest_space_time(spark, sf_dir):
+    """Clicks with the nearest view of the twelve hours before and behind, within 600 km."""
+    e = F.col("event_id")
+    x = table(spark, sf_dir, "events").withColumns({"us": timeseries.micros(F.col("ts")), "lon": ((e * 37) % 3600) / 10.0 - 180, "lat": ((e * 13) % 1600) / 10.0 - 80})
+    frames = x.where("event_type = 'click'").select("event_id", "us", "lon", "lat")
+    views = x.where("event_type = 'view'").select(e.alias("track_id"), F.col("us").alias("tus"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    out = joins.nearest_in_space(frames, views, "us", "tus", 12 * timeseries.HOUR_US, ("lon", "lat"), ("lon2", "lat2"), 600.0, "event_id", ["track_id"], ["tus", "track_id"])
+    return out.select("event_id", (F.round("cost", 4) + F.lit(0.0)).alias("cost"), "track_id", "status")
