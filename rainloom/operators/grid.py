@@ -40,6 +40,20 @@ def bilinear(points: DataFrame, cells: DataFrame, on: Sequence[str], row: str, c
     return points.join(sums, "__id", "left").withColumn(value, F.coalesce(value, F.lit(outside).cast("double")))
 
 
+def bilinear_packed(points: DataFrame, frames: DataFrame, on: Sequence[str], row: str, col: str, field: str, n_rows: int, n_cols: int, value: str, outside: float | None = None) -> DataFrame:
+    """points with value at fractional (row, col) of their frame's raster, an array of n_rows * n_cols cells row by row: as `bilinear`, with one join by frame and
+    the four corners taken by index. frames: on, field; a row a frame, so no cell is shuffled by itself and no point is."""
+    r0, c0 = F.floor(row).cast("int"), F.floor(col).cast("int")
+    fr, fc = F.col(row) - r0, F.col(col) - c0
+    x = points.join(frames.select(*on, F.col(field).alias("__field")), list(on), "left")
+    total, ok = F.lit(0.0), F.col(row).isNotNull() & F.col(col).isNotNull()
+    for dr, dc, w in ((0, 0, (1 - fr) * (1 - fc)), (0, 1, (1 - fr) * fc), (1, 0, fr * (1 - fc)), (1, 1, fr * fc)):
+        r, c = r0 + dr, c0 + dc
+        cell = F.when((r >= 0) & (r < n_rows) & (c >= 0) & (c < n_cols), F.get("__field", r * n_cols + c))
+        total, ok = total + F.when(w > 0, w * cell).otherwise(0.0), ok & ((w <= 0) | cell.isNotNull())
+    return x.withColumn(value, F.coalesce(F.when(ok, total), F.lit(outside).cast("double"))).drop("__field")
+
+
 def to_relative(frames: DataFrame, cells: DataFrame, grid: DataFrame, key: str, value: str, most_missing: float = 0.5) -> DataFrame:
     """(key, iy, ix, value): each frame's raster resampled to the storm's own axes; frames of which more than most_missing lies outside are left out.
 
@@ -66,14 +80,18 @@ def fuse(edges: DataFrame, fields: DataFrame, value: str, how: str = "log") -> D
     return x.agg((F.expm1(mean) if how == "log" else mean).alias(value), F.count("*").alias("n_templates"))
 
 
-def project_back(track: DataFrame, cells: DataFrame, fields: DataFrame, by: Sequence[str], key: str, value: str, half_km: float = 1000.0, step_km: float = 10.0, degrees: float = 0.1) -> DataFrame:
+def project_back(track: DataFrame, cells: DataFrame, fields: DataFrame, by: Sequence[str], key: str, value: str, half_km: float = 1000.0, step_km: float = 10.0, degrees: float = 0.1, packed: bool = False) -> DataFrame:
     """(by, key, ilat, ilon, value): each frame's storm-relative field on the geographic cells it can reach; 0 where it doesn't.
 
-    track: by, key, lon, lat, heading. cells: by, ilat, ilon."""
+    track: by, key, lon, lat, heading. cells: by, ilat, ilon. fields: key, iy, ix, value; or, packed, key and value as the array of all cells row by row."""
     x = track.join(cells, list(by))
     east, north = local_km(F.col("ilon") * degrees, F.col("ilat") * degrees, F.col("lon"), F.col("lat"))
     ahead, left = to_storm_axes(east, north, F.col("heading"))
     x = x.withColumns({"__row": (half_km - left) / step_km, "__col": (ahead + half_km) / step_km}).where((F.abs(ahead) <= half_km) & (F.abs(left) <= half_km))
+    if packed:
+        n = round(2 * half_km / step_km) + 1
+        points = x.select(*by, key, "ilat", "ilon", "__row", "__col")
+        return bilinear_packed(points, fields, [key], "__row", "__col", value, n, n, value, outside=0.0).select(*by, key, "ilat", "ilon", value)
     x = x.withColumn("__id", F.struct(key, "ilat", "ilon"))
     return bilinear(x.select("__id", *by, key, "ilat", "ilon", "__row", "__col"), fields.withColumnsRenamed({"iy": "irow", "ix": "icol"}), [key], "__row", "__col", value, outside=0.0).select(*by, key, "ilat", "ilon", value)
 

@@ -27,8 +27,8 @@ def back_projection(spark, sf_dir):
     v = F.col("vec_id")
     t = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", (120 + (v % 13) * 0.37).alias("lon"), (15 + (v % 7) * 0.53).alias("lat"), (((v * 47) % 360).cast("double") + 0.25).alias("heading"))
     cells = grid.geographic_grid(t, ["label"], DEGREES, MARGIN)
-    fields = t.select("vec_id", F.posexplode(F.transform("embedding", lambda x: F.abs(x.cast("double")) * 10)).alias("i", "rain")).select("vec_id", F.floor(F.col("i") / 8).alias("iy"), (F.col("i") % 8).cast("long").alias("ix"), "rain")
-    x = grid.project_back(t.drop("embedding"), cells, fields, ["label"], "vec_id", "rain", HALF, STEP, DEGREES)
+    fields = t.select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double")) * 10).alias("rain"))
+    x = grid.project_back(t.drop("embedding"), cells, fields, ["label"], "vec_id", "rain", HALF, STEP, DEGREES, packed=True)
     s = grid.accumulate(x.withColumn("n", F.lit(1)), ["label", "ilat", "ilon"], "rain", "vec_id", thresholds=(1,))
     n = x.groupBy("label", "ilat", "ilon").agg(F.count("*").alias("n_frames"))
     return rounded(s.join(n, ["label", "ilat", "ilon"]).select("label", "ilat", "ilon", "n_frames", "total", "peak", "hours_1"))
