@@ -1,13 +1,16 @@
 """Secret scans by a recursive decoding worklist.
 
-A text is scanned for three kinds of secrets. Encoded stretches of it (URL escapes, Unicode escapes, base64, and zlib
+A text is scanned for three kinds of secrets. Encoded stretches of it (URL escapes, Unicode escapes, UTF-16, base64, and zlib
 or gzip data inside base64) are decoded into further layers, each of which is scanned and searched for encoded
 stretches in turn, until no new layer comes up. Layers seen before are not scanned again, so cycles end. Every position of a layer
 keeps the span of the original text from which it was decoded; findings are reported as spans of the original.
 
 Escapes are decoded in place over the whole layer, so what stands around them stays; those that aren't UTF-8 stay as they are. Escapes of an escape's own first
-character (%252525…) are unwrapped in one step. Base64 wrapped over lines of one length is joined. Compressed data is inflated to its end and scanned piece by
-piece, so that a worker holds a piece and not the whole; bytes that aren't text are scanned as far as they are.
+character (%252525…) are unwrapped in one step. A run of base64 is decoded from each of its first four characters on, as what stands before the code (a path, a
+prefix with a mark that base64 has too) may belong to the run; base64 wrapped over lines of one length is joined. Compressed data may begin at any four characters of
+a run. It is inflated to its end, as often as it is compressed, and scanned piece by piece, so that a worker holds a piece and not the whole: data within
+compressed data is followed to any depth as long as it has `most` bytes or fewer; of larger ones DEEPEST are inflated together, and what lies deeper is marked `partial`.
+Bytes that aren't text are scanned as far as they are. UTF-16 is decoded where it is ASCII.
 
 Work is in proportion to the text: every pattern begins at the head of a run or looks back at one, and a layer is smaller than the one it comes from.
 
@@ -17,7 +20,6 @@ of the input are not looked at.
 
 from __future__ import annotations
 
-import base64
 import binascii
 import codecs
 import hashlib
@@ -42,15 +44,20 @@ URL_BYTES = re.compile(r"(?:%(?:25)*+[0-9A-Fa-f]{2})++")
 URL_BYTE = re.compile(r"%(?:25)*+([0-9A-Fa-f]{2})")
 #: Well-formed UTF-8.
 UTF8 = re.compile(rb"(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})++")
-UNICODE_ESCAPE = re.compile(r"\\(?:u005[Cc]|x5[Cc])*+(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
+UNICODE_ESCAPE = re.compile(r"\\(?:u005[Cc]|x5[Cc]|u\{0{0,4}5[Cc]\}|U0000005[Cc])*+(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|u\{([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8}))")
+#: ASCII in UTF-16: the zero byte before each character, or behind it.
+UTF16 = re.compile(r"(?:\x00[\x01-\x7f]){6,}+(?!\x00)|(?:[\x01-\x7f]\x00){6,}+")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}+={0,2}")
 #: Two lines or more that base64 may be wrapped over.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]++)++={0,2}")
 LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: Characters of inflated text scanned at a time, and those looked at again with the next piece at least.
 PIECE, OVERLAP = 1 << 20, 1 << 12
-#: Compressed data within compressed data is followed this far.
+#: Levels of compressed data that are inflated together, where each is too large to be held.
 DEEPEST = 100
+#: Where gzip or zlib data may begin; and bytes that may hold a secret: the shortest one has 12 ASCII characters, in any encoding.
+COMPRESSED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]")
+LEGIBLE = re.compile(rb"[\x00-\x7f]{12}")
 
 #: A layer: its text, and for each of its characters where the original stretch begins and ends.
 Layer = tuple[str, np.ndarray, np.ndarray]
@@ -96,7 +103,23 @@ def _url(m: re.Match) -> list[tuple[int, int, str]]:
 
 
 def _unicode(m: re.Match) -> list[tuple[int, int, str]]:
-    return [(*m.span(), chr(int(m[1] or m[2], 16)))]
+    code = int(next(filter(None, m.groups())), 16)
+    return [(*m.span(), chr(code))] if code < 0x110000 else []
+
+
+def _utf16(text: str) -> Layer | None:
+    """The text without the zeros of UTF-16; None if it has none. A character keeps its own place and that of its zero."""
+    starts, keep = np.arange(len(text)), np.ones(len(text), bool)
+    ends = starts + 1
+    for m in UTF16.finditer(text):
+        a, b = m.span()
+        if text[a] == "\0":
+            keep[a:b:2] = False
+            starts[a + 1 : b : 2] -= 1
+        else:
+            keep[a + 1 : b : 2] = False
+            ends[a:b:2] += 1
+    return None if keep.all() else (UTF16.sub(lambda m: m[0].replace("\0", ""), text), starts[keep], ends[keep])
 
 
 def _compressed(data: bytes) -> bool:
@@ -123,18 +146,43 @@ def _decompressed(chunks: Iterator[bytes]) -> Iterator[bytes]:
         yield out
 
 
-def _inflated(chunks: Iterator[bytes], depth: int = 0) -> tuple[Iterator[bytes], int]:
-    """The chunks, inflated as often as they are compressed data, and how often."""
+def _large(chunks: Iterator[bytes], depth: int) -> tuple[Iterator[bytes], bool]:
+    """The chunks, inflated as often as they are compressed data; and whether that went on beyond DEEPEST levels."""
     first = next(chunks, b"")
     while len(first) < 3 and (more := next(chunks, None)) is not None:
         first += more
-    if _compressed(first) and depth < DEEPEST:
-        inner = _decompressed(chain([first], chunks))
-        head = next(inner, None)
-        if head is not None and not first.startswith(head):  # data that inflate to themselves end here
-            return _inflated(chain([head], inner), depth + 1)
-        return iter([first]), depth
-    return chain([first], chunks), depth
+    if not _compressed(first) or depth == DEEPEST:
+        return chain([first], chunks), _compressed(first)
+    inner = _decompressed(chain([first], chunks))
+    head = next(inner, None)
+    if head is None or first.startswith(head):  # data that inflate to themselves end here
+        return iter([first]), False
+    return _large(chain([head], inner), depth + 1)
+
+
+def _inflated(data: memoryview, most: int, known: set) -> tuple[Iterator[bytes], bool] | None:
+    """What compressed data holds, inflated as often as it is compressed itself, and whether something in it is left compressed; None if nothing can be
+    inflated, or it leads to compressed data that another stretch led to (digests of these are in known)."""
+    inner, own = None, set()
+    while True:
+        # in short steps, as what only looks like compressed data ends soon
+        chunks, held, size = _decompressed(bytes(data[i : i + 4096]) for i in range(0, len(data), 4096)), [], 0
+        for chunk in chunks:
+            held.append(chunk)
+            size += len(chunk)
+            if size > most:
+                return _large(chain(held, chunks), 0)
+        if not size:
+            return None if inner is None else (iter([inner]), False)
+        inner = b"".join(held)
+        key = hashlib.blake2b(inner, digest_size=16).digest()
+        if not _compressed(inner) or key in own:
+            return iter([inner]), False
+        if key in known:
+            return None
+        own.add(key)
+        known.add(key)
+        data = memoryview(inner)
 
 
 def _pieces(chunks: Iterator[bytes], most: int) -> Iterator[tuple[str, bool]]:
@@ -159,27 +207,29 @@ def _pieces(chunks: Iterator[bytes], most: int) -> Iterator[tuple[str, bool]]:
         yield text, total > most
 
 
-def _base64(code: str, at: np.ndarray, most: int) -> Iterator[tuple[Layer, bool]]:
-    """The layers that base64 holds; at: the position of each of its characters."""
+def _base64(code: str, at: np.ndarray, most: int, known: set) -> Iterator[tuple[Layer, bool]]:
+    """The layers that base64 holds, wherever in its first four characters it begins; at: the position of each of its characters."""
     code = code.rstrip("=").replace("-", "+").replace("_", "/")
-    code = code[: len(code) - (len(code) % 4 == 1)]  # a last character that is no byte
-    try:
-        data = base64.b64decode(code + "=" * (-len(code) % 4), validate=True)
-    except binascii.Error:
-        return
-    chunks, depth = _inflated(iter([data]))
-    a, b = int(at[0]), int(at[-1]) + 1
-    whole = lambda text: (text, np.full(len(text), a), np.full(len(text), b))
-    if depth:
-        for text, partial in _pieces(chunks, most):
-            yield whole(text), partial
-        return
-    text = data.decode(errors="replace")
-    if text.isascii():
-        four = np.arange(len(text)) // 3 * 4
-        yield (text, at[four], at[np.minimum(len(at) - 1, four + 3)] + 1), False
-    elif text:
-        yield whole(text), False
+    for k in range(4):
+        own = code[k : len(code) - ((len(code) - k) % 4 == 1)]  # without a last character that is no byte
+        data, place = binascii.a2b_base64(own + "=" * (-len(own) % 4)), at[k:]
+        for m in COMPRESSED.finditer(data):
+            if m.start() % 3 == 0 and (inner := _inflated(memoryview(data)[m.start() :], most, known)):
+                a, b = int(place[m.start() // 3 * 4]), int(place[-1]) + 1
+                for text, partial in _pieces(inner[0], most):
+                    yield (text, np.full(len(text), a), np.full(len(text), b)), partial or inner[1]
+        if not LEGIBLE.search(data):
+            continue
+        text = data.decode(errors="surrogateescape")
+        if text.isascii():
+            first = last = np.arange(len(text))
+        else:
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            width = 1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF)
+            width[(points >= 0xDC80) & (points <= 0xDCFF)] = 1  # bytes that aren't text
+            last = np.cumsum(width) - 1
+            first = last - width + 1
+        yield (text, place[first // 3 * 4], place[np.minimum(len(place) - 1, last // 3 * 4 + 3)] + 1), False
 
 
 def _wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
@@ -200,16 +250,18 @@ def _wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
             k = end
 
 
-def layers(text: str, most: int) -> Iterator[tuple[Layer, bool]]:
+def layers(text: str, most: int, known: set) -> Iterator[tuple[Layer, bool]]:
     """What the encoded stretches of one text hold."""
     if "%" in text and (layer := _spliced(text, URL_BYTES, _url)):
         yield layer, False
     if "\\" in text and (layer := _spliced(text, UNICODE_ESCAPE, _unicode)):
         yield layer, False
+    if "\0" in text and (layer := _utf16(text)):
+        yield layer, False
     for run in BASE64_RUN.finditer(text):
-        yield from _base64(run[0], np.arange(*run.span()), most)
+        yield from _base64(run[0], np.arange(*run.span()), most, known)
     for lines in _wrapped(text) if "\n" in text else ():
-        yield from _base64("".join(text[a:b] for a, b in lines), np.concatenate([np.arange(a, b) for a, b in lines]), most)
+        yield from _base64("".join(text[a:b] for a, b in lines), np.concatenate([np.arange(a, b) for a, b in lines]), most, known)
 
 
 class _Spans:
@@ -245,7 +297,8 @@ def find(text: str | None, most: int = 1 << 24) -> tuple[list, list]:
     text = text or ""
     base = scan(text)
     digest = lambda t: hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    spans, seen, work = _Spans(base), {digest(text)}, [(layers(text, most), None, None)]
+    known: set = set()
+    spans, seen, work = _Spans(base), {digest(text)}, [(layers(text, most, known), None, None)]
     while work:
         above, starts, ends = work[-1]
         if (got := next(above, None)) is None:
@@ -263,7 +316,7 @@ def find(text: str | None, most: int = 1 << 24) -> tuple[list, list]:
         seen.add(key)
         for kind, a, b in scan(inner):
             spans.add(kind, int(s[a]), int(e[a:b].max()))
-        work.append((layers(inner, most), s, e))
+        work.append((layers(inner, most, known), s, e))
     order = {k: i for i, k in enumerate((*KINDS, "partial"))}
     key = lambda x: (x[1], order[x[0]], x[2])
     return sorted(base, key=key), sorted(spans.all, key=key)
