@@ -213,9 +213,9 @@ def slowly(text):
                 body = whole[k:]
                 body = body[: len(body) - (len(body) % 4 == 1)]
                 data = base64.b64decode(body + "=" * (-len(body) % 4))
-                if data[:2] == b"\x1f\x8b":
-                    todo.append([(c, run[k][1], run[-1][2]) for c in gzip.decompress(data).decode(errors="replace")])
-                    continue
+                for j in range(0, len(data), 3):
+                    if data[j : j + 3] == b"\x1f\x8b\x08":
+                        todo.append([(c, run[k + j // 3 * 4][1], run[-1][2]) for c in zlib.decompressobj(31).decompress(data[j:]).decode(errors="replace")])
                 inner, n = [], 0
                 for c in data.decode(errors="surrogateescape"):
                     size = len(c.encode("utf-8", "surrogateescape"))
@@ -242,8 +242,8 @@ def test_secret_spans_by_another_way():
         got, want = set(secrets.find(text)[1]), slowly(text)
         for x, y in ((got, want), (want, got)):
             for kind, a, b in x:
-                # of equal layers the first counts, which may end before the padding
-                assert any(k == kind and s <= a and b <= e + 6 for k, s, e in y), (text, kind, a, b)
+                # of equal layers the first counts, which may end before the padding (two marks, escaped twice: ten characters)
+                assert any(k == kind and s <= a and b <= e + 10 for k, s, e in y), (text, kind, a, b)
 
 
 @pytest.mark.parametrize("text", ["x" * 10**6 + "%\n" + "y%" * 1000, "x\\" * 500_000, "%" + "25" * 400_000 + "41", "\\" + "u005c" * 100_000 + "u0041", "%E9" * 300_000, "token=" * 150_000, "\n".join("w" * (16 + i % 23) for i in range(40_000)), "token%3Dabcdef123 " * 20_000, "token=abcdef123 " * 30_000, base64.b64encode(b"x\x9c" * 300_000).decode(), "eJwA" * 250_000, "/eJx" * 250_000, "VVVV" * 250_000, "\\u{5c}" + "u{5c}" * 200_000 + "u0041", base64.b64encode(random.Random(1).randbytes(750_000)).decode(), "t\0o\0k\0" * 150_000, "SABE" * 250_000])
@@ -259,7 +259,7 @@ def test_secret_query(spark, sf_dir):
         base, spans = secrets.find(texts[r.doc_id])
         assert {s for s in spans if s in set(base)} == set(base)
         for x, y in ((set(spans), slowly(texts[r.doc_id] or "")), (slowly(texts[r.doc_id] or ""), set(spans))) if len(texts[r.doc_id] or "") < 5000 else ():
-            assert all(any(k == kind and s <= a and b <= e + 6 for k, s, e in y) for kind, a, b in x)
+            assert all(any(k == kind and s <= a and b <= e + 10 for k, s, e in y) for kind, a, b in x)
         said = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert (r.n_assign + r.n_access + r.n_hex, r.spans) == (len(base), ",".join(f"{k}:{a}:{b}" for k, a, b in spans))
