@@ -4,9 +4,10 @@ Lines (paragraphs) are normalised (Unicode lower case, single spaces), those of
 occurrence with the smallest id, then text, then offset, is kept; all others are removed.
 
 Passages that documents share also begin and end anywhere. So a second kind of unit begins at every word and is the next `unit` words: no word is outside the units, and
-what stands around a passage doesn't change the units within. They are hashed and grouped in the same way. Overlapping and adjacent ones are joined, and
-stretches of at least `least` words are removed, with their offsets in the original text. So every run of `least` words or more that stands in a
-document with a smaller id, or before in the same text, is removed to its last word. Their digests have 64 bits: a stretch takes `least - unit + 1` neighbours that all are repeats, which chance doesn't give.
+what stands around a passage doesn't change the units within. They are hashed and grouped in the same way. Where every unit from one word to a later one is a repeat, these units are a
+stretch, and stretches of at least `least` words are removed, with their offsets in the original text. So every run of `least` words or more that stands in a
+document with a smaller id, or before in the same text, is removed to its last word; and of what is removed, every `unit` words in a row stand in one run of such a place, so that short phrases
+of several documents, side by side, stay. Digests have 64 bits: a stretch takes `least - unit + 1` neighbours (three) that all are repeats, which chance doesn't give.
 
 There are nearly as many windows as words, so they travel packed: each row of the shuffles holds the units of one range of digests (then of one chunk or some documents).
 A digest that a text repeats is sent once for the text, and one that a chunk of CHUNK units repeats is sent once for the chunk, whose other occurrences wait for the answer. So a
@@ -37,7 +38,7 @@ TOKEN = re.compile(r"\S+")
 CHUNK = 1 << 20
 #: Ids from here on stand for rows without one.
 NO_ID = 1 << 62
-PACKED = "bucket int, kind int, chunk int, n int, inner binary, outer binary"
+PACKED = "bucket long, kind int, chunk long, n int, inner binary, outer binary"
 #: Kinds of packed rows: units of a range of digests (their positions doubled, odd if others of their chunk wait), units of a chunk that wait, answers for them, units that a text repeats, and hits.
 UNIT, WAITING, ANSWER, WITHIN, HIT = range(5)
 #: Packed rows that a task passes on together at most, and bytes of them.
@@ -57,18 +58,27 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def _both(left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """Digests of windows put together from windows of `size` words and those that follow them."""
+    right = right[size:]
+    out = left[: len(right)] * np.uint64(xxhash.xxh3_64_intdigest(b"size %d" % size) | 1) + right[: len(left)]
+    out ^= out >> np.uint64(29)
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
 def digests(text: str | None, unit: int) -> np.ndarray:
-    """The digest of the `unit` words from each word on: a sum of the words' hashes, each times an odd number that its place gives."""
+    """The digest of the `unit` words from each word on, from those of 1, 2, 4, … words."""
     words = (text or "").lower().split()
-    n = len(words) - unit + 1
-    if n < 1:
+    if len(words) < unit:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    out = np.zeros(n, np.uint64)
-    for j in range(unit):
-        out += h[j : j + n] * np.uint64(xxhash.xxh3_64_intdigest(b"place %d" % j) | 1)
-    out ^= out >> np.uint64(29)
-    return out * np.uint64(0xBF58476D1CE4E5B9)
+    part = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    size, out, done = 1, None, 0
+    while True:
+        if unit & size:
+            out, done = part if out is None else _both(out, part, done), done + size
+        if done == unit:
+            return out
+        part, size = _both(part, part, size), 2 * size
 
 
 def units(text: str | None, unit: int) -> list[tuple[int, int, int, int, int]]:
@@ -188,7 +198,7 @@ def line_repeats(x: DataFrame, line: int) -> DataFrame:
 
 def _stretches(doc: int, part: int, pos: np.ndarray, first: np.ndarray, unit: int, least: int) -> list[tuple]:
     """Stretches of one text as (doc, part, first word, behind the last word, first_doc_id), from its repeated units in order of position."""
-    new = np.flatnonzero(np.diff(pos) > unit) + 1
+    new = np.flatnonzero(np.diff(pos) > 1) + 1
     begin, end = np.concatenate([[0], new]), np.concatenate([new, [len(pos)]]) - 1
     b, e = pos[begin], pos[end] + unit
     return [(doc, part, int(b[k]), int(e[k]), int(first[begin[k]])) for k in np.flatnonzero(e - b >= least)]
@@ -204,7 +214,7 @@ def window_repeats(x: DataFrame, unit: int, least: int, chunk: int) -> DataFrame
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Chunk by chunk: the first unit of each digest by range of digests, the others that wait for its answer, and by document those that a text repeats, with the place of the first."""
-        held, n, made = [], 0, TaskContext.get().partitionId() << 12
+        held, n, made = [], 0, TaskContext.get().partitionId() << 32
 
         def sent() -> Iterator[pd.DataFrame]:
             held.sort(key=lambda h: h[:2])  # by document and text, so that the first of equal digests is the first that ranks
@@ -324,7 +334,7 @@ def window_repeats(x: DataFrame, unit: int, least: int, chunk: int) -> DataFrame
     return sorted_by_bucket(sent).mapInPandas(merged, "doc_id long, part int, b int, e int, first_doc_id long")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 8, least: int = 40, line: int = 16, chunk: int = CHUNK) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 38, least: int = 40, line: int = 16, chunk: int = CHUNK) -> DataFrame:
     """One row per removed stretch: doc_id, part (hash of the text, for rows that repeat an id), start, end, n_words, first_doc_id (which keeps the first unit's first occurrence)."""
     found = _repeats(docs, id_col, text_col, unit, least, line, chunk)
     no_id = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
@@ -367,7 +377,7 @@ def _repeats(docs: DataFrame, id_col: str, text_col: str, unit: int, least: int,
     return texts.mapInPandas(placed, "doc_id long, part int, start long, end long, n_words long, first_doc_id long").distinct()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed", unit: int = 8, least: int = 40, line: int = 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed", unit: int = 38, least: int = 40, line: int = 16) -> DataFrame:
     """docs with the repeats cut out of text_col; removed_col holds (start, end) of each in the original text. If docs has such a column, the new one's name gets underscores until it is unused."""
     while removed_col in docs.columns:
         removed_col += "_"

@@ -221,21 +221,52 @@ def test_passages_lines(spark):
     assert out.count() == len(rows) and para not in by[1].text and short in by[1].text and by[0].text == texts[0] and para not in by[None].text
 
 
+def test_passages_not_stitched(spark):
+    """Phrases of five documents, side by side in a sixth, stay; so do 39 words, and two halves of a passage in one row with a word changed between."""
+    rng = random.Random(17)
+    texts = [prose(rng, 80) for _ in range(6)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rows.append((6, " ".join(w for t in texts[:5] for w in t[20:28])))
+    rows.append((7, " ".join(texts[0][:39] + ["changed"] + texts[0][40:79])))
+    rows.append((8, " ".join(w for t in texts for w in t[30:67])))
+    rows.append((9, " ".join(prose(rng, 9) + texts[1][5:45] + texts[2][5:45])))
+    got = passages.repeats(docs(spark, rows)).collect()
+    assert [(r.doc_id, r.n_words, r.first_doc_id) for r in got] == [(9, 80, 1)]
+
+
+@pytest.mark.parametrize("unit", [1, 2, 7, 8, 38, 40])
+def test_passages_digests(unit):
+    """Equal for equal windows and only for them, at any place of any text."""
+    rng = random.Random(unit)
+    kept = {}
+    for n in (0, unit - 1, unit, 300):
+        w = [rng.choice("abc") if unit < 8 else rng.choice("ab") for _ in range(n)]
+        w += w[: n // 2]
+        d = passages.digests(" ".join(w), unit).tolist()
+        assert len(d) == max(0, len(w) - unit + 1)
+        for b, x in enumerate(d):
+            assert kept.setdefault(x, w[b : b + unit]) == w[b : b + unit]
+    assert len({tuple(v) for v in kept.values()}) == len(kept)
+
+
 def test_passages_brute(spark, sf_dir):
-    """Exactly the words in repeated lines of 16 words, or in stretches of 40 whose windows of eight words all came before."""
+    """Exactly the words in repeated lines of 16 words, or in stretches of 40 whose windows of 38 words all came before; and every 40 words in a row of a stretch came before as one run."""
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    seen, lines, want = set(), set(), {}
+    seen, forties, lines, want = set(), set(), set(), {}
     for i in sorted(rows):
         w = (rows[i] or "").lower().split()
         gone, run = set(), None
-        for b in range(len(w) - 7):
-            if tuple(w[b : b + 8]) in seen:
-                if run is None or b > run[1]:
-                    run = [b, b + 8]
-                run[1] = b + 8
+        for b in range(len(w) - 37):
+            if tuple(w[b : b + 38]) in seen:
+                if run is None or b + 37 > run[1]:
+                    run = [b, b]
+                run[1] = b + 38
                 if run[1] - run[0] >= 40:
                     gone |= set(range(*run))
-            seen.add(tuple(w[b : b + 8]))
+                    assert tuple(w[b - 2 : b + 38]) in forties
+            seen.add(tuple(w[b : b + 38]))
+            if b >= 2:
+                forties.add(tuple(w[b - 2 : b + 38]))
         at = 0
         for line in (rows[i] or "").split("\n"):
             x = line.lower().split()
