@@ -427,6 +427,32 @@ def test_surrogates_query(spark, sf_dir):
             assert seen.setdefault((kind, old), found) == found and back.setdefault((kind, found), old) == old
 
 
+def test_surrogates_one_a_person(spark):
+    """One surrogate a value in all texts, whatever stands before it, in both ways of sending; later mentions, double names, capitals; the gender that titles say."""
+    rows = [(1, "Dr Jordan Smith came. Jordan Smith left. Smith said no, SMITH."), (2, "Mr Jordan Smith"), (3, "Mr Jordan Lee"), (4, "Mrs Robin O'Neill-Berg and Jean-Pierre Smith-Jones; O'Neill-Berg's, O’Neill-Berg"), (5, "DAVID MILLER met Mr Miller"), (6, "Jordan river, Smith, no names")]
+    one, two = ({r.doc_id: r.text for r in pii.replace_entities(docs(spark, rows), KEY, redraw_bound=n).collect()} for n in (10_000, 0))
+    assert one == two and one[6] == rows[5][1]
+    given, last = re.match(r"Dr (\w+) (\w+) came", one[1]).groups()
+    assert one[1] == f"Dr {given} {last} came. {given} {last} left. {last} said no, {last.upper()}." and one[2] == f"Mr {given} {last}" and one[3].startswith(f"Mr {given} ")
+    assert not {given, last} & {"Jordan", "Smith"} and pii.GENDER.get(given.lower(), "m") == "m"
+    m = re.fullmatch(r"Mrs (\w+) O'(\w+-\w+) and (\w+)-(\w+) (\w+)-(\w+); O'(\w+-\w+)'s, O’(\w+-\w+)", one[4])
+    assert m and m[2] == m[7] == m[8] and pii.GENDER[m[1].lower()] == "f" and not {"Neill-Berg", "Jean", "Pierre", "Smith", "Jones"} & set(m.groups()) and m[5][0].isupper() and m[6][0].isupper()
+    m = re.fullmatch(r"(\w+) (\w+) met Mr (\w+)", one[5])
+    assert m[1].isupper() and m[2] == m[3].upper() and m[3] != "Miller"
+
+
+def test_surrogates_numbers():
+    """Account numbers, IPv6 addresses and national telephone forms; what only looks like them stays."""
+    for kind, text in (("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432"), ("ip6", "2001:db8::8a2e:370:7334"), ("ip6", "2001:0DB8:0000:0000:0000:8A2E:0370:7334"), ("phone", "020 7946 0958"), ("phone", "555.123.4567"), ("phone", "0171-123 4567")):
+        assert pii.detect(f"see {text}, then") == [(4, 4 + len(text), kind)], text
+        new = pii.dressed(kind, pii.surrogate(KEY, kind, pii.canonical(kind, text)), text)
+        assert new != text and len(new) == len(text) and pii.detect(new) == [(0, len(new), kind)]
+    short, full = ((t, pii.dressed("ip6", pii.surrogate(KEY, "ip6", pii.canonical("ip6", t)), t)) for t in ("2001:db8::8a2e:370:7334", "2001:0db8:0000:0000:0000:8a2e:0370:7334"))
+    assert pii.address(short[1]) == pii.address(full[1])
+    for text in ("DE88 3704 0044 0532 0130 00", "12:30:45", "00:1A:2B:3C:4D:5E", "std::a::b", "dead::beef", "01-02-2024", "0.123.4567", "007 agents 1234", "AB12 is a room"):
+        assert pii.detect(text) == [], text
+
+
 def test_surrogates_empty(spark):
     assert pii.replace_entities(docs(spark, []), KEY, marks=True).collect() == []
 
