@@ -64,17 +64,23 @@ _name = rf"(?:[^\W\d_a-zß-öø-ÿа-яёα-ώ]['’])?{_cap}(?:[-'’]{_cap})*+
 _title = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 PATTERNS = (
     ("email", re.compile(r"(?<![\w.+%-])[A-Za-z0-9_][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])"), "@"),
-    ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"), "-"),
+    ("ssn", re.compile(r"\d(?<![\d-]\d)\d{2}-\d{2}-\d{4}(?![\d-])"), "-"),
     ("ip", re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"), "."),
-    ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), ""),
+    ("iban", re.compile(r"[A-Z](?<!\w[A-Z])[A-Z]\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), ""),
     ("ip6", re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d)"), ":"),
-    ("card", re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"), ""),
-    ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|0(?=(?:[ /-]?\d){8,10}(?!\d))\d{1,4}[ /-]\d{3,4}[ -]?\d{3,4})(?![\w-])"), ""),
+    ("card", re.compile(r"\d(?<![\w.+-]\d)(?:[ -]?\d){12,18}(?![\w-])"), ""),
+    ("phone", re.compile(r"[+(\d](?<![\w.].)(?:(?<=\+)\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|(?<=\()\d{3}\) ?\d{3}[ .-]\d{4}|(?<=\d)\d{2}-\d{3}-\d{4}|(?<=\d)\d{2}\.\d{3}\.\d{4}|(?<=0)(?=(?:[ /-]?\d){8,10}(?!\d))\d{1,4}[ /-]\d{3,4}[ -]?\d{3,4})(?![\w-])"), ""),
 )
+#: What every address of the sixth version holds.
+COLONS = re.compile(r":[0-9A-Fa-f]{0,4}:")
 NAME = re.compile(rf"(?<![\w-])(?:(?P<title>{_title})(?!\w)\.?[ ]+(?P<one>{_name})(?:[ ]+(?P<two>{_name}))?|(?P<given>(?:{_given})(?:-{_cap})?)[ ]+(?P<last>{_name}))")
 MENTION = re.compile(rf"(?<!\w){_name}(?!\w)")
 PARTS = re.compile(r"([-'’])")
-ANY_NAME = re.compile(rf"(?<!\w)(?:{_title}|{_given})(?!\w)")
+_heads: dict[str, list[str]] = {}
+for _word in f"{_title}|{_given}".split("|"):
+    _heads.setdefault(_word[0], []).append(_word[1:])
+# Patterns begin with the characters that they may begin with, and look back from there: so the search skips all others.
+ANY_NAME = re.compile(rf"[{''.join(_heads)}](?<!\w.)(?:{'|'.join(f'(?<={c})(?:{"|".join(rest)})' for c, rest in _heads.items())})(?!\w)")
 CUED = re.compile(rf"(?<!\w)(?i:{'|'.join(map(re.escape, CUES))})\s{{1,4}}(?P<one>{_name})[ ](?P<two>{_name})(?!\w)")
 ANY_CUE = re.compile("|".join(re.escape(c[1:]) for c in CUES), re.IGNORECASE)
 MAILED = re.compile(rf"(?<!\w)(?P<one>{_name})[ ](?P<two>{_name})[ ]?[<(](?=[A-Za-z0-9._%+-]+@)")
@@ -133,7 +139,7 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
         return []
     found = []
     for kind, pattern, mark in PATTERNS:
-        if mark in text:
+        if mark in text and (kind != "ip6" or COLONS.search(text)):
             for m in pattern.finditer(text):
                 if _valid(kind, m[0]):
                     found.append((*m.span(), kind))
