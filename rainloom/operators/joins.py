@@ -28,6 +28,32 @@ def nearest_within(left: DataFrame, right: DataFrame, left_x: str, right_x: str,
     return out.withColumns({c: F.when(F.col("status") == "matched", F.col(c)) for c in carry})
 
 
+def nearest_value_within(left: DataFrame, right: DataFrame, left_x: str, right_x: str, reach: int, left_v: str, right_v: str, tie: Sequence[str], most: float, key: str, carry: Sequence[str]) -> DataFrame:
+    """nearest_within for the cost |left_v - right_v|, without comparing a left row with all right rows of its reach. key names left's rows and isn't read.
+
+    The right rows of a left row's own bucket of x all lie within reach, so the nearest of them in value, from one sorted pass, bounds the cost. Then a left row
+    meets the right rows of its own and both neighbouring buckets in the cells of value that the bound touches: cells of powers of four, two at most, so that they hold
+    little more than the bound spans. Only left rows without a right row in their own bucket look at all of the neighbouring ones. Rows that repeat x and value are
+    looked up once. A value that is null or not a number has no candidate, and is none."""
+    bucket = lambda x: F.floor(F.col(x) / reach).cast("long")
+    known = lambda v: F.col(v).isNotNull() & ~F.isnan(F.col(v).cast("double"))
+    r = right.where(known(right_v)).groupBy(F.col(right_x).alias("__rx"), F.col(right_v).cast("double").alias("__rv")).agg(F.min(F.struct(*tie)).alias("__tie"), F.min_by(F.struct(*carry), F.struct(*tie)).alias("__carry")).withColumn("__b", bucket("__rx"))
+    a = left.where(known(left_v)).select(F.col(left_x).alias("__x"), F.col(left_v).cast("double").alias("__v")).where("__x is not null").distinct().withColumn("__b", bucket("__x"))
+    a = nearest_in_series(a, r.select("__b", F.col("__rv").alias("__v")).distinct(), ["__b"], "__v", [])
+    wide = F.col("distance") * (1 + 1e-12) + F.abs("__v") * 1e-15  # rounding of the sums below mustn't lose a row
+    level = F.when(F.col("distance").isNull(), 9999).when(F.col("distance") == 0, -9999).otherwise(F.ceil(F.log(2 * wide) / math.log(4))).cast("int")
+    cell = lambda v: F.when(F.col("__level") == 9999, 0.0).when(F.col("__level") == -9999, v).otherwise(F.floor(v / F.pow(F.lit(4.0), F.col("__level"))).cast("double"))
+    a = a.withColumn("__level", level).withColumn("__cell", F.explode(F.array_distinct(F.array(cell(F.col("__v") - F.when(F.col("__level") == -9999, 0.0).otherwise(wide)), cell(F.col("__v") + F.when(F.col("__level") == -9999, 0.0).otherwise(wide))))))
+    a = a.withColumn("__b", F.explode(F.array(*[F.col("__b") + d for d in (-1, 0, 1)])))
+    b = r.join(a.select("__b", "__level").distinct(), "__b").withColumn("__cell", cell(F.col("__rv")))
+    cost = F.abs(F.col("__v") - F.col("__rv"))
+    near = a.join(b, ["__b", "__level", "__cell"]).where((F.abs(F.col("__x") - F.col("__rx")) <= reach) & F.coalesce(cost <= F.col("distance"), F.lit(True))).withColumn("cost", cost)
+    best = near.groupBy("__x", "__v").agg(F.min_by(F.struct("cost", *[F.col(f"__carry.{c}").alias(c) for c in carry]), F.struct("cost", "__tie")).alias("m")).select("__x", "__v", "m.*")
+    status = F.when(F.col("cost").isNull(), "no_candidate").when(F.col("cost") > most, "too_far").otherwise("matched")
+    out = left.join(best, (F.col(left_x) == F.col("__x")) & (F.col(left_v).cast("double") == F.col("__v")), "left").drop("__x", "__v").withColumn("status", status)
+    return out.withColumns({c: F.when(F.col("status") == "matched", F.col(c)) for c in carry})
+
+
 def nearest_in_space(left: DataFrame, right: DataFrame, left_x: str, right_x: str, reach: int, left_place: tuple[str, str], right_place: tuple[str, str], most_km: float, key: str, carry: Sequence[str], tie: Sequence[str]) -> DataFrame:
     """Each left row with the nearest right row by great circle among those at most `reach` away on x: columns as nearest_within's, cost in km.
 

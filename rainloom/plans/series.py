@@ -171,7 +171,7 @@ def nearest_within_tolerance(spark, sf_dir):
     x = events(spark, sf_dir)
     frames = x.where("event_type = 'click'").select("event_id", "us", "value")
     track = x.where("event_type = 'view'").select(F.col("event_id").alias("track_id"), F.col("us").alias("tus"), F.col("value").alias("tv"))
-    out = joins.nearest_within(frames, track, "us", "tus", 3 * timeseries.HOUR_US, F.abs(F.col("value") - F.col("tv")), ["tus", "track_id"], 2.5, "event_id", ["track_id"])
+    out = joins.nearest_value_within(frames, track, "us", "tus", 3 * timeseries.HOUR_US, "value", "tv", ["tus", "track_id"], 2.5, "event_id", ["track_id"])
     return rounded(out.select("event_id", "cost", "track_id", "status"))
 
 
