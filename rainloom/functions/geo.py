@@ -13,8 +13,11 @@ DEGREE_KM = 111.32
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Great-circle distance; the longitude difference wraps, and rounding can't push the sine beyond 1."""
-    dlat, dlon = F.radians(lat2 - lat1), F.radians(wrap180(lon2 - lon1))
+    """Great-circle distance; the longitude difference wraps, and rounding can't push the sine beyond 1.
+
+    The difference is wrapped with the roundings of the registered SQL, since these decide which of two mirrored places is nearer."""
+    turn = F.lit(360.0)
+    dlat, dlon = F.radians(lat2 - lat1), F.radians(((lon2 - lon1 + 180) % turn + 360) % turn - 180)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
     return 2 * EARTH_KM * F.asin(F.when(a > 1, 1.0).otherwise(F.sqrt(a)))  # not least(), which skips nulls
 

@@ -4,7 +4,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from rainloom.functions.geo import haversine_km
 from rainloom.operators import joins
 
 
@@ -32,3 +34,10 @@ def test_nearest_in_space(spark, most):
         d, _, rid = near[0]
         status, r, cost = got[i]
         assert cost == pytest.approx(d, abs=1e-6) and (status, r) == (("matched", rid) if d <= most else ("too_far", None))
+
+
+def test_mirrored_places(spark):
+    """Distances as the SQL's roundings give them: two places are 436.0436 km away, and the second is nearer in its last digits."""
+    x = spark.createDataFrame([(1, 140.0, 0.0, 143.7, 1.2999999999999972), (2, 140.0, 0.0, 138.7, -3.700000000000003)], "i long, a double, b double, c double, d double")
+    got = {r.i: r.km for r in x.select("i", haversine_km(*map(F.col, "abcd")).alias("km")).collect()}
+    assert got == {1: 436.0436429572497, 2: 436.0436429572437}
