@@ -29,6 +29,13 @@ def shape_segments(vertices: DataFrame) -> DataFrame:
     return x.where("x2 is not null and n > 1").select(F.concat_ws(":", "path", "record").alias("poly"), F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2", "kind")
 
 
+def distinct_outlines(segments: DataFrame) -> DataFrame:
+    """(poly, x1, y1, x2, y2): the segments of one polygon, that of the smallest id, of each outline. Polygons of equal segments hold the same places, so that copies need no search of their own."""
+    ends = ["x1", "y1", "x2", "y2"]
+    outline = segments.groupBy("poly").agg(F.sort_array(F.collect_list(F.struct(*ends))).alias("__s")).groupBy("__s").agg(F.min("poly").alias("poly"))
+    return outline.select("poly", F.explode("__s").alias("s")).select("poly", *[f"s.{c}" for c in ends])
+
+
 def _bands(a: Column, b: Column, size: float, margin: Column | float = 0.0) -> tuple[Column, Column]:
     return F.floor((F.least(a, b) - margin) / size).cast("long"), F.floor((F.greatest(a, b) + margin) / size).cast("long")
 
@@ -50,7 +57,7 @@ def on_land(points: DataFrame, segments: DataFrame, key: str | None = None, x: s
     Segments are filed under each band of latitude that they cross, so a point meets those of its own band only; it meets them at its own longitude and at
     the one a turn away, for rings that reach over the date line. Without a place it is false."""
     lo, hi = _bands(F.col("y1"), F.col("y2"), band)
-    filed = segments.withColumn("__band", F.explode(F.sequence(lo, hi)))
+    filed = distinct_outlines(segments).withColumn("__band", F.explode(F.sequence(lo, hi)))
     own = F.when(F.col("__x").between(-180, 180), F.col("__x")).otherwise(wrap180(F.col("__x")))
     turns = F.explode(F.array(own, F.when(own < 0, own + 360).otherwise(own - 360)))
     p = points.select(F.col(x).alias("__x"), F.col(y).alias("__y")).dropna().distinct().withColumn("__at", turns).withColumn("__band", F.floor(F.col("__y") / band).cast("long"))
@@ -65,7 +72,7 @@ def land_cells(segments: DataFrame, cell: float = 0.05, touched: bool = False) -
     Rows of cells are filled in parallel: a segment gives its crossing with the centre line of each row, and between the 1st and 2nd, the 3rd and 4th ... crossing
     of a polygon the row is land. Columns are counted from -180 degrees round the earth. A row holds as many crossings of a polygon as its outline has there."""
     lo, hi = _bands(F.col("y1"), F.col("y2"), cell)
-    rows = segments.withColumn("irow", F.explode(F.sequence(lo - 1, hi + 1)))
+    rows = distinct_outlines(segments).withColumn("irow", F.explode(F.sequence(lo - 1, hi + 1)))
     crosses, where = _crossing((F.col("irow") + 0.5) * cell)
     w = Window.partitionBy("poly", "irow").orderBy("__at")
     spans = rows.where(crosses).select("poly", "irow", where.alias("__at")).withColumns({"__n": F.row_number().over(w), "__to": F.lead("__at").over(w)}).where("__n % 2 = 1")
@@ -123,7 +130,7 @@ def coast_distance(points: DataFrame, segments: DataFrame, key: str | None, reac
     r0, r1 = _bands(F.col("y1"), F.col("y2"), cell, north)
     c0, c1 = _bands(F.col("x1"), F.col("x2"), cell, margin)
     column = F.explode(F.sequence(c0, F.least(c1, c0 + n - 1)))
-    filed = segments.withColumn("__r", F.explode(F.sequence(r0, r1))).withColumn("__c", column).withColumn("__c", F.pmod("__c", F.lit(n)))
+    filed = segments.select("x1", "y1", "x2", "y2").distinct().withColumn("__r", F.explode(F.sequence(r0, r1))).withColumn("__c", column).withColumn("__c", F.pmod("__c", F.lit(n)))
     p = points.select(F.col(x).alias("__x"), F.col(y).alias("__y")).dropna().distinct()
     p = p.withColumns({"__r": F.floor(F.col("__y") / cell).cast("long"), "__c": F.pmod(F.floor(F.col("__x") / cell).cast("long"), F.lit(n))})
     km = segment_km(*(F.col(c) for c in ("__x", "__y", "x1", "y1", "x2", "y2")))
@@ -135,7 +142,7 @@ def plane_distance(points: DataFrame, segments: DataFrame, reach: float, x: str,
     """points with coast_m: the distance on a plane (x, y and the segments in its metres, e.g. from geo.mercator) to the nearest segment within reach; null beyond."""
     r0, r1 = _bands(F.col("y1"), F.col("y2"), cell, reach)
     c0, c1 = _bands(F.col("x1"), F.col("x2"), cell, reach)
-    filed = segments.withColumn("__r", F.explode(F.sequence(r0, r1))).withColumn("__c", F.explode(F.sequence(c0, c1)))
+    filed = segments.select("x1", "y1", "x2", "y2").distinct().withColumn("__r", F.explode(F.sequence(r0, r1))).withColumn("__c", F.explode(F.sequence(c0, c1)))
     p = points.select(F.col(x).alias("__x"), F.col(y).alias("__y")).dropna().distinct()
     p = p.withColumns({"__r": F.floor(F.col("__y") / cell).cast("long"), "__c": F.floor(F.col("__x") / cell).cast("long")})
     m = _to_segment(F.col("x1") - F.col("__x"), F.col("y1") - F.col("__y"), F.col("x2") - F.col("__x"), F.col("y2") - F.col("__y"))

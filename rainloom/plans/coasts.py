@@ -27,6 +27,8 @@ def islands(spark, sf_dir):
         records = [[ring(cx, cy, r, 1), ring(cx, cy, r / 2, -1)] for cx, cy, r in zip(df["cx"], df["cy"], df["r"], strict=True)]
         return pd.DataFrame({"path": [f"islands-{df['file'].iloc[0]}"], "content": [shape_bytes(records)]})
 
+    # files are few bytes and much work, so their number of tasks doesn't go by their size
+    x = x.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
     return parse_shapes(x.groupBy("file").applyInPandas(encode, "path string, content binary"))
 
 
