@@ -24,6 +24,12 @@ def cap_targets(targets: DataFrame, p95: str, p99: str, top: str, limit: float =
     return t.withColumn("cap", F.least(F.lit(limit), factor * F.col(top)))
 
 
+def _beside(cells: DataFrame, fields: DataFrame, key: str, shares: int = 32) -> DataFrame:
+    """cells with the columns of their field (a row a field in fields). Each field's cells are shared out by their hash, so that few large fields don't make few large tasks."""
+    x = cells.withColumn("__share", F.pmod(F.xxhash64(*[F.col(c) for c in cells.columns]), F.lit(shares)).cast("int"))
+    return x.join(fields.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))), [key, "__share"]).drop("__share")
+
+
 def scale_tail(cells: DataFrame, targets: DataFrame, key: str, value: str, lo: float = 0.7, hi: float = 3.0, hi_top: float = 5.0) -> DataFrame:
     """Values above the field's q90 are scaled so that its q95, q99 and maximum come to the targets' (columns p95, p99, top, cap).
 
@@ -32,7 +38,7 @@ def scale_tail(cells: DataFrame, targets: DataFrame, key: str, value: str, lo: f
     t = q.join(targets, key)
     factor = lambda want, have, most: clipped(F.coalesce(safe_ratio(want, have), F.lit(1.0)), lo, most)
     t = t.select(key, F.col("q")[0].alias("a0"), F.col("q")[1].alias("a1"), F.col("q")[2].alias("a2"), F.col("m").alias("a3"), factor(F.col("p95"), F.col("q")[1], hi).alias("f1"), factor(F.col("p99"), F.col("q")[2], hi).alias("f2"), factor(F.col("top"), F.col("m"), hi_top).alias("f3"), "cap")
-    x, v = cells.join(t, key), F.col(value)
+    x, v = _beside(cells, t, key), F.col(value)
     between = lambda a, b, fa, fb: fa + (fb - fa) * F.coalesce(safe_ratio(v - F.col(a), F.col(b) - F.col(a)), F.lit(1.0))
     scale = F.when(v <= F.col("a0"), 1.0).when(v <= F.col("a1"), between("a0", "a1", F.lit(1.0), F.col("f1"))).when(v <= F.col("a2"), between("a1", "a2", F.col("f1"), F.col("f2"))).otherwise(between("a2", "a3", F.col("f2"), F.col("f3")))
     return x.withColumn(value, F.when(v.isNotNull(), F.least(v * scale, F.coalesce("cap", F.lit(float("inf")))))).select(*cells.columns)
