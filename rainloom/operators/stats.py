@@ -60,31 +60,69 @@ def regression_scores(df: DataFrame, truth: str, predicted: str, by: Sequence[st
     return s.select(*by, "n", (1 - safe_ratio(F.col("mse"), F.col("var"))).alias("r2"), "mae", F.sqrt("mse").alias("rmse"), F.sqrt("var").alias("baseline_rmse"))
 
 
+#: Rows that a forest learns from one by one; larger tables are condensed first.
+FEW = 1 << 16
+
+
+def condense(train: DataFrame, features: Sequence[str], target: str, shares: int = 16) -> DataFrame:
+    """(features, target, __weight): rows of equal features as `shares` rows at most, dealt by the hash of the whole row, each with the mean of its rows' targets
+    and their number.
+
+    No row is left out, and a tree loses nothing: equal features are never parted, and by how much a split lowers the variance follows from means and numbers."""
+    share = F.pmod(F.xxhash64(*[F.col(c) for c in train.columns]), F.lit(shares))
+    x = train.where(F.col(target).isNotNull()).groupBy(*features, share.alias("__share"))
+    return x.agg(F.avg(target).alias(target), F.count("*").cast("double").alias("__weight")).drop("__share")
+
+
 def forest(train: DataFrame, features: Sequence[str], target: str, trees: int = 250, depth: int = 14, leaf: int = 20, seed: int = 0):
-    """A random forest regression over all features at every split; returns what turns a table into one with `prediction`."""
+    """A random forest regression over all features at every split; returns what turns a table into one with `prediction`.
+
+    Tables of more than `FEW` rows are condensed, so that rows of few distinct features cost one pass and not one a level of every tree. The bootstrap then draws
+    shares of equal features, and the least size of a leaf counts rows by weight."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     assembler = VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="skip")
-    rf = RandomForestRegressor(featuresCol="__features", labelCol=target, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy="all", seed=seed)
-    model = rf.fit(assembler.transform(train.where(F.col(target).isNotNull())))
+    rf = RandomForestRegressor(featuresCol="__features", labelCol=target, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed)
+    rows = assembler.transform(train.where(F.col(target).isNotNull()))
+    n = rows.count()
+    if n > FEW:
+        few = condense(train, features, target).persist()
+        tasks = min(int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + few.count() // 10_000)
+        rows = assembler.transform(few.repartition(tasks))  # each task sums up all nodes of a level
+        rf = rf.setWeightCol("__weight").setMinWeightFractionPerNode(min(leaf / n, 0.49))
+    else:
+        few, rf = None, rf.setMinInstancesPerNode(leaf)
+    model = rf.fit(rows)
+    if few is not None:
+        few.unpersist()
     return lambda df: model.transform(assembler.transform(df)).drop("__features")
 
 
 def permutation_importance(df: DataFrame, features: Sequence[str], target: str, predict, repeats: int = 10, key: str = "__row", seed: int = 0) -> DataFrame:
     """(feature, importance): the mean fall of r2 when a column's values change rows at random. key must identify rows.
 
-    Values change rows by matching two hash orders, both by an exact place from a range-partitioned sort, so a column of any length is permuted."""
-    base = regression_scores(predict(df), target, "prediction").first()["r2"]
-    out = None
-    turns = df.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))  # all repeats of a feature in one job
-    for f in features:
-        a = _placed(turns, F.xxhash64(F.lit(seed), "__turn", key), key, ["__turn"])
-        b = _placed(turns.select("__turn", key, F.col(f).alias("__v")), F.xxhash64(F.lit(~seed), "__turn", key), key, ["__turn"]).select("__turn", "__place", "__v")
-        mixed = a.join(b, ["__turn", "__place"]).withColumn(f, F.col("__v")).drop("__v", "__place")
-        one = regression_scores(predict(mixed), target, "prediction", ["__turn"]).select(F.lit(f).alias("feature"), (F.lit(base) - F.col("r2")).alias("fall"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("feature").agg(F.avg("fall").alias("importance"), F.stddev_samp("fall").alias("importance_std"))
+    In each turn every row, at its place in the order of that turn's hash, meets the row at that place in one fixed order: places are exact and come from range-partitioned
+    sorts, so tables of any length are permuted, and one meeting serves all features. Rows of a turn with equal features have one prediction: they are summed up
+    first, about the target's mean."""
+    df = df.select(key, *features, target)
+    y = F.col("__y")
+    mean = df.agg(F.avg(target)).first()[0]
+    sums = [F.count("__y").alias("n"), F.sum("__y").alias("s"), F.sum(y * y).alias("q")]
+    values = lambda by, rows: rows.groupBy(*by, *features).agg(*sums)
+    p = F.col("prediction") - F.lit(mean)
+    left = F.sum(F.col("q") - 2 * p * F.col("s") + F.col("n") * p * p)
+    own = df.select(key, *features, (F.col(target) - F.lit(mean)).alias("__y"))
+    r2 = (1 - safe_ratio(left, F.sum("q") - F.sum("s") * F.sum("s") / F.sum("n"))).alias("r2")
+    base = predict(values([], own)).agg(r2).first()["r2"]
+    turns = own.select(F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("__turn"), "*")  # all repeats of a feature in one job
+    a = _placed(turns, F.xxhash64(F.lit(seed), "__turn", key), key, ["__turn"]).drop(key)
+    b = _placed(own, F.xxhash64(F.lit(~seed), key), key).select("__place", F.struct(*features).alias("__other"))
+    mixes = F.array(*[F.struct(F.lit(i).alias("__f"), *[F.col(f"__other.{c}" if c == f else c).alias(c) for c in features]) for i, f in enumerate(features)])
+    mixed = a.join(b, "__place").select("__turn", "__y", F.explode(mixes).alias("__m")).select("__turn", "__y", "__m.*")
+    falls = predict(values(["__turn", "__f"], mixed)).groupBy("__turn", "__f").agg(r2)
+    name = F.element_at(F.array(*[F.lit(f) for f in features]), F.col("__f") + 1).alias("feature")
+    return falls.select(name, (F.lit(base) - F.col("r2")).alias("fall")).groupBy("feature").agg(F.avg("fall").alias("importance"), F.stddev_samp("fall").alias("importance_std"))
 
 
 def _placed(df: DataFrame, order, key: str, by: Sequence[str] = ()) -> DataFrame:

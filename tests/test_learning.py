@@ -6,9 +6,10 @@ import statistics
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rainloom.functions.columns import ContractError
-from rainloom.operators import eof, grouped, imputation, refresh
+from rainloom.operators import eof, grouped, imputation, refresh, stats
 
 
 def rule(name, inputs, outputs, log=None):
@@ -144,3 +145,32 @@ def test_one_pass_components_of_full_rank_fields(spark, sf_dir):
     assert np.allclose(basis.explained, sizes[:3] ** 2 / (sizes**2).sum()) and np.allclose(np.abs((basis.components * vectors[:3]).sum(1)), 1)
     with pytest.raises(ValueError):
         eof.fit_once(x.limit(0), "f")
+
+
+def test_forest_learns_from_condensed_rows(spark, monkeypatch):
+    df = spark.range(6000).select("id", (F.col("id") % 6).cast("double").alias("a"), F.floor(F.rand(3) * 5).alias("b")).withColumn("y", 2 * F.col("a") + F.randn(5))
+    few = stats.condense(df, ["a", "b"], "y", 4)
+    s = few.selectExpr("count(*) AS rows", "sum(__weight) AS n", "sum(__weight * y) AS y").first()
+    assert s.rows <= 6 * 5 * 4 and s.n == 6000 and s.y == pytest.approx(df.agg(F.sum("y")).first()[0])
+    by_row = stats.forest(df, ["a", "b"], "y", trees=10, depth=5)(df).agg(F.avg((F.col("prediction") - F.col("y")) ** 2)).first()[0]
+    monkeypatch.setattr(stats, "FEW", 100)
+    predict = stats.forest(df, ["a", "b"], "y", trees=10, depth=5)
+    assert predict(df).agg(F.avg((F.col("prediction") - F.col("y")) ** 2)).first()[0] == pytest.approx(by_row, rel=0.02)
+
+
+def test_importance_predicts_equal_rows_once(spark):
+    df = spark.range(6000).select("id", (F.col("id") % 6).cast("double").alias("a"), (F.xxhash64("id") % 5).cast("double").alias("b")).withColumn("y", 3 * F.col("a"))
+    predicted = spark.sparkContext.accumulator(0)
+
+    def predict(x):
+        def seen(frames):
+            for f in frames:
+                predicted.add(len(f))
+                yield f.assign(prediction=3.0 * f["a"])
+
+        return x.mapInPandas(seen, T.StructType([*x.schema, T.StructField("prediction", T.DoubleType())]))
+
+    got = {r.feature: r.importance for r in stats.permutation_importance(df, ["a", "b"], "y", predict, repeats=3, key="id").collect()}
+    assert predicted.value <= 54 + 3 * 2 * 54  # one a turn, feature and pair of values; there were 42000
+    # the r2 of 3 a against itself at random is -1
+    assert got["a"] == pytest.approx(2, abs=0.1) and got["b"] == 0
