@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,14 +23,15 @@ def percent_rank(df: DataFrame, by: Sequence[str], value: str, name: str) -> Dat
 def spearman(df: DataFrame, xs: Sequence[str], ys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(x, y, rho, n) for every pair of columns: rank correlation with average ranks over the rows that have both.
 
-    Each pair becomes rows of one long table, so all pairs are ranked in one pass. Ranks come from counts of equal values, by ranges of values, so
-    that no task orders a whole column."""
-    cut = selection.with_ranges(df, list(dict.fromkeys([*xs, *ys])), "__r")
-    own = lambda c, v: (F.col(c).cast("double").alias(v), F.col(f"{c}__r").alias(f"{v}r"))
-    pairs = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), *own(a, "u"), *own(b, "v")) for a in xs for b in ys if a != b])
-    key = [*by, "x", "y"]
-    long = cut.select(*by, F.explode(pairs).alias("p")).select(*by, "p.*").where("u is not null and v is not null")
-    cells = long.groupBy(*key, "u", "ur", "v", "vr").agg(F.count("*").alias("c"))
+    Rows are counted by the two values of each pair first, so that ranges, ranks and sums are made of the counts. Ranks come from counts of equal values, by
+    ranges of values, so that no task orders a whole column."""
+    pairs = [(a, b) for a in xs for b in ys if a != b]
+    parts = []
+    for i, (a, b) in enumerate(pairs):
+        both = df.select(*by, F.col(a).cast("double").alias("u"), F.col(b).cast("double").alias("v")).where("u is not null and v is not null")
+        parts.append(both.groupBy(*by, "u", "v").agg(F.count("*").alias("c")).select(*by, F.lit(i).alias("pair"), "u", "v", "c"))
+    counted = reduce(DataFrame.unionAll, parts).persist()  # the edges and every step below read it
+    cells, key = selection.with_ranges(counted, ["u", "v"], "r"), [*by, "pair"]
 
     def ranks(value: str, name: str) -> DataFrame:
         one = cells.groupBy(*key, value, f"{value}r").agg(F.sum("c").alias("k"))
@@ -39,7 +41,9 @@ def spearman(df: DataFrame, xs: Sequence[str], ys: Sequence[str], by: Sequence[s
     c = F.col("c")
     # all ranks have the mean (n + 1) / 2; moments about it, from the counts
     x = x.withColumns({"a": F.col("ru") - (F.col("n") + 1) / 2, "b": F.col("rv") - (F.col("n") + 1) / 2})
-    return x.groupBy(*key, "n").agg(safe_ratio(F.sum(c * F.col("a") * F.col("b")), F.sqrt(F.sum(c * F.col("a") * F.col("a")) * F.sum(c * F.col("b") * F.col("b")))).alias("rho")).select(*key, "rho", "n")
+    rho = x.groupBy(*key, "n").agg(safe_ratio(F.sum(c * F.col("a") * F.col("b")), F.sqrt(F.sum(c * F.col("a") * F.col("a")) * F.sum(c * F.col("b") * F.col("b")))).alias("rho"))
+    name = lambda at: F.element_at(F.array(*[F.lit(p[at]) for p in pairs]), F.col("pair") + 1)
+    return rho.select(*by, name(0).alias("x"), name(1).alias("y"), "rho", "n")
 
 
 def top_correlations(rho: DataFrame, by: Sequence[str], k: int = 5) -> DataFrame:

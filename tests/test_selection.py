@@ -95,6 +95,15 @@ def test_percent_ranks_of_every_shape(spark):
     assert len(gaps) == 10 and all(r.p is None for r in gaps)
 
 
+def test_spearman_ranks_counts_of_equal_pairs(spark, monkeypatch):
+    ranged, ranges = [], selection.with_ranges
+    monkeypatch.setattr(selection, "with_ranges", lambda df, *a: ranged.append(df.count()) or ranges(df, *a))
+    df = spark.range(6000).select((F.col("id") % 6).alias("a"), (F.col("id") % 5).alias("b"), F.when(F.col("id") % 2 == 0, F.col("id") % 3).alias("c"))
+    got = {(r.x, r.y): (r.rho, r.n) for r in stats.spearman(df, ["a"], ["b", "c", "a"]).collect()}
+    assert set(got) == {("a", "b"), ("a", "c")} and got["a", "b"][1] == 6000 and got["a", "c"][1] == 3000 and ranged == [6 * 5 + 3]
+    assert got["a", "b"][0] == pytest.approx(0, abs=1e-12)
+
+
 def test_spearman_against_plain_ranks(spark):
     rng = np.random.default_rng(2)
     a = rng.standard_normal(400)
