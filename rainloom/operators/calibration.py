@@ -65,13 +65,15 @@ def match_area(cells: DataFrame, targets: DataFrame, key: str, value: str, area:
 ALL_ZERO, TINY_TAIL, NO_TARGETS, NOW_ZERO = "all_zero", "tail_too_small", "missing_targets", "calibrated_all_zero"
 
 
-def field_state(cells: DataFrame, targets: DataFrame, key: str, value: str, limit: float = 120.0, lo: float = 0.7, hi: float = 3.0, hi_top: float = 5.0, eps: float = 1e-12) -> DataFrame:
+def field_state(cells: DataFrame, targets: DataFrame, key: str, value: str, limit: float = 120.0, lo: float = 0.7, hi: float = 3.0, hi_top: float = 5.0, eps: float = 1e-12, count: str | None = None) -> DataFrame:
     """(key, state): what the calibration knows of each field of cells before it touches one.
 
     state: n, q90, q95, q99, top (of the field), y95, y99, ytop (where they shall come to: the targets' p95, p99 and top, else the field's own; in order; within
     the factors' bounds; not above cap), cap (the target's, at most `limit`), area (the target's, or null), scale (whether the tail is scaled at all), issue.
-    targets: key, p95, p99, top, area, cap; a field without a row there has none. A target that is missing or not finite falls back, and the issue names it."""
-    s = cells.groupBy(key).agg(F.count("*").alias("n"), F.percentile(value, F.array(F.lit(0.90), F.lit(0.95), F.lit(0.99))).alias("q"), F.max(value).alias("top"))
+    targets: key, p95, p99, top, area, cap; a field without a row there has none. A target that is missing or not finite falls back, and the issue names it.
+    count: the column that says for how many cells a row of cells stands, if for more than one."""
+    times = F.col(count) if count else F.lit(1).cast("long")
+    s = cells.groupBy(key).agg(F.sum(times).alias("n"), F.percentile(value, F.array(F.lit(0.90), F.lit(0.95), F.lit(0.99)), times).alias("q"), F.max(value).alias("top"))
     want = {c: F.when(F.abs(F.col(c)) < float("inf"), F.col(c).cast("double")).alias(f"t_{c}") for c in ("p95", "p99", "top", "area", "cap")}
     s = s.withColumnRenamed("top", "own_top").join(targets.select(key, *want.values()), key, "left")
     q95, q99, top = F.col("q")[1], F.col("q")[2], F.col("own_top")
@@ -104,23 +106,41 @@ def calibrate(cells: DataFrame, targets: DataFrame, key: str, value: str, cell_a
     the threshold misses the target's by more than the tolerance, the cells nearest below the threshold (from near[0] on, or near[1] if those are too
     few) are raised to it, or the nearest above it (below `high` or the field's q99) lowered, no more than the share `most` of all cells. 4. Values end at
     the cap. Fields that are all zero or whose tail is too small pass stages 2 to 4 with the values of stage 1, their issue in the state; so the state stays beside
-    the cells and `diagnose` sums it up. tie: columns that order the cells of one value. cell_area: km2."""
+    the cells and `diagnose` sums it up. tie: columns that order the cells of one value. cell_area: km2.
+
+    What a field needs is found from the counts of its values, as is the value up to which cells move. Only the cells of that one value are put in order; all
+    others meet their field's numbers by a hash join and are never sorted."""
     v = F.col(value).cast("double")
     x = cells.withColumn("__v", F.when((F.abs(v) < float("inf")) & (v > 0), v).otherwise(0.0))
-    x = x.join(field_state(x, targets, key, "__v", limit, lo, hi, hi_top, eps), key)
-    s, r, field = F.col("state"), F.col("__r"), Window.partitionBy(key)
-    x = x.withColumn("__r", F.when(s["scale"], F.col("__v") * _tail_factor(F.col("__v"), s, lo, hi, hi_top, eps)).otherwise(F.col("__v")))
-    x = x.withColumns({"__at": F.count_if(r >= threshold).over(field), "__near": F.count_if((r >= near[0]) & (r < threshold)).over(field), "__q99": F.percentile(r, F.lit(0.99)).over(field)})
+    counts = x.groupBy(key, "__v").agg(F.count("*").alias("__c")).persist()
+    states = field_state(counts, targets, key, "__v", limit, lo, hi, hi_top, eps, "__c").persist()
+    s, r = F.col("state"), F.col("__r")
+    tail = F.when(s["scale"], F.col("__v") * _tail_factor(F.col("__v"), s, lo, hi, hi_top, eps)).otherwise(F.col("__v"))
+    scaled = counts.join(states.hint("shuffle_hash"), key).select(key, "__v", tail.alias("__r"), "__c").persist()
+    how_many = lambda c: F.coalesce(F.sum(F.when(c, F.col("__c"))), F.lit(0))
+    now = scaled.groupBy(key).agg(how_many(r >= threshold).alias("__at"), how_many((r >= near[0]) & (r < threshold)).alias("__near"), F.percentile("__r", F.lit(0.99), F.col("__c")).alias("__q99"))
     have, want, cells_most = F.col("__at") * cell_area, s["area"], F.greatest(F.lit(1), F.floor(most * s["n"]))
     open_ = s["scale"] & want.isNotNull() & ~((want <= cell_area) & (have <= cell_area))
-    raise_ = F.when(open_ & (have < want * (1 - tolerance)), F.least(F.ceil((want * (1 - tolerance) - have) / cell_area), cells_most)).otherwise(0)
-    lower = F.when(open_ & (have > want * (1 + tolerance)), F.least(F.col("__at") - F.floor(want * (1 + tolerance) / cell_area), cells_most)).otherwise(0)
-    x = x.withColumns({"__up": raise_.cast("long"), "__down": lower.cast("long")})
     needed = F.ceil((want * (1 - tolerance) - have) / cell_area)
+    raise_ = F.when(open_ & (have < want * (1 - tolerance)), F.least(needed, cells_most)).otherwise(0)
+    lower = F.when(open_ & (have > want * (1 + tolerance)), F.least(F.col("__at") - F.floor(want * (1 + tolerance) / cell_area), cells_most)).otherwise(0)
     floor_ = F.when(F.col("__near") < needed, near[1]).otherwise(near[0])
-    can_rise, can_fall = (F.col("__up") > 0) & (r >= floor_) & (r < threshold), (F.col("__down") > 0) & (r >= threshold) & (r < F.greatest(F.lit(high), F.col("__q99")))
-    place = F.row_number().over(field.orderBy(F.when(can_rise | can_fall, 0).otherwise(1), F.when(can_rise, -r).otherwise(r), *tie))
-    x = x.withColumn("step", F.when(can_rise & (place <= F.col("__up")), "raised").when(can_fall & (place <= F.col("__down")), "lowered"))
+    fields = states.join(now, key).select(key, "state", raise_.cast("long").alias("__up"), lower.cast("long").alias("__down"), floor_.alias("__floor"), F.greatest(F.lit(high), F.col("__q99")).alias("__high"))
+    can_rise, can_fall = (F.col("__up") > 0) & (r >= F.col("__floor")) & (r < threshold), (F.col("__down") > 0) & (r >= threshold) & (r < F.col("__high"))
+    order, k = F.when(can_rise, -r).when(can_fall, r), F.greatest("__up", "__down")  # a field rises or falls
+    movable = scaled.join(fields.where(k > 0).drop("state").hint("shuffle_hash"), key).where(can_rise | can_fall).groupBy(key, order.alias("__o"), k.alias("__k")).agg(F.sum("__c").alias("__c"), F.collect_list("__v").alias("__vs"))
+    movable = movable.withColumn("__upto", F.sum("__c").over(Window.partitionBy(key).orderBy("__o").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    within = F.col("__upto") <= F.col("__k")
+    # all cells up to __whole move, and of those with the values __edge (almost always one) the first __room
+    ends = movable.groupBy(key, "__k").agg(F.max(F.when(within, F.col("__o"))).alias("__whole"), F.min_by("__vs", F.when(~within, F.col("__o"))).alias("__edge"), (F.col("__k") - F.coalesce(F.max(F.when(within, F.col("__upto"))), F.lit(0))).alias("__room")).drop("__k")
+    # kept, so that the tasks of the cells hold none of the steps above
+    fields = fields.join(ends, key, "left").persist()
+    x = x.join(fields.hint("shuffle_hash"), key)
+    at_edge = F.coalesce((F.col("__room") > 0) & F.array_contains("__edge", F.col("__v")), F.lit(False))
+    ties = x.where(at_edge).withColumn("__moves", F.row_number().over(Window.partitionBy(key).orderBy(*tie)) <= F.col("__room")).withColumn("__r", tail)
+    rest = x.where(~at_edge).withColumn("__r", tail)
+    x = rest.withColumn("__moves", F.coalesce(order <= F.col("__whole"), F.lit(False))).unionByName(ties)
+    x = x.withColumn("step", F.when(F.col("__moves"), F.when(can_rise, "raised").otherwise("lowered")))
     share = clipped((r - near[1]) / (threshold - near[1]), 0.0, 1.0)
     moved = F.when(F.col("step") == "raised", threshold + 0.05 * share).when(F.col("step") == "lowered", F.least(F.lit(threshold - 0.01), r * 0.97)).otherwise(r)
     return x.withColumn("calibrated", F.when(s["scale"], F.least(moved, s["cap"])).otherwise(F.col("__v"))).select(*cells.columns, "calibrated", "step", "state")
@@ -128,11 +148,13 @@ def calibrate(cells: DataFrame, targets: DataFrame, key: str, value: str, cell_a
 
 def diagnose(calibrated: DataFrame, key: str, value: str, cell_area: float, threshold: float = 10.0) -> DataFrame:
     """A row per field of `calibrate`'s cells: ok, issue, quantiles and areas before and after, cells raised, lowered and at the cap."""
-    c, s = F.col("calibrated"), F.col("state")
-    after = F.percentile(c, F.array(F.lit(0.95), F.lit(0.99)))
-    v = F.col(value).cast("double")
-    x = calibrated.groupBy(key).agg(F.first("state").alias("state"), after.alias("q"), F.max(c).alias("top_after"), F.count_if(F.col("step") == "raised").alias("n_raised"), F.count_if(F.col("step") == "lowered").alias("n_lowered"), F.count_if(s["scale"] & (c >= s["cap"])).alias("n_at_cap"), (F.count_if(F.coalesce((v >= threshold) & (v < float("inf")), F.lit(False))) * cell_area).alias("area_before"), (F.count_if(c >= threshold) * cell_area).alias("area_after"))
-    s = F.col("state")
+    v, s, c, n = F.col(value).cast("double"), F.col("state"), F.col("calibrated"), F.col("n")
+    facts = F.struct(*[s[f].alias(f) for f in ("q95", "q99", "top", "cap", "scale", "issue")]).alias("state")
+    # equal values are counted first, so that what is sorted for the percentiles is a row a value
+    x = calibrated.groupBy(key, facts, "calibrated").agg(F.count("*").alias("n"), F.count_if(F.col("step") == "raised").alias("up"), F.count_if(F.col("step") == "lowered").alias("down"), F.count_if(F.coalesce((v >= threshold) & (v < float("inf")), F.lit(False))).alias("before"))
+    after = F.percentile(c, F.array(F.lit(0.95), F.lit(0.99)), n)
+    how_many = lambda which: F.sum(F.when(which, n).otherwise(0))
+    x = x.groupBy(key, "state").agg(after.alias("q"), F.max(c).alias("top_after"), F.sum("up").alias("n_raised"), F.sum("down").alias("n_lowered"), how_many(s["scale"] & (c >= s["cap"])).alias("n_at_cap"), (F.sum("before") * cell_area).alias("area_before"), (how_many(c >= threshold) * cell_area).alias("area_after"))
     issue = F.concat_ws("; ", s["issue"], F.when(s["scale"] & (F.col("top_after") <= 0), NOW_ZERO))
     before = [s[a].alias(f"{b}_before") for a, b in (("q95", "p95"), ("q99", "p99"), ("top", "top"))]
     return x.select(key, (issue == "").alias("ok"), issue.alias("issue"), *before, F.col("q")[0].alias("p95_after"), F.col("q")[1].alias("p99_after"), "top_after", s["cap"].alias("cap"), "area_before", "area_after", "n_raised", "n_lowered", "n_at_cap")
