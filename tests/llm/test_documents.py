@@ -367,6 +367,83 @@ def test_leaks_paraphrase_and_odd(spark):
     assert leaks.find_leaks(docs(spark, rows), bench.limit(0)).collect() == []
 
 
+def mixed_texts(rng):
+    """Short, empty, odd and long texts in any order."""
+    odd = ["", "--- !!", "\u0130stanbul \u03a3\u039f\u03a6\u039f\u03a3 caf\u00e9's", "\u2003a\u00a0b\x1cc\n", "x" * 70_000, "_ab_ (c-d) ... e", "\U0001f600 smile", "w " * 40_000]
+    texts = [" ".join(rng.choice(["the", "(Of)", "Storm,", "rain's", "--", f"n{rng.randrange(500)}"]) for _ in range(rng.randrange(0, 200))) for _ in range(300)] + odd * 2
+    rng.shuffle(texts)
+    return texts
+
+
+def test_words_of_many_texts_are_hashed_together(monkeypatch):
+    """Groups give the hashes of each text by itself, and take few passes over arrays: a pass a text cost more than the work on it."""
+    texts = [None, *mixed_texts(random.Random(21))]
+    calls, one = [], leaks._hashes
+    monkeypatch.setattr(leaks, "_hashes", lambda part: calls.append(len(part)) or one(part))
+    for most in (1, 7, 64):
+        calls.clear()
+        groups = list(leaks.together(texts, most))
+        assert most < 64 or len(calls) <= 30
+        assert [t for g, _, _ in groups for t in g] == [t or "" for t in texts]
+        assert all(len(g) <= most and (len(g) == 1 or sum(map(len, g)) <= leaks.PIECE) for g, _, _ in groups)
+        for g, h, ends in groups:
+            assert len(ends) == len(g) + 1 and ends[0] == 0 and ends[-1] == len(h)
+            for k, t in enumerate(g):
+                mine = h[ends[k] : ends[k + 1]]
+                assert len(mine) == len(leaks.bare(t)) and (mine == leaks.word_hashes(t)).all()
+
+
+def test_document_frequencies_against_brute_force(spark):
+    texts = mixed_texts(random.Random(22))
+    want, passages = {}, 0
+    for t in texts:
+        h = [int(x) & (1 << leaks.BITS) - 1 for x in leaks.word_hashes(t)]
+        for at in range(0, len(h), 32):
+            passages += 1
+            for f in set(h[at : at + 32]):
+                want[f] = want.get(f, 0) + 1
+    df, n = leaks.document_frequencies(docs(spark, [*enumerate(texts), (-1, None)]).coalesce(2), 32)
+    assert n == passages and {int(f): int(df[f]) for f in df.nonzero()[0]} == want
+
+
+def test_leaks_beside_other_texts(spark):
+    """What is found in a text doesn't depend on the texts beside it, and its stretch holds the item."""
+    rng = random.Random(23)
+    items = [[f"item{k}word{rng.randrange(40)}" for _ in range(n)] for k, n in enumerate((14, 33, 60, 90))]
+    texts, planted = mixed_texts(rng), set()
+    for d in range(0, len(texts), 5):
+        k = rng.randrange(len(items))
+        texts[d] = " ".join([texts[d], *items[k], texts[(d + 1) % len(texts)][:3000]])
+        planted.add((d, k))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = leaks.find_leaks(docs(spark, list(enumerate(texts))).coalesce(1), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} >= planted and len(got) == len({(r.doc_id, r.item_id) for r in got})
+    for r in got:
+        assert r.common == pytest.approx(leaks.lcs(items[r.item_id], leaks.bare(texts[r.doc_id])[r.start : r.end]) / len(items[r.item_id])) and r.cosine >= 0.3
+    dealt = leaks.find_leaks(docs(spark, list(enumerate(texts))).repartition(40), bench).collect()
+    assert {(r.doc_id, r.item_id, r.start, r.end) for r in dealt} == {(r.doc_id, r.item_id, r.start, r.end) for r in got}
+
+
+def test_kept_products_are_those_made_anew(monkeypatch):
+    rng = np.random.default_rng(24)
+    idf = rng.random(1 << leaks.BITS) + 0.1
+    blocks = []
+    for b in range(2):
+        items = leaks.Items([(b * 10 + k, " ".join(f"w{x}" for x in rng.integers(0, 60, 30 + 9 * k)), None) for k in range(5)], idf, 32, 8)
+        blocks.append(leaks.Block(items, rng.standard_normal((len(items.columns.idf), 6)).astype(np.float32)))
+    kept = leaks._Search(blocks, idf)
+    monkeypatch.setattr(leaks._Search, "KEPT", 0)
+    anew = leaks._Search(blocks, idf)
+    assert all(p is not None for p in kept.products) and anew.products == [None, None]
+    own, queries = np.array([0, 3, 17, len(kept.columns.idf) - 1, -1]), np.array([1, 4])
+    here = rng.random((len(kept.columns.idf) + 1, 9)) < 0.5
+    for k in range(2):
+        a, b = kept.gains(k, own, queries), anew.gains(k, own, queries)
+        assert a.shape == (5, 2) and np.allclose(a, b, atol=1e-5) and not a[-1].any()
+    want = [[sum(here[p, t] for p in places) for t in range(9)] for places in kept.places]
+    assert (kept.shared(here) == np.array(want)).all()
+
+
 PEOPLE = "Mr. John Smith wrote to Frau Anna Weber. Later Mr Smith met Сергей Иванов and Dr. Maria Lopez."
 
 
